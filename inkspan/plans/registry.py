@@ -1,11 +1,448 @@
-"""Names of the library's queries, with their Spark form and their SQL oracle."""
+"""The library's queries by name, each with its Spark form and the SQL that checks it.
+
+Every query runs over whole tables.  Doubles are emitted in millionths, so that two
+engines' sums can be compared.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry, scores
+from ..functions.order import numbered
+from ..operators import curation, decode, losses, matching, raster, sequence, splits
+from ..sources import labels
+from .views import BOXES_SQL, PX_SQL, boxes, micro, pixels, predictions, read
+
+WIDTH = HEIGHT = 640
+SHRINK, LOW, HIGH, MIN_TEXT = 0.4, 0.3, 0.7, 4.0
+SEED, VAL, BATCH = 42, 0.1, 16
+PIXEL_THRESH, OHEM_RATIO = 0.7, 0.5
+DECAY, TOTAL, WARM, BASE_LR, MIN_LR = 0.9, 100_000, 500, 1e-3, 1e-6
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+_B = f"WITH b AS ({BOXES_SQL})"
+_P = f"WITH px AS ({PX_SQL})"
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def m(x: str) -> str:
+    return f"cast(floor(({x}) * 1000000 + 0.5) AS bigint)"
+
+
+# --- labels and scores ---------------------------------------------------------------
+
+
+@query("SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events")
+def json_parse(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", F.from_json("props", "k long", {"mode": "FAILFAST"})["k"].alias("k"))
+
+
+@query("SELECT cast(doc_id AS varchar) AS rel_path, cast(len(text) AS bigint) AS n FROM documents")
+def label_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Label lines with the texts as transcriptions, written and parsed again."""
+    box = F.struct(F.col("text").alias("transcription"), F.array(F.array(F.lit(0.0), F.lit(1.0))).alias("points"), F.lit(None).cast("double").alias("score"))
+    lines = labels.label_lines(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), F.array(box).alias("boxes")))
+    return labels.parse_labels(lines).select("rel_path", F.length(F.get("boxes", F.lit(0))["transcription"]).cast("long").alias("n"))
+
+
+@query(f"{_B} SELECT image_id, box_idx, {m('CASE WHEN score IS NULL OR score = 0 THEN 1.0 ELSE score END')} AS train_score, {m('coalesce(score, 0.0)')} AS export_score FROM b")
+def score_default(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("score")
+    return boxes(spark, d).select("image_id", "box_idx", micro(scores.training_score(s)).alias("train_score"), micro(scores.export_score(s)).alias("export_score"))
+
+
+@query(f"{_B} SELECT image_id, box_idx FROM b WHERE NOT (CASE WHEN score IS NULL OR score = 0 THEN 1.0 ELSE score END < 0.5)")
+def min_score_filter(spark: SparkSession, d: str) -> DataFrame:
+    return boxes(spark, d).where(scores.reaches(scores.training_score(F.col("score")), 0.5)).select("image_id", "box_idx")
+
+
+@query(f"{_B} SELECT image_id, box_idx, printf('%.2f', score) AS label FROM b WHERE score IS NOT NULL")
+def score_text(spark: SparkSession, d: str) -> DataFrame:
+    return boxes(spark, d).where(F.col("score").isNotNull()).select("image_id", "box_idx", scores.score_text(F.col("score")).alias("label"))
+
+
+# --- geometry ------------------------------------------------------------------------
+
+
+def _points(df: DataFrame) -> DataFrame:
+    return df.withColumn("points", geometry.box_points(*(F.col(c) for c in ("x0", "y0", "w", "h"))))
+
+
+@query(f"{_B} SELECT image_id, box_idx, {m('w * h')} AS area, {m('2 * (w + h)')} AS perimeter, {m(f'w * h * (1 - {SHRINK} * {SHRINK}) / (2 * (w + h))')} AS distance FROM b")
+def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
+    rows = _points(boxes(spark, d)).select("image_id", "box_idx", geometry.area(F.col("points")).alias("a"), geometry.perimeter(F.col("points")).alias("l"))
+    return rows.select("image_id", "box_idx", micro(F.col("a")).alias("area"), micro(F.col("l")).alias("perimeter"), micro(geometry.offset_distance(F.col("a"), F.col("l"), SHRINK)).alias("distance"))
+
+
+_CLIPPED = "greatest(least(x0, 499), 0) AS cx0, greatest(least(y0, 499), 0) AS cy0, greatest(least(x0 + w, 499), 0) AS cx1, greatest(least(y0 + h, 499), 0) AS cy1"
+
+
+def _clipped(df: DataFrame) -> DataFrame:
+    return df.select("*", geometry.extents(geometry.clip_points(F.col("points"), 500, 500)).alias("e"))
+
+
+@query(f"{_B} SELECT image_id, box_idx, {m('cx0')} AS x0, {m('cy0')} AS y0, {m('cx1')} AS x1, {m('cy1')} AS y1 FROM (SELECT *, {_CLIPPED} FROM b)")
+def clip_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return _clipped(_points(boxes(spark, d))).select("image_id", "box_idx", *(micro(F.col(f"e.{c}")).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query(f"{_B} SELECT image_id, box_idx FROM (SELECT *, {_CLIPPED} FROM b) WHERE least(cx1 - cx0, cy1 - cy0) >= 2")
+def degenerate_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _clipped(_points(boxes(spark, d))).where(F.least(F.col("e.x1") - F.col("e.x0"), F.col("e.y1") - F.col("e.y0")) >= 2).select("image_id", "box_idx")
+
+
+_D = f"(w * h * (1 - {SHRINK} * {SHRINK}) / (2 * (w + h)))"
+
+
+@query(f"{_B} SELECT image_id, box_idx, {m(f'x0 + {_D}')} AS x0, {m(f'y0 + {_D}')} AS y0, {m(f'x0 + w - {_D}')} AS x1, {m(f'y0 + h - {_D}')} AS y1 FROM b WHERE 2 * {_D} < least(w, h)")
+def shrink_boxes(spark: SparkSession, d: str) -> DataFrame:
+    s = raster.shrunk(boxes(spark, d), SHRINK).where(F.col("sx0").isNotNull())
+    return s.select("image_id", "box_idx", *(micro(F.col(f"s{c}")).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query(f"{_B} SELECT image_id, box_idx, {m('x0 - w * h * 1.5 / (2 * (w + h))')} AS x0, {m('y0 - w * h * 1.5 / (2 * (w + h))')} AS y0, {m('w + w * h * 1.5 / (w + h)')} AS w, {m('h + w * h * 1.5 / (w + h)')} AS h FROM b")
+def unclip(spark: SparkSession, d: str) -> DataFrame:
+    g = geometry.unclip_distance(F.col("w") * F.col("h"), 2 * (F.col("w") + F.col("h")), 1.5)
+    return boxes(spark, d).withColumn("g", g).select("image_id", "box_idx", micro(F.col("x0") - F.col("g")).alias("x0"), micro(F.col("y0") - F.col("g")).alias("y0"), micro(F.col("w") + 2 * F.col("g")).alias("w"), micro(F.col("h") + 2 * F.col("g")).alias("h"))
+
+
+_IOU = """, c AS (SELECT p.image_id, p.box_idx AS pred_idx, g.box_idx AS gt_idx, p.w * p.h + g.w * g.h AS s,
+  greatest(0, least(p.x0 + p.jit + p.w, g.x0 + g.w) - greatest(p.x0 + p.jit, g.x0)) * greatest(0, least(p.y0 + p.jit + p.h, g.y0 + g.h) - greatest(p.y0 + p.jit, g.y0)) AS i
+  FROM b p JOIN b g ON p.image_id = g.image_id)"""
+
+
+@query(f"{_B} {_IOU} SELECT image_id, pred_idx, gt_idx, {m('i / (s - i)')} AS iou FROM c WHERE i / (s - i) >= 0.1")
+def box_iou(spark: SparkSession, d: str) -> DataFrame:
+    b = boxes(spark, d)
+    return matching.candidates(predictions(b), b, 0.1).withColumn("iou", micro(F.col("iou")))
+
+
+@query(f"""{_B} SELECT image_id, box_idx, {m('s')} AS scale, cast(greatest(1, round_even(w * s, 0)) AS integer) AS new_w, cast(greatest(1, round_even(h * s, 0)) AS integer) AS new_h
+FROM (SELECT *, cast(640 AS double) / greatest(w, h) AS s FROM b)""")
+def letterbox(spark: SparkSession, d: str) -> DataFrame:
+    b = boxes(spark, d).select("image_id", "box_idx", geometry.letterbox(F.col("w"), F.col("h"), 640).alias("l"))
+    return b.select("image_id", "box_idx", micro(F.col("l.scale")).alias("scale"), "l.new_w", "l.new_h")
+
+
+@query(f"""{_B} SELECT image_id, box_idx, {m("CASE box_idx % 4 WHEN 1 THEN 639 - x0 WHEN 3 THEN y0 ELSE x0 END")} AS x, {m("CASE box_idx % 4 WHEN 2 THEN 639 - y0 WHEN 3 THEN 639 - x0 ELSE y0 END")} AS y FROM b""")
+def flip_rotate(spark: SparkSession, d: str) -> DataFrame:
+    x, y = geometry.turned(F.col("x0"), F.col("y0"), WIDTH, HEIGHT, F.col("box_idx") % 4)
+    return boxes(spark, d).select("image_id", "box_idx", micro(x).alias("x"), micro(y).alias("y"))
+
+
+@query(f"{_B} SELECT image_id, box_idx, {m('(x0 - jit) / greatest(w / 64, 0.00000001)')} AS x, {m('(y0 - jit) / greatest(w / 64, 0.00000001)')} AS y FROM b")
+def inverse_transform(spark: SparkSession, d: str) -> DataFrame:
+    back = lambda c: micro(geometry.inverse_transform(F.col(c), F.col("jit"), F.col("w") / 64.0))
+    return boxes(spark, d).select("image_id", "box_idx", back("x0").alias("x"), back("y0").alias("y"))
+
+
+@query(f"{_B} SELECT image_id, box_idx, least(w, h) < {MIN_TEXT} AS ignored FROM b")
+def ignore_regions(spark: SparkSession, d: str) -> DataFrame:
+    return boxes(spark, d).select("image_id", "box_idx", raster.ignored(F.col("w"), F.col("h"), MIN_TEXT).alias("ignored"))
+
+
+@query(f"""{_B} SELECT image_id, box_idx, cast(floor((1 - abs((box_idx - 1) / 8 * 6 % 2 - 1)) * 255 + 0.0000001) AS integer) AS mid FROM b WHERE box_idx <= 8""")
+def palette(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first eight boxes of each image, the colour channel that is neither full nor empty."""
+    c = geometry.palette((F.col("box_idx") - 1).cast("double"), F.lit(8.0))
+    sector = F.floor((F.col("box_idx") - 1) / 8.0 * 6.0).cast("int") % 6
+    mid = F.when(sector.isin(0, 3), c["g"]).when(sector.isin(1, 4), c["r"]).otherwise(c["b"])
+    return boxes(spark, d).where("box_idx <= 8").select("image_id", "box_idx", mid.alias("mid"))
+
+
+@query(f"""{_B} SELECT cast(row_number() OVER (ORDER BY image_id, box_idx) AS bigint) AS id, image_id, {m('x0')} AS x, {m('y0')} AS y, {m('w')} AS w, {m('h')} AS h, {m('w * h')} AS area, {m('coalesce(score, 0.0)')} AS score
+FROM b WHERE NOT (coalesce(score, 0.0) < 0.5)""")
+def coco_annotations(spark: SparkSession, d: str) -> DataFrame:
+    a = labels.coco_annotations(_points(boxes(spark, d)), 0.5, F.floor(F.col("image_id") / 1024))
+    return a.select("id", "image_id", *(micro(F.get("bbox", F.lit(i))).alias(c) for i, c in enumerate("xywh")), micro(F.col("area")).alias("area"), micro(F.col("score")).alias("score"))
+
+
+@query(f"{_B} SELECT image_id AS id, concat('img/', image_id, '.jpg') AS file_name, cast(sum(CASE WHEN NOT (coalesce(score, 0.0) < 0.5) THEN 1 ELSE 0 END) AS bigint) AS n_boxes FROM b GROUP BY image_id")
+def coco_images(spark: SparkSession, d: str) -> DataFrame:
+    """Every image has its row, also when none of its boxes survives."""
+    kept = scores.reaches(scores.export_score(F.col("score")), 0.5)
+    g = boxes(spark, d).groupBy("image_id").agg(F.count_if(kept).alias("n_boxes"))
+    return g.select(F.col("image_id").alias("id"), F.concat(F.lit("img/"), F.col("image_id").cast("string"), F.lit(".jpg")).alias("file_name"), "n_boxes")
+
+
+# --- splits --------------------------------------------------------------------------
+
+
+def _good(spark, d):
+    return read(spark, d, "labels").where("quality = 1").select("doc_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def split_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    return splits.within_split(read(spark, d, "documents").select("doc_id", "n_chars"), _good(spark, d), "doc_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    return splits.not_done(read(spark, d, "documents").select("doc_id", "n_chars"), _good(spark, d), "doc_id")
+
+
+@query("""SELECT user_id, event_id, {v} AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""".format(v=m("value")))
+def lookup_join(spark: SparkSession, d: str) -> DataFrame:
+    """What a dictionary of users holds: the last event wins; joined back to the users that have one."""
+    e = read(spark, d, "events").select("user_id", "event_id", "value")
+    last = splits.last_of_each(e, "user_id", "event_id")
+    return e.select("user_id").distinct().join(last, "user_id").select("user_id", "event_id", micro(F.col("value")).alias("value"))
+
+
+@query("""SELECT cast(sum(CASE WHEN l.doc_id IS NULL AND n_chars > 0 THEN 1 ELSE 0 END) AS bigint) AS ok, cast(sum(CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS bigint) AS skipped,
+cast(sum(CASE WHEN l.doc_id IS NULL AND NOT n_chars > 0 THEN 1 ELSE 0 END) AS bigint) AS failed FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id""")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "n_chars").join(_good(spark, d).withColumn("done", F.lit(True)), "doc_id", "left")
+    return splits.status_counts(docs, F.coalesce("done", F.lit(False)), ~(F.col("n_chars") > 0))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 1")
+def row_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return splits.row_at(read(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id", where=F.col("lang") == "de").select("doc_id", "n_chars")
+
+
+_ORDERED = f"o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}|' || doc_id), doc_id) AS pos, count(*) OVER () AS n FROM documents)"
+
+
+@query(f"WITH {_ORDERED} SELECT doc_id, pos <= greatest(1, cast(floor(n * cast({VAL} AS double)) AS bigint)) AS is_val FROM o")
+def seeded_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.train_val(read(spark, d, "documents").select("doc_id"), SEED, VAL, "doc_id")
+
+
+@query(f"WITH {_ORDERED} SELECT doc_id, cast((pos - 1) // {BATCH} AS bigint) AS batch_id FROM o WHERE (pos - 1) // {BATCH} < n // {BATCH}")
+def batching(spark: SparkSession, d: str) -> DataFrame:
+    return splits.batches(splits.seeded_order(read(spark, d, "documents").select("doc_id"), SEED, "doc_id"), "pos", BATCH, True).select("doc_id", "batch_id")
+
+
+# --- curation ------------------------------------------------------------------------
+
+
+def _losses(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("loss"))
+
+
+@query("SELECT doc_id, n_chars AS loss FROM documents WHERE n_chars <= (SELECT quantile_cont(n_chars, 0.95) FROM documents)")
+def percentile_filter(spark: SparkSession, d: str) -> DataFrame:
+    return curation.within_percentile(_losses(spark, d), "loss", 0.95).select("doc_id", F.col("loss").cast("long").alias("loss"))
+
+
+@query("SELECT doc_id, n_chars AS loss FROM documents WHERE n_chars > (SELECT quantile_cont(n_chars, 0.95) FROM documents)")
+def worst_samples(spark: SparkSession, d: str) -> DataFrame:
+    return curation.beyond_percentile(_losses(spark, d), "loss", 0.95).orderBy(F.desc("loss"), "doc_id").select("doc_id", F.col("loss").cast("long").alias("loss"))
+
+
+@query(f"SELECT count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, {m('quantile_cont(n_chars, 0.5)')} AS p0, {m('quantile_cont(n_chars, 0.95)')} AS p1 FROM documents")
+def loss_summary(spark: SparkSession, d: str) -> DataFrame:
+    return curation.summary(_losses(spark, d), "loss", [0.5, 0.95]).withColumns({c: micro(F.col(c)) for c in ("p0", "p1")})
+
+
+@query("""SELECT cast(least(floor(cast(n_chars - lo AS double) / (hi - lo) * 60), 59) AS integer) AS bin, count(*) AS "count"
+FROM documents, (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents) GROUP BY 1""")
+def histogram(spark: SparkSession, d: str) -> DataFrame:
+    return curation.histogram(_losses(spark, d), "loss", 60)
+
+
+# --- raster targets (aggregated per image) -------------------------------------------
+
+_CORE = f"""s AS (SELECT *, {_D} AS d FROM b), r AS (SELECT *, cast(trunc(greatest(x0 + d, 0)) AS int) AS i0, cast(trunc(least(x0 + w - d, 639)) AS int) AS i1, cast(trunc(greatest(y0 + d, 0)) AS int) AS j0, cast(trunc(least(y0 + h - d, 639)) AS int) AS j1 FROM s),
+core AS (SELECT image_id, box_idx, score, y, unnest(range(i0, i1 + 1)) AS x FROM (SELECT *, unnest(range(j0, j1 + 1)) AS y FROM r))"""
+_RING = f"""s AS (SELECT *, {_D} AS d FROM b), r AS (SELECT *, cast(trunc(greatest(x0 - d, 0)) AS int) AS i0, cast(trunc(least(x0 + w + d, 639)) AS int) AS i1, cast(trunc(greatest(y0 - d, 0)) AS int) AS j0, cast(trunc(least(y0 + h + d, 639)) AS int) AS j1 FROM s),
+q AS (SELECT *, greatest(x0 - x, x - (x0 + w)) AS dx, greatest(y0 - y, y - (y0 + h)) AS dy FROM (SELECT *, unnest(range(i0, i1 + 1)) AS x FROM (SELECT *, unnest(range(j0, j1 + 1)) AS y FROM r))),
+ring AS (SELECT image_id, box_idx, y, x, d, CASE WHEN dx <= 0 AND dy <= 0 THEN least(-dx, -dy) ELSE sqrt(pow(greatest(dx, 0), 2) + pow(greatest(dy, 0), 2)) END AS distance FROM q)"""
+
+
+@query(f"{_B}, {_CORE} SELECT image_id, count(DISTINCT y * 640 + x) AS pixels FROM core GROUP BY image_id")
+def rasterize(spark: SparkSession, d: str) -> DataFrame:
+    px = raster.core_pixels(raster.dealt(boxes(spark, d)), SHRINK, WIDTH, HEIGHT).select("image_id", "y", "x").distinct()
+    return px.groupBy("image_id").agg(F.count("*").alias("pixels"))
+
+
+@query(f"{_B}, {_CORE}, v AS (SELECT image_id, y, x, arg_max(coalesce(score, 0.0), box_idx) AS v FROM core GROUP BY ALL) SELECT image_id, count(*) AS pixels, {m('sum(v)')} AS total FROM v GROUP BY image_id")
+def score_map(spark: SparkSession, d: str) -> DataFrame:
+    b = boxes(spark, d).withColumn("score", scores.export_score(F.col("score")))
+    return raster.score_map(b, SHRINK, WIDTH, HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"), micro(F.sum("value")).alias("total"))
+
+
+@query(f"{_B}, {_RING} SELECT image_id, count(*) AS pixels, cast(floor(sum(distance) * 1000 + 0.5) AS bigint) AS total FROM ring GROUP BY image_id")
+def edge_distance(spark: SparkSession, d: str) -> DataFrame:
+    return raster.ring_pixels(boxes(spark, d), SHRINK, WIDTH, HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"), F.floor(F.sum("distance") * 1000 + 0.5).cast("long").alias("total"))
+
+
+@query(f"""{_B}, {_RING}, v AS (SELECT image_id, y, x, max(1 - least(greatest(distance / greatest(d, 0.000001), 0), 1)) * {HIGH - LOW} + {LOW} AS v FROM ring GROUP BY image_id, y, x)
+SELECT image_id, count(*) AS pixels, cast(floor(sum(v) * 1000 + 0.5) AS bigint) AS total FROM v GROUP BY image_id""")
+def threshold_map(spark: SparkSession, d: str) -> DataFrame:
+    t = raster.threshold_map(boxes(spark, d), SHRINK, LOW, HIGH, WIDTH, HEIGHT)
+    return t.groupBy("image_id").agg(F.count("*").alias("pixels"), F.floor(F.sum("value") * 1000 + 0.5).cast("long").alias("total"))
+
+
+# --- losses over probability maps ----------------------------------------------------
+
+_T = """, t AS (SELECT a.image_id, a.y, a.x, least(greatest(a.p, 0.000001), 0.999999) AS p, CASE WHEN b.p > 0.5 THEN 1.0 ELSE 0.0 END::double AS t, CASE WHEN a.y BETWEEN 1 AND 6 THEN 1.0 ELSE 0.0 END::double AS m, b.p AS q
+  FROM px a JOIN px b ON b.image_id = a.image_id + 1 AND b.y = a.y AND b.x = a.x)"""
+_DICE = "SELECT image_id, 1 - (2 * sum(p * t * m) + 0.000001) / (sum(p * m) + sum(t * m) + 0.000001) AS dice FROM t GROUP BY image_id"
+_L1 = "SELECT image_id, sum(abs(p - q) * m) / greatest(sum(m), 1) AS l1 FROM t GROUP BY image_id"
+_BCE = f"""SELECT image_id, coalesce(sum(CASE WHEN pos OR (neg AND r <= k) THEN loss END), 0) / greatest(count(*) FILTER (pos) + max(k), 1) AS bce FROM (
+  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CASE WHEN neg THEN loss END DESC NULLS LAST, y, x) AS r,
+    least(count(*) FILTER (neg) OVER (PARTITION BY image_id), floor(greatest(count(*) FILTER (pos) OVER (PARTITION BY image_id), 1) * {OHEM_RATIO})) AS k
+  FROM (SELECT *, -(t * ln(p) + (1 - t) * ln(1 - p)) AS loss, t > 0.5 AND m > 0.5 AS pos, t <= 0.5 AND m > 0.5 AS neg FROM t)) GROUP BY image_id"""
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Each map with the next one's map as its target."""
+    px = pixels(spark, d)
+    nxt = px.select((F.col("image_id") - 1).alias("image_id"), "y", "x", F.col("p").alias("q"))
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    p = F.greatest(F.lit(scores.EPS), F.least(F.lit(1 - scores.EPS), F.col("p")))
+    return px.join(nxt, ["image_id", "y", "x"]).select("image_id", "y", "x", p.alias("p"), flag(F.col("q") > 0.5).alias("t"), flag(F.col("y").between(1, 6)).alias("m"), F.lit(1.0).alias("w"), "q")
+
+
+@query(f"{_P} SELECT image_id, y, x FROM px WHERE p > {PIXEL_THRESH}")
+def binarize(spark: SparkSession, d: str) -> DataFrame:
+    return decode.binarized(pixels(spark, d), PIXEL_THRESH).select("image_id", "y", "x")
+
+
+@query(f"{_P}{_T} SELECT image_id, y, x, {m('1 / (1 + exp(-50 * (p - q)))')} AS b FROM t")
+def diff_binarize(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("image_id", "y", "x", micro(scores.diff_binarize(F.col("p"), F.col("q"))).alias("b"))
+
+
+@query(f"""{_P}, v AS (SELECT *, floor(p * 255) AS byte, x % 3 AS c FROM px) SELECT image_id, y, x, {m("(byte / 255.0::double - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1]")} AS v FROM v""")
+def normalize(spark: SparkSession, d: str) -> DataFrame:
+    px = pixels(spark, d).withColumn("byte", F.floor(F.col("p") * 255).cast("double"))
+    return px.select("image_id", "y", "x", micro(scores.normalize(F.col("byte"), F.col("x") % 3)).alias("v"))
+
+
+@query(f"{_P}{_T} SELECT image_id, {m('dice')} AS dice FROM ({_DICE})")
+def dice_loss(spark: SparkSession, d: str) -> DataFrame:
+    return losses.dice(_pairs(spark, d), ["image_id"]).withColumn("dice", micro(F.col("dice")))
+
+
+@query(f"{_P}{_T} SELECT image_id, {m('l1')} AS l1 FROM ({_L1})")
+def masked_l1(spark: SparkSession, d: str) -> DataFrame:
+    return losses.masked_l1(_pairs(spark, d), ["image_id"], "p", "q").withColumn("l1", micro(F.col("l1")))
+
+
+@query(f"{_P}{_T} SELECT image_id, {m('bce')} AS bce FROM ({_BCE})")
+def ohem_bce(spark: SparkSession, d: str) -> DataFrame:
+    return losses.ohem_bce(_pairs(spark, d), ["image_id"], OHEM_RATIO).withColumn("bce", micro(F.col("bce")))
+
+
+@query(f"{_P}{_T} SELECT image_id, {m('5 * (bce + dice) + 10 * l1')} AS loss FROM ({_DICE}) JOIN ({_L1}) USING (image_id) JOIN ({_BCE}) USING (image_id)")
+def total_loss(spark: SparkSession, d: str) -> DataFrame:
+    px, by = _pairs(spark, d), ["image_id"]
+    parts = losses.dice(px, by).join(losses.masked_l1(px, by, "p", "q"), by).join(losses.ohem_bce(px, by, OHEM_RATIO), by).withColumn("binary_dice", F.lit(None).cast("double"))
+    return parts.select("image_id", micro(losses.total(parts, 5.0, 10.0, 1.0, 1.0)).alias("loss"))
+
+
+# --- decoding and matching -----------------------------------------------------------
+
+_CC = f"""WITH RECURSIVE px AS ({PX_SQL}), k AS (SELECT image_id, y * 8 + x AS pos, p FROM px WHERE p > {PIXEL_THRESH}),
+e AS (SELECT a.image_id, a.pos AS f, b.pos AS g FROM k a JOIN k b ON a.image_id = b.image_id AND (abs(a.pos - b.pos) = 8 OR (abs(a.pos - b.pos) = 1 AND a.pos // 8 = b.pos // 8))),
+c AS (SELECT image_id, pos, pos AS r FROM k UNION SELECT c.image_id, c.pos, e.g FROM c JOIN e ON e.image_id = c.image_id AND e.f = c.r),
+l AS (SELECT image_id, pos, min(r) AS label FROM c GROUP BY image_id, pos)"""
+
+
+@query(f"{_CC} SELECT image_id, cast(pos // 8 AS int) AS y, cast(pos % 8 AS int) AS x, cast(label AS bigint) AS label FROM l")
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    c = decode.components(decode.binarized(pixels(spark, d), PIXEL_THRESH))
+    return c.select("image_id", "y", "x", (F.col("first_y") * 8 + F.col("first_x")).cast("long").alias("label"))
+
+
+@query(f"{_CC} SELECT image_id, cast(label AS bigint) AS label, count(*) AS area, {m('avg(p)')} AS mean_p FROM l JOIN k USING (image_id, pos) GROUP BY image_id, label")
+def component_stats(spark: SparkSession, d: str) -> DataFrame:
+    c = decode.component_stats(decode.components(decode.binarized(pixels(spark, d), PIXEL_THRESH)))
+    return c.select("image_id", (F.col("first_y") * 8 + F.col("first_x")).cast("long").alias("label"), "area", micro(F.col("mean_p")).alias("mean_p"))
+
+
+@query()
+def decode_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of every map; checked against a brute-force decoder in the tests."""
+    out = decode.decode(pixels(spark, d), decode.DecodeConfig(thresh=0.5, box_thresh=0.6, min_size=2.0), 8, 8)
+    return out.select("image_id", "rank", F.transform("points", lambda p: F.struct(micro(p["x"]).alias("x"), micro(p["y"]).alias("y"))).alias("points"), micro(F.col("score")).alias("score"))
+
+
+_GREEDY = f"""WITH RECURSIVE b AS ({BOXES_SQL}), n AS (SELECT image_id, count(*) AS n FROM b GROUP BY 1),
+s AS (SELECT image_id, 0 AS k, []::int[] AS used, 0 AS tp FROM n
+ UNION ALL
+ SELECT s.image_id, s.k + 1, CASE WHEN c.gi IS NOT NULL THEN list_append(s.used, c.gi) ELSE s.used END, s.tp + CASE WHEN c.gi IS NOT NULL THEN 1 ELSE 0 END
+ FROM s JOIN n ON n.image_id = s.image_id AND s.k < n.n
+ LEFT JOIN LATERAL (SELECT z.gi FROM (
+   SELECT g.box_idx AS gi, i / (p.w * p.h + g.w * g.h - i) AS iou
+   FROM (SELECT * FROM b WHERE b.image_id = s.image_id AND b.box_idx = s.k + 1) p
+   JOIN b g ON g.image_id = p.image_id,
+   LATERAL (SELECT greatest(0, least(p.x0 + p.jit + p.w, g.x0 + g.w) - greatest(p.x0 + p.jit, g.x0)) * greatest(0, least(p.y0 + p.jit + p.h, g.y0 + g.h) - greatest(p.y0 + p.jit, g.y0)) AS i) v
+   WHERE NOT list_contains(s.used, g.box_idx)) z
+  WHERE z.iou >= 0.5 ORDER BY z.iou DESC, z.gi LIMIT 1) c ON true),
+done AS (SELECT s.image_id, s.tp FROM s JOIN n USING (image_id) WHERE s.k = n.n)"""
+
+
+@query(f"{_GREEDY} SELECT image_id, cast(tp AS bigint) AS tp FROM done WHERE tp > 0")
+def greedy_match(spark: SparkSession, d: str) -> DataFrame:
+    b = boxes(spark, d)
+    g = matching.greedy(matching.candidates(predictions(b), b, 0.5))
+    return g.select("image_id", F.size("matches").cast("long").alias("tp")).where("tp > 0")
+
+
+@query(f"""{_GREEDY}, c AS (SELECT cast(sum(tp) AS bigint) AS tp, (SELECT count(*) FROM b) AS n FROM done)
+SELECT tp, n - tp AS fp, n - tp AS fn, {m('tp / greatest(n, 1)')} AS precision, {m('tp / greatest(n, 1)')} AS recall, {m('2 * (tp / n) * (tp / n) / greatest(2 * tp / n, 0.000001)')} AS hmean FROM c""")
+def hmean(spark: SparkSession, d: str) -> DataFrame:
+    b = boxes(spark, d)
+    return matching.hmean(matching.counts(predictions(b), b, 0.5)).withColumns({c: micro(F.col(c)) for c in ("precision", "recall", "hmean")})
+
+
+# --- training steps ------------------------------------------------------------------
+
+_S = "WITH s AS (SELECT *, cast(row_number() OVER (ORDER BY ts, event_id) - 1 AS bigint) AS step, cast(cast(ts AS date) AS varchar) AS epoch FROM events)"
+
+
+def _steps(spark, d) -> DataFrame:
+    e = read(spark, d, "events").withColumn("epoch", F.to_date("ts").cast("string"))
+    return numbered(e, F.col("epoch"), ["ts", "event_id"], "n").withColumn("step", F.col("n") - 1)
+
+
+@query(f"""SELECT user_id, {m(f'list_reduce(list(value ORDER BY ts, event_id), lambda a, x: {DECAY} * a + (1 - {DECAY}::double) * x, first(0.5::double))')} AS ema FROM events GROUP BY user_id""")
+def ema(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.ema(read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", DECAY, F.lit(0.5)).select("user_id", micro(F.col("ema")).alias("ema"))
+
+
+@query(f"""{_S} SELECT step, cast(floor((CASE WHEN step < {WARM} THEN {BASE_LR}::double * (step + 1) / {WARM} ELSE {MIN_LR}::double + 0.5 * ({BASE_LR}::double - {MIN_LR}::double) * (1 + cos(pi() * (step - {WARM}) / {TOTAL - WARM})) END) * 1e12 + 0.5) AS bigint) AS lr FROM s""")
+def cosine_lr(spark: SparkSession, d: str) -> DataFrame:
+    return _steps(spark, d).select("step", F.floor(scores.cosine_lr(F.col("step"), TOTAL, WARM, BASE_LR, MIN_LR) * 1e12 + 0.5).cast("long").alias("lr"))
+
+
+@query(f"""{_S} SELECT step, running FROM (SELECT step, cast(floor(avg(value) OVER (PARTITION BY epoch ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) * 1000000 + 0.37) AS bigint) AS running FROM s) WHERE step % 20 = 0""")
+def running_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Means of cents are often half a millionth; 0.37 keeps the rounding off such ties."""
+    return sequence.running_mean(_steps(spark, d), "epoch", ["ts", "event_id"], "value", 20, "step").select("step", F.floor(F.col("running") * 1e6 + 0.37).cast("long").alias("running"))
+
+
+@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE value > coalesce(b, 0.0)""")
+def best_so_far(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.best_so_far(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", "event_id")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query(f"SELECT cast(cast(ts AS date) AS varchar) AS epoch, count(*) AS steps, {m('avg(value)')} AS value FROM events GROUP BY 1")
+def epoch_means(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").withColumn("epoch", F.to_date("ts").cast("string"))
+    return sequence.epoch_means(e, "epoch", ["value"]).withColumn("value", micro(F.col("value")))
