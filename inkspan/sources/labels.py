@@ -27,8 +27,9 @@ def parse_labels(lines: DataFrame, strict: bool = True) -> DataFrame:
     rows = lines.where(F.col("value") != "")
     mode = {"mode": "FAILFAST"} if strict else {}
     payload = F.get(parts, F.lit(1))
-    if strict:
-        payload = F.coalesce(payload, F.raise_error(F.concat(F.lit("label line without a tab: "), F.col("value"))).cast("string"))
+    if strict:  # the filter above does not keep an expression from being evaluated on blank lines
+        missing = payload.isNull() & (F.col("value") != "")
+        payload = F.when(missing, F.raise_error(F.concat(F.lit("label line without a tab: "), F.col("value"))).cast("string")).otherwise(payload)
     return rows.select(*[c for c in lines.columns if c != "value"], F.get(parts, F.lit(0)).alias("rel_path"), F.from_json(payload, BOXES, mode).alias("boxes"))
 
 
