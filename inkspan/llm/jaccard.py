@@ -11,12 +11,15 @@ equal sets form a class, represented by its smallest doc_id.
    are compared with it, which joins large groups of near copies with a number of
    comparisons that is linear in their size.
 3. Signature trees.  What is left are pairs of different components that meet in a
-   bucket.  Each bucket is a tree over its members, ordered by size: nodes hold the
-   OR (and the AND) of their members' token bitmaps and the range of set sizes.  Two
-   trees are traversed together, and a pair of nodes is dropped when the largest
-   overlap that bitmaps and sizes allow cannot reach the threshold, or when all its
-   members are in one component already.  Buckets of more than LEAF members are cut
-   into blocks by size, of which only pairs with fitting sizes meet.
+   bucket.  Buckets with the same smallest set form one group, so that near copies,
+   which share many shingles, meet once and not in each of them.  A group is a tree
+   over its members, ordered by size: nodes hold the OR (and the AND) of their members'
+   token bitmaps and the range of set sizes.  Two trees are traversed together, and a
+   pair of nodes is dropped when the largest overlap that bitmaps and sizes allow
+   cannot reach the threshold, or when all its members are in one component already.  A first traversal looks at an eighth of
+   the shingles and leaves only members that may link; the second looks at all.
+   Groups of more than LEAF members are cut into blocks by size, of which only pairs
+   with fitting sizes meet.
 4. Surviving pairs are verified on the whole texts; components are joined by
    alternating stars.
 
@@ -47,7 +50,7 @@ SAMPLE = 4096
 COMMON = 200_000
 #: Members of a bucket that one tree holds.
 LEAF = 512
-FANOUT = 8
+FANOUT = 16
 #: Places in the fixed-size filter that keeps texts out of the verifying join.
 FILTER = 1 << 20
 
@@ -110,15 +113,25 @@ def _tokens(documents: DataFrame, size: int, percent: int, common: np.ndarray) -
     return documents.select("text").mapInArrow(run, "token long, sid long, n int")
 
 
+def bitmap(s: np.ndarray, n: int) -> bytes:
+    """One bit per shingle by its low bits, in 2^k bits of at least eight for each of n."""
+    width = max(64, 1 << int(8 * n - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _sets(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, sid, n) of each document; sid is null for empty sets."""
+    """(doc_id, sid, n, bits) of each document; sid is null for empty sets; bits are of an eighth of the shingles."""
 
     def run(batches):
         for b in batches:
             sets = list(shingle_sets(utf8(b.column(1)), size))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())], names=["doc_id", "sid", "n"])
+            keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
+            bits = pa.array([bitmap(s[: np.searchsorted(s, np.uint64(1 << 61))], max(8, len(s) // 8)) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array([len(s) for s in sets], pa.int32()), bits], names=["doc_id", "sid", "n", "bits"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sid long, n int")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sid long, n int, bits binary")
 
 
 def _common(documents: DataFrame, size: int, rows: int) -> np.ndarray:
@@ -138,55 +151,53 @@ def _common(documents: DataFrame, size: int, rows: int) -> np.ndarray:
 
 
 def _bitmaps(documents: DataFrame, size: int) -> DataFrame:
-    """(sid, bits): one bit per shingle by its low bits, in 2^k bits of about twice the set."""
+    """(sid, bits): bitmaps of all shingles."""
 
     def run(batches):
         for b in batches:
-            keys, maps = [], []
-            for s in shingle_sets(utf8(b.column(0)), size):
-                if len(s):
-                    width = min(max(64, 1 << int(2 * len(s) - 1).bit_length()), 1 << 15)
-                    bits = np.zeros(width, np.uint8)
-                    bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
-                    keys.append(set_key(s))
-                    maps.append(np.packbits(bits, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(maps, pa.binary())], names=["sid", "bits"])
+            sets = [s for s in shingle_sets(utf8(b.column(0)), size) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([bitmap(s, len(s)) for s in sets], pa.binary())], names=["sid", "bits"])
 
     return documents.select("text").mapInArrow(run, "sid long, bits binary").dropDuplicates(["sid"])
 
 
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (last axis) as ones of fewer bytes: halves are OR-combined, as a shingle's place is its hash modulo the width."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
 class Node:
-    """A node of a signature tree: OR and AND of its members' bitmaps, sizes, members or children."""
+    """A node of a signature tree: OR and AND of its bitmaps, range of sizes, and either members or children.
 
-    __slots__ = ("all", "any", "children", "comp", "hi", "lo", "member")
+    Folding an AND gives bits that every member's folded bitmap has, so bounds stay sound.
+    """
 
-    def __init__(self, children, member=None, bits=None, n=0, comp=None):
-        self.children, self.member = children, member
-        if member is not None:
-            self.any = self.all = bits
-            self.lo = self.hi = n
-            self.comp = comp
-        else:
+    def __init__(self, children=(), ids=None, sizes=None, comps=None, bits=None):
+        self.children, self.ids, self.sizes, self.comps, self.bits = children, ids, sizes, comps, bits
+        if children:
             w = min(len(c.any) for c in children)
             self.any = np.bitwise_or.reduce([fold(c.any, w) for c in children])
-            # folding an AND would claim bits for a node that only some members have both halves of; OR of halves is sound
             self.all = np.bitwise_and.reduce([fold(c.all, w) for c in children])
             self.lo, self.hi = min(c.lo for c in children), max(c.hi for c in children)
-            comps = {c.comp for c in children}
-            self.comp = comps.pop() if len(comps) == 1 else None
-
-
-def fold(bits: np.ndarray, width: int) -> np.ndarray:
-    """A bitmap as one of fewer bytes: halves are OR-combined, as a shingle's place is its hash modulo the width."""
-    while len(bits) > width:
-        half = len(bits) // 2
-        bits = bits[:half] | bits[half:]
-    return bits
+            own = {c.comp for c in children}
+        else:
+            self.any, self.all = np.bitwise_or.reduce(bits), np.bitwise_and.reduce(bits)
+            self.lo, self.hi = int(sizes.min()), int(sizes.max())
+            own = set(comps.tolist())
+        self.comp = own.pop() if len(own) == 1 else None
 
 
 def tree(members: list[tuple]) -> Node:
     """members: (id, n, comp, bits)."""
-    level = [Node(None, m[0], m[3], m[1], m[2]) for m in sorted(members, key=lambda m: (m[1], m[0]))]
+    level = []
+    members = sorted(members, key=lambda m: (m[1], m[0]))
+    for i in range(0, len(members), FANOUT):
+        part = members[i : i + FANOUT]
+        w = min(len(m[3]) for m in part)
+        level.append(Node((), *(np.array([m[k] for m in part], np.int64) for k in (0, 1, 2)), np.stack([fold(m[3], w) for m in part])))
     while len(level) > 1:
         level = [Node(level[i : i + FANOUT]) if len(level[i : i + FANOUT]) > 1 else level[i] for i in range(0, len(level), FANOUT)]
     return level[0]
@@ -199,62 +210,103 @@ def may_link(x: Node, y: Node, percent: int) -> bool:
     if 100 * x.hi < percent * y.lo or 100 * y.hi < percent * x.lo:
         return False
     w = min(len(x.any), len(y.any))
-    xa, ya = fold(x.any, w), fold(y.any, w)
-    most_x = x.hi - int(np.bitwise_count(fold(x.all, w) & ~ya).sum())
-    most_y = y.hi - int(np.bitwise_count(fold(y.all, w) & ~xa).sum())
-    most = min(most_x, most_y)
-    if x.member is not None and y.member is not None:
-        return 100 * most >= percent * (x.lo + y.lo - most)
-    return 100 * most >= percent * max(x.lo, y.lo)
-
-
-def traverse(x: Node, y: Node, percent: int, out: set) -> None:
-    """Adds the pairs of members that may link."""
+    most_x = x.hi - int(np.bitwise_count(fold(x.all, w) & ~fold(y.any, w)).sum())
+    most_y = y.hi - int(np.bitwise_count(fold(y.all, w) & ~fold(x.any, w)).sum())
+    return 100 * min(most_x, most_y) >= percent * max(x.lo, y.lo)
+
+
+def _compare(x: Node, y: Node, percent: int, out: set, single: bool) -> None:
+    """All members of two lowest nodes at once, by the same bounds."""
+    w = min(x.bits.shape[1], y.bits.shape[1])
+    a, b = fold(x.bits, w), fold(y.bits, w)
+    both = np.bitwise_count(a[:, None] & b[None]).sum(2, dtype=np.int64)
+    most_a = x.sizes[:, None] - (np.bitwise_count(a).sum(1, dtype=np.int64)[:, None] - both)
+    most_b = y.sizes[None] - (np.bitwise_count(b).sum(1, dtype=np.int64)[None] - both)
+    most = np.minimum(most_a, most_b)
+    ok = (100 * most >= percent * (x.sizes[:, None] + y.sizes[None] - most)) & (x.comps[:, None] != y.comps[None])
+    if single:
+        out.update(x.ids[ok.any(1)].tolist(), y.ids[ok.any(0)].tolist())
+        return
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        p, q = int(x.ids[i]), int(y.ids[j])
+        out.add((min(p, q), max(p, q)))
+
+
+def traverse(x: Node, y: Node, percent: int, out: set, single: bool = False) -> None:
+    """Adds the pairs of members that may link; single: only the members that are in such a pair."""
     stack = [(x, y)]
     while stack:
         x, y = stack.pop()
-        if x is y:
-            if x.member is None and x.comp is None:
+        if x is y and x.children:
+            if x.comp is None:
                 stack += [(a, b) for i, a in enumerate(x.children) for b in x.children[i:]]
+        elif not may_link(x, y, percent):
             continue
-        if not may_link(x, y, percent):
-            continue
-        if x.member is not None and y.member is not None:
-            out.add((min(x.member, y.member), max(x.member, y.member)))
-        elif y.member is None and (x.member is not None or y.hi - y.lo >= x.hi - x.lo):
+        elif not x.children and not y.children:
+            _compare(x, y, percent, out, single)
+        elif y.children and (not x.children or y.hi - y.lo >= x.hi - x.lo):
             stack += [(x, c) for c in y.children]
         else:
             stack += [(c, y) for c in x.children]
 
 
-def _solve(percent: int):
+def _solve(percent: int, single: bool):
+    """Traverses the tree of each group: pairs (a, b), or (center, rep) of members that are in a pair."""
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: set = set()
+        found: list = []
+        pairs: set = set()
         maps = [np.frombuffer(x, np.uint8) for x in pdf["bits"]]
         rows = list(zip(pdf["rep"], pdf["n"], pdf["comp"], maps, strict=True))
-        side, token = pdf["side"].to_numpy(), pdf["token"].to_numpy()
-        order = np.argsort(token, kind="stable")
-        for part in np.split(order, np.nonzero(np.diff(token[order]))[0] + 1):
+        side, center = pdf["side"].to_numpy(), pdf["center"].to_numpy()
+        order = np.argsort(center, kind="stable")
+        for part in np.split(order, np.nonzero(np.diff(center[order]))[0] + 1):
             left = [rows[i] for i in part if side[i] <= 0]
             right = [rows[i] for i in part if side[i] == 1]
             if not left:
                 continue
-            x = tree(left)
-            if right:
-                traverse(x, tree(right), percent, out)
-            else:
-                traverse(x, x, percent, out)
-        return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
+            x, out = tree(left), set() if single else pairs
+            traverse(x, tree(right) if right else x, percent, out, single)
+            if single:
+                found += [(center[part[0]], r) for r in out]
+        return pd.DataFrame(found if single else sorted(pairs), columns=["a", "b"]).astype("int64")
 
     return solve
 
 
+def _jobs(members: DataFrame, percent: int) -> DataFrame:
+    """The members (center, sid, rep, n, comp, m: size of the group) of each tree or pair of trees: pack, x, y, side."""
+    zero = F.lit(0).cast("long")
+    packs = max(1, members.count() // 4_000)
+    few = members.where(F.col("m") <= LEAF).select("center", "sid", "rep", "n", "comp", F.pmod(F.xxhash64("center"), F.lit(packs)).alias("pack"), zero.alias("x"), zero.alias("y"), F.lit(0).alias("side"))
+    # larger groups: blocks by size class, so that only a block and its neighbours can link
+    klass = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
+    many = members.where(F.col("m") > LEAF).withColumn("k", klass)
+    part = many.groupBy("center", "k").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("parts"))
+    many = many.join(part, ["center", "k"]).withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    near = part.select("center", F.col("k").alias("k2"), F.col("parts").alias("parts2"))
+    pairs_of = many.join(near, "center").where(F.abs(F.col("k2") - F.col("k")) <= 2).withColumn("p2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
+    me, other = F.struct("k", "p"), F.struct(F.col("k2").alias("k"), F.col("p2").alias("p"))
+    side = F.when(me == other, -1).when(me < other, 0).otherwise(1)
+    blocks = pairs_of.select("center", "sid", "rep", "n", "comp", F.xxhash64("center").alias("pack"), F.xxhash64(F.least(me, other)).alias("x"), F.xxhash64(F.greatest(me, other)).alias("y"), side.alias("side"))
+    return few.unionByName(blocks)
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of groups in which different components meet, with the group's size m."""
+    groups = members.groupBy("center").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("center", "m")
+    return members.join(groups, "center")
+
+
+def _only(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents that can be among ids.id, by a filter of at most FILTER places, whatever the number of ids."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    return documents.select(F.col("doc_id").cast("long"), "text").withColumn("at", place("doc_id")).join(F.broadcast(ids.select(place("id").alias("at")).distinct()), "at", "left_semi").select("doc_id", "text")
+
+
 def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets link."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    # at most FILTER rows, whatever the number of pairs
-    places = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(place("id").alias("at")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long"), "text").withColumn("at", place("doc_id")).join(F.broadcast(places), "at", "left_semi").select("doc_id", "text")
+    texts = _only(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
@@ -276,41 +328,30 @@ def jaccard_join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCE
     classes = base.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     common = _common(documents, size, rows)
     tokens = _tokens(documents, size, percent, common)
-    buckets = tokens.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("first"), F.max("sid").alias("last")).where(F.col("first.sid") != F.col("last")).select("token", "first")
-    met = tokens.join(buckets, "token").groupBy("token", "sid").agg(F.max("n").alias("n"), F.first("first").alias("first"))
-    met = cut(met.select("token", "sid", "n", F.col("first.sid").alias("center"), F.col("first.n").alias("center_n")))
+    buckets = tokens.groupBy("token").agg(F.min("sid").alias("center"), F.max("sid").alias("last")).where("center <> last").select("token", "center")
+    # all buckets with one smallest set are one group: whoever meets in a bucket meets there
+    met = cut(tokens.join(buckets, "token").groupBy("center", "sid").agg(F.count("*").alias("shared"), F.max("n").alias("n")))
+    ids = classes.select("sid", "rep", "n")
 
     # stars: only a way to join near copies early, so weak candidates can wait
-    fits = (100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n")) & (F.col("sid") != F.col("center"))
-    strong = met.where(fits).groupBy("center", "sid").agg(F.count("*").alias("shared"), F.max("n").alias("n")).where(F.col("shared") * 100 >= (100 - percent) * F.col("n") * 0.25)
+    strong = met.where((F.col("sid") != F.col("center")) & (F.col("shared") * 100 >= (100 - percent) * F.col("n") * 0.25))
+    fit = strong.join(ids.select(F.col("sid").alias("center"), F.col("rep").alias("a"), F.col("n").alias("center_n")), "center").where(100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n"))
     # a set needs few comparisons to be joined: its three best centers
-    best = strong.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "center")), False), 1, 3).alias("c")).select("sid", F.explode("c.center").alias("center"))
-    ids = classes.select("sid", "rep")
-    star = best.join(ids.select("sid", F.col("rep").alias("b")), "sid").join(ids.select(F.col("sid").alias("center"), F.col("rep").alias("a")), "center").select("a", "b")
+    best = fit.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "a")), False), 1, 3).alias("c")).select("sid", F.explode("c.a").alias("a"))
+    star = best.join(ids.select("sid", F.col("rep").alias("b")), "sid").select("a", "b")
     links = cut(_verified(documents, cut(star), size, percent))
     comps = cut(components(links))
 
-    # trees over what different components share
+    # trees over the groups in which different components meet
     label = classes.join(comps, classes["rep"] == comps["id"], "left").select("sid", "rep", F.coalesce("component", "rep").alias("comp"))
-    members = met.select("token", "sid", "n").join(label, "sid")
-    open_ = members.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 1 AND c0 <> c1").select("token", "m")
-    members = cut(members.join(open_, "token"))
-    total = max(1, members.count())
-    packs = max(1, total // 20_000)
-    few = members.where(F.col("m") <= LEAF).select("token", "sid", "rep", "n", "comp", F.pmod(F.xxhash64("token"), F.lit(packs)).alias("pack"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"))
-    # larger buckets: blocks by size class, so that only a block and its neighbours can link
-    klass = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
-    many = members.where(F.col("m") > LEAF).withColumn("k", klass)
-    part = many.groupBy("token", "k").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("parts"))
-    many = many.join(part, ["token", "k"]).withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    near = part.select("token", F.col("k").alias("k2"), F.col("parts").alias("parts2"))
-    pairs_of = many.join(near, "token").where(F.abs(F.col("k2") - F.col("k")) <= 2).withColumn("p2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
-    me, other = F.struct("k", "p"), F.struct(F.col("k2").alias("k"), F.col("p2").alias("p"))
-    side = F.when(me == other, -1).when(me < other, 0).otherwise(1)
-    blocks = pairs_of.select("token", "sid", "rep", "n", "comp", F.xxhash64("token").alias("pack"), F.xxhash64(F.least(me, other)).alias("x"), F.xxhash64(F.greatest(me, other)).alias("y"), side.alias("side"))
-    jobs = few.unionByName(blocks)
-    signed = jobs.join(_bitmaps(documents, size), "sid")
-    maybe = signed.groupBy("pack", "x", "y").applyInPandas(_solve(percent), "a long, b long").distinct()
+    members = cut(_open(met.select("center", "sid", "n").join(label, "sid")))
+    # first by an eighth of the shingles, which parts sets that share little; then what is left by all
+    eighth = base.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.first("bits").alias("bits"))
+    some = _jobs(members, percent).join(eighth, "sid").groupBy("pack", "x", "y").applyInPandas(_solve(percent, True), "a long, b long")
+    left = members.drop("m").join(some.select(F.col("a").alias("center"), F.col("b").alias("rep")).distinct(), ["center", "rep"], "left_semi")
+    left = cut(_open(left))
+    signed = _jobs(left, percent).join(_bitmaps(_only(documents, left.select(F.col("rep").alias("id"))), size), "sid")
+    maybe = signed.groupBy("pack", "x", "y").applyInPandas(_solve(percent, False), "a long, b long").distinct()
     more = _verified(documents, cut(maybe.join(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), ["a", "b"], "left_anti")), size, percent)
     final = components(links.unionByName(more))
     placed = base.join(classes.select("sid", "rep"), "sid", "left").join(final, F.col("rep") == F.col("id"), "left")
