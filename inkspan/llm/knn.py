@@ -15,9 +15,8 @@ only the pruning, and results are exact for any pivots.
 
 Defined results: vectors that are null, or hold null or non-finite components, and
 rows without vec_id take no part; shorter vectors count as padded with zeros; a
-candidate with the query's own vec_id is its own row; repeated rows are candidates
-and queries of their own vec_id, each (query, candidate) pair counting once; scores
-beyond 64 bits saturate; an empty table gives no rows.
+candidate with the query's own vec_id is its own row; of rows that share a vec_id
+the largest vector counts, once; scores beyond 64 bits saturate; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,8 +55,7 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _solve(k: int, dims: int):
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("vec_id", kind="stable").drop_duplicates("vec_id")
-        left = left.drop_duplicates("vec_id")
+        right = right.sort_values("vec_id")
         ids, x, out = right["vec_id"].to_numpy(), _matrix(right["v"], dims), []
         for at in range(0, len(left), 256):
             part = left.iloc[at : at + 256]
@@ -98,6 +96,7 @@ def knn_join(embeddings: DataFrame, is_query: Column, k: int = 5, n_pivots: int
     schema = "query_id long, rank int, vec_id long, score long"
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     vectors = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fit).select(F.col("vec_id").cast("long"), quantised(F.col("embedding")).alias("v"), is_query.alias("asks"))
+    vectors = vectors.groupBy("vec_id").agg(F.max("v").alias("v"), F.max("asks").alias("asks"))
     dims = vectors.agg(F.max(F.size("v"))).first()[0]
     if dims is None:
         return spark.createDataFrame([], schema)
@@ -151,7 +150,7 @@ def knn_join(embeddings: DataFrame, is_query: Column, k: int = 5, n_pivots: int
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both sides come from one scan
     solved = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_solve(k, pivots.shape[1]), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return solved.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:

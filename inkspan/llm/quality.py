@@ -18,8 +18,8 @@ all that the driver sees.  Scoring reads every whole text once, in tasks.
 Defined results: null texts are empty; a document without words gets the network's
 score of the zero vector; without labels of both classes every score is the share of
 label 1 (1 if there are none); conflicting labels of one doc_id all count; a null
-doc_id is never held out and takes no label; rows may repeat; further columns are
-ignored.
+doc_id is never held out and takes no label; rows may repeat; a column `score` is
+replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -184,6 +184,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """All columns of documents and `score`, the probability that the label is 1."""
     vectors, network = fit(documents, labels, sample)
+    documents = documents.drop("score")
     schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())])
     text_at = documents.columns.index("text")
 
@@ -199,7 +200,8 @@ def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents of at least the threshold's score, all columns kept."""
-    return score(documents, labels).where(F.col("score") >= threshold).select(*documents.columns)
+    kept = documents.withColumnRenamed("score", "__score") if "score" in documents.columns else documents
+    return score(kept, labels).where(F.col("score") >= threshold).drop("score").toDF(*documents.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ larger than a shard.  Groups above a share of the corpus are packed one by one
 (there can be only 3 * n_shards * LARGE of them); all smaller ones are dealt by
 hash into BUNDLES bundles, packed as one item each.  So the driver packs a bounded
 number of items, whatever the corpus holds: largest first, each to the shard where
-the dot product of its size vector with the residual capacity is highest.
+the dot product of its size vector with the residual capacity is highest.  The law's
+dimension, bytes, is evened out by the smallest items.
 
 Law: `bytes` (shard sizes are near equal; tokens and rows are balanced beside them).
 
@@ -27,13 +28,23 @@ from .shared import cut, table
 LARGE = 64
 BUNDLES = 4096
 CHUNK_ROWS = 20_000
+FINISH = 0.15
 
 
 def pack_items(sizes: np.ndarray, n_shards: int) -> np.ndarray:
-    """Greedy vector packing; sizes: one row of shares (of each dimension's total) per item."""
+    """Greedy vector packing; sizes: one row of shares (of each dimension's total) per item.
+
+    The last items, FINISH of the first dimension's total, even out that dimension alone.
+    """
     residual = np.full((n_shards, sizes.shape[1]), 1.0 / n_shards)
     placed = np.zeros(len(sizes), np.int64)
-    for i in np.lexsort((np.arange(len(sizes)), -sizes.max(axis=1))):
+    order = np.lexsort((np.arange(len(sizes)), -sizes.max(axis=1)))
+    joint = np.cumsum(sizes[order, 0]) <= sizes[:, 0].sum() * (1 - FINISH)
+    for i, all_dims in zip(order, joint, strict=True):
+        if not all_dims:
+            placed[i] = k = int(np.argmax(residual[:, 0]))
+            residual[k] -= sizes[i]
+            continue
         fits = (residual + 1e-12 >= sizes[i]).all(axis=1)
         worth = residual @ sizes[i]
         k = int(np.argmax(np.where(fits, worth, -np.inf))) if fits.any() else int(np.argmax(worth))
@@ -42,6 +53,10 @@ def pack_items(sizes: np.ndarray, n_shards: int) -> np.ndarray:
     return placed
 
 
+def _piece():
+    return F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1))).cast("string")
+
+
 def shard(documents: DataFrame, n_shards: int = 8, bundles: int = BUNDLES) -> DataFrame:
     """doc_id, size, text_crc32, n_tokens, shard, slot."""
     spark = documents.sparkSession
@@ -62,12 +77,14 @@ def shard(documents: DataFrame, n_shards: int = 8, bundles: int = BUNDLES) -> Da
     pieces = {r["group"]: r for r in large.collect()}
     small = groups.join(F.broadcast(large.select("group")), "group", "left_anti").groupBy(F.pmod(F.xxhash64("group"), F.lit(bundles)).alias("bundle")).agg(*(F.sum(d).alias(d) for d in dims))
     items = [(f"b{r['bundle']}", *(r[d] / total[d] for d in dims)) for r in small.collect()]
-    items += [(f"{g}/{p}", *(r[d] / total[d] / r["pieces"] for d in dims)) for g, r in pieces.items() for p in range(r["pieces"])]
+    items += [(f"{g}/0", *(r[d] / total[d] for d in dims)) for g, r in pieces.items() if r["pieces"] == 1]
+    known = spark.createDataFrame([(g, r["pieces"]) for g, r in pieces.items()], "group string, pieces int")
+    split = docs.join(F.broadcast(known.where("pieces > 1")), "group").groupBy(F.concat("group", F.lit("/"), _piece()).alias("item")).agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows"))
+    items += [(r["item"], *(r[d] / total[d] for d in dims)) for r in split.collect()]
     items.sort()
     placed = pack_items(np.array([x[1:] for x in items], float).reshape(len(items), 3), n_shards)
     where = spark.createDataFrame([(x[0], int(k)) for x, k in zip(items, placed, strict=True)], "item string, shard int")
-    known = spark.createDataFrame([(g, r["pieces"]) for g, r in pieces.items()], "group string, pieces int")
-    item = F.when(F.col("pieces").isNotNull(), F.concat(F.col("group"), F.lit("/"), F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1))).cast("string"))).otherwise(
+    item = F.when(F.col("pieces").isNotNull(), F.concat(F.col("group"), F.lit("/"), _piece())).otherwise(
         F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("string"))
     )
     put = docs.join(F.broadcast(known), "group", "left").withColumn("item", item).join(F.broadcast(where), "item")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into arrays at once.
-SLAB = 1 << 20
+SLAB = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

@@ -157,10 +157,10 @@ def _entries(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "doc long, place long, c long, nu long, bytes binary")
 
 
-def _only(docs: DataFrame, wanted: DataFrame, kind: str = "left_semi") -> DataFrame:
-    """The documents that can be among wanted.doc, by a filter of at most FILTER places."""
+def _only(docs: DataFrame, wanted: DataFrame, kind: str = "left_semi", key: str = "doc") -> DataFrame:
+    """The documents that can be among wanted, by a filter of at most FILTER places."""
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    return docs.withColumn("at", at("doc")).join(F.broadcast(wanted.select(at("doc").alias("at")).distinct()), "at", kind).drop("at")
+    return docs.withColumn("__at", at(key)).join(F.broadcast(wanted.select(at(key).alias("__at")).distinct()), "__at", kind).drop("__at")
 
 
 def suffix_order(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,12 +284,11 @@ def removed_spans(documents: DataFrame) -> DataFrame:
 
     path = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
     found.mapInArrow(run, "doc long, lo array<long>, hi array<long>").write.option("compression", "zstd").parquet(path)
-    spans = spark.read.parquet(path)
+    spans = spark.read.parquet(path).toDF("__doc", "__lo", "__hi")
     none = F.expr("cast(array() as array<long>)")
-    keyed = keyed.withColumnRenamed("__doc", "doc")
-    clean = _only(keyed, spans, "left_anti").withColumns({"__from": none, "__to": none})
-    hit = _only(keyed, spans).join(spans, "doc", "left").withColumns({"__from": F.coalesce("lo", none), "__to": F.coalesce("hi", none)}).drop("lo", "hi")
-    return clean.unionByName(hit).drop("doc")
+    clean = _only(keyed, spans, "left_anti", "__doc").withColumns({"__from": none, "__to": none})
+    hit = _only(keyed, spans, "left_semi", "__doc").join(spans, "__doc", "left").withColumns({"__from": F.coalesce("__lo", none), "__to": F.coalesce("__hi", none)}).drop("__lo", "__hi")
+    return clean.unionByName(hit).drop("__doc")
 
 
 def kept_bytes(text: bytes, lo: list[int], hi: list[int]) -> bytes:
