@@ -92,6 +92,30 @@ def header_size(b: bytes | None) -> tuple[int, int]:
     return 0, 0
 
 
+def decode_images(images: DataFrame, make: Callable[[], list[Callable[[bytes], tuple[int, int, bytes]]]]) -> DataFrame:
+    """path, width, height, rgb, error: bytes through the first decoder that takes them.
+
+    Join with a split before `content` is selected, so that only wanted files are read.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoders = make()
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                row = (path, None, None, None, "no decoder")
+                for decoder in decoders:
+                    try:
+                        row = (path, *decoder(content), None)
+                        break
+                    except Exception as e:  # the next decoder may take it
+                        row = (path, None, None, None, f"{type(e).__name__}: {e}")
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "rgb", "error"])
+
+    return images.select("path", "content").mapInPandas(run, "path string, width int, height int, rgb binary, error string")
+
+
 def score_maps(images: DataFrame, make: Callable[[], Callable[[bytes], list[list[float]]]]) -> DataFrame:
     """image_id, y, x, p: a network's probability maps as pixels, to be decoded."""
 

@@ -78,6 +78,21 @@ def threshold_map(boxes: DataFrame, ratio: float, low: float, high: float, width
     return px.groupBy("image_id", "y", "x").agg(F.max(near).alias("v")).select("image_id", "y", "x", (F.col("v") * (high - low) + low).alias("value"))
 
 
+def ring_mask(boxes: DataFrame, ratio: float, width: int, height: int) -> DataFrame:
+    """image_id, y, x of the union over boxes of expanded minus shrunk, the pixels that learn a threshold."""
+    px = ring_pixels(dealt(boxes), ratio, width, height)
+    cut = lambda v: v.cast("int")
+    core = F.col("x").between(cut(F.greatest(F.col("x0") + F.col("d"), F.lit(0.0))), cut(F.col("x0") + F.col("w") - F.col("d"))) & F.col("y").between(cut(F.greatest(F.col("y0") + F.col("d"), F.lit(0.0))), cut(F.col("y0") + F.col("h") - F.col("d")))
+    return px.where(~core).select("image_id", "y", "x").distinct()
+
+
+def masked_out(boxes: DataFrame, ratio: float, min_size: float, width: int, height: int) -> DataFrame:
+    """image_id, y, x of boxes that are ignored, or that shrink to nothing; no later box brings these pixels back."""
+    gone = shrunk(dealt(boxes), ratio).where(ignored(F.col("w"), F.col("h"), min_size) | F.col("sx0").isNull())
+    px = box_pixels(gone, F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h"), ["image_id"], width, height)
+    return px.distinct()
+
+
 def polygon_pixels(polygons: DataFrame, width: int, height: int) -> DataFrame:
     """image_id, box_idx, y, x of polygons given as points, boundary included.
 

@@ -296,6 +296,19 @@ def threshold_map(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("image_id").agg(F.count("*").alias("pixels"), F.floor(F.sum("value") * 1000 + 0.5).cast("long").alias("total"))
 
 
+@query(f"""{_B}, {_RING} SELECT image_id, count(DISTINCT y * 640 + x) AS pixels FROM ring JOIN b USING (image_id, box_idx)
+WHERE NOT (x BETWEEN trunc(greatest(x0 + d, 0)) AND trunc(x0 + w - d) AND y BETWEEN trunc(greatest(y0 + d, 0)) AND trunc(y0 + h - d)) GROUP BY image_id""")
+def ring_mask(spark: SparkSession, d: str) -> DataFrame:
+    return raster.ring_mask(boxes(spark, d), SHRINK, WIDTH, HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"))
+
+
+@query(f"""{_B}, g AS (SELECT image_id, y, unnest(range(cast(x0 AS int), cast(least(x0 + w, 639) AS int) + 1)) AS x
+  FROM (SELECT *, unnest(range(cast(y0 AS int), cast(least(y0 + h, 639) AS int) + 1)) AS y FROM b WHERE least(w, h) < {MIN_TEXT}))
+SELECT image_id, count(DISTINCT y * 640 + x) AS pixels FROM g GROUP BY image_id""")
+def prob_mask(spark: SparkSession, d: str) -> DataFrame:
+    return raster.masked_out(boxes(spark, d), SHRINK, MIN_TEXT, WIDTH, HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"))
+
+
 # --- losses over probability maps ----------------------------------------------------
 
 _T = """, t AS (SELECT a.image_id, a.y, a.x, least(greatest(a.p, 0.000001), 0.999999) AS p, CASE WHEN b.p > 0.5 THEN 1.0 ELSE 0.0 END::double AS t, CASE WHEN a.y BETWEEN 1 AND 6 THEN 1.0 ELSE 0.0 END::double AS m, b.p AS q

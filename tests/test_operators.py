@@ -213,6 +213,34 @@ def test_plugins(spark):
     assert [(r.y, r.x, r.p) for r in maps.collect()] == [(0, 0, 0.1), (0, 1, 0.9)]
 
 
+def test_image_decoders_fall_back(spark):
+    df = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"no"))], "path string, content binary")
+
+    def make():
+        def second(content):
+            if content != b"ok":
+                raise ValueError("unknown format")
+            return 1, 1, b"rgb"
+
+        return [lambda content: 1 / 0, second]
+
+    got = {r.path: (r.width, r.error) for r in plugins.decode_images(df, make).collect()}
+    assert got == {"a": (1, None), "b": (None, "ValueError: unknown format")}
+
+
+def test_config(tmp_path):
+    from inkspan import config
+
+    (tmp_path / "c.yaml").write_text("loss:\n  alpha: 2\n")
+    path, rest = config.split_args(["x.yaml", "loss.beta=3", str(tmp_path / "c.yaml")])
+    c = config.load(path, rest)
+    assert (c.loss.alpha, c.loss.beta, c.decode.thresh) == (2.0, 3.0, 0.3)
+    config.dump(c, str(tmp_path / "d.yaml"))
+    assert config.load(str(tmp_path / "d.yaml")) == c
+    with pytest.raises(KeyError):
+        config.load(None, ["loss.gamma=1"])
+
+
 def test_streams_resume(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
