@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Rolling, cut, lowered, mix, slabs, table, utf8, word_spans
+from .shared import Rolling, cut, lowered, mix, parts, slabs, table, utf8, word_spans
 
 SHINGLE = 4
 PERCENT = 85
@@ -91,7 +91,7 @@ def _tokens(documents: DataFrame, size: int, percent: int, common: np.ndarray) -
     """(token, sid, n): the prefix of each set."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             out, keys, ns = [], [], []
             for s in shingle_sets(utf8(b.column(0)), size):
                 n = len(s)
@@ -125,7 +125,7 @@ def _sets(documents: DataFrame, size: int) -> DataFrame:
     """(doc_id, sid, n, bits) of each document; sid is null for empty sets; bits are of an eighth of the shingles."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             sets = list(shingle_sets(utf8(b.column(1)), size))
             keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
             bits = pa.array([bitmap(s[: np.searchsorted(s, np.uint64(1 << 61))], max(8, len(s) // 8)) for s in sets], pa.binary())
@@ -140,7 +140,7 @@ def _common(documents: DataFrame, size: int, rows: int) -> np.ndarray:
     sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             for s in shingle_sets(utf8(b.column(0)), size):
                 yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(np.full(len(s), set_key(s), np.int64))], names=["token", "sid"])
 
@@ -154,7 +154,7 @@ def _bitmaps(documents: DataFrame, size: int) -> DataFrame:
     """(sid, bits): bitmaps of all shingles."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             sets = [s for s in shingle_sets(utf8(b.column(0)), size) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([bitmap(s, len(s)) for s in sets], pa.binary())], names=["sid", "bits"])
 
@@ -310,7 +310,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             sets = list(shingle_sets(utf8(b.column(2)) + utf8(b.column(3)), size))
             keep = []
             for x, y in zip(sets[: b.num_rows], sets[b.num_rows :], strict=True):
@@ -325,10 +325,11 @@ def jaccard_join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCE
     """doc_id, n_shingles, component_id."""
     base = cut(_sets(documents, size))
     rows = base.count()
-    classes = base.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = cut(base.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     common = _common(documents, size, rows)
     tokens = _tokens(documents, size, percent, common)
-    buckets = tokens.groupBy("token").agg(F.min("sid").alias("center"), F.max("sid").alias("last")).where("center <> last").select("token", "center")
+    # cut from the join that follows, so that it may split a hot shingle's rows over tasks
+    buckets = cut(tokens.groupBy("token").agg(F.min("sid").alias("center"), F.max("sid").alias("last")).where("center <> last").select("token", "center"))
     # all buckets with one smallest set are one group: whoever meets in a bucket meets there
     met = cut(tokens.join(buckets, "token").groupBy("center", "sid").agg(F.count("*").alias("shared"), F.max("n").alias("n")))
     ids = classes.select("sid", "rep", "n")

@@ -100,6 +100,13 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
 
 
+def parts(batches, rows: int = 500):
+    """Arrow batches in slices of so many rows, so that a worker holds few texts as Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def utf8(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null gives none."""
     import pyarrow as pa

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Rolling, mix, shared_dir, table
+from .shared import Rolling, cut, mix, parts, shared_dir, table
 
 LENGTH = 200
 WIDTH = 8
@@ -126,7 +126,7 @@ def _parse(docs: DataFrame) -> DataFrame:
                 k, u, place = phrases(np.frombuffer(text, np.uint8))
                 out.append((k, u, np.full(len(k), ids[i]), place))
                 size += len(k)
-                if size > 100_000:
+                if size > 50_000:
                     yield _rows(out)
                     out, size = [], 0
             if out:
@@ -145,14 +145,14 @@ def _entries(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     both = _only(docs, wanted).join(per_doc, "doc").select("doc", "bytes", "want.place", "want.c", "want.nu")
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             docs_, texts = b.column(0).to_pylist(), b.column(1)
             for i, d in enumerate(docs_):
                 text = texts[i].as_py()
                 place = np.array(b.column(2)[i].as_py(), np.int64)
                 start, n = place >> 32, (place >> 8) & 0xFFFFFF
-                cut = [text[s : s + m + LENGTH - 1] for s, m in zip(start.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(cut), pa.int64()), pa.array(place), b.column(3)[i].values, b.column(4)[i].values, pa.array(cut, pa.binary())], names=["doc", "place", "c", "nu", "bytes"])
+                found = [text[s : s + m + LENGTH - 1] for s, m in zip(start.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(found), pa.int64()), pa.array(place), b.column(3)[i].values, b.column(4)[i].values, pa.array(found, pa.binary())], names=["doc", "place", "c", "nu", "bytes"])
 
     return both.mapInArrow(run, "doc long, place long, c long, nu long, bytes binary")
 
@@ -220,7 +220,7 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _windows(batches):
     """Each window of entries with a hot key: its hash, place and count."""
-    for b in batches:
+    for b in parts(batches):
         for d, place, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
             i = np.arange((place >> 8) & 0xFFFFFF)
             h = Rolling(np.frombuffer(text, np.uint8)).of(i, i + LENGTH)
@@ -232,11 +232,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     weight = F.when(F.col("place").bitwiseAND(255) == 0, F.shiftright("place", 8).bitwiseAND(0xFFFFFF)).otherwise(1)
     rows = _parse(docs)
-    keys = rows.select("k", weight.alias("w")).groupBy("k").agg(F.sum("w").alias("w")).where("w > 1").select("k")
+    # counts are cut from the joins that use them, so that these may split a hot key's rows over tasks
+    keys = cut(rows.select("k", weight.alias("w")).groupBy("k").agg(F.sum("w").alias("w")).where("w > 1").select("k"))
     path = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
     rows.join(keys, "k").write.option("compression", "zstd").parquet(path)
     parse = spark.read.parquet(path)
-    entries = parse.groupBy("k", "u").agg(F.sum(weight).alias("c"), F.min(F.struct("doc", "place")).alias("first"))
+    entries = cut(parse.groupBy("k", "u").agg(F.sum(weight).alias("c"), F.min(F.struct("doc", "place")).alias("first")))
     whole = parse.join(entries.where("c > 1").select("k", "u"), ["k", "u"]).select("doc", F.shiftright("place", 32).alias("start"), F.shiftright("place", 8).bitwiseAND(0xFFFFFF).alias("n"))
     open_ = entries.groupBy("k").agg(F.count("*").alias("nu"), F.min("c").alias("least")).where("nu > 1 AND least = 1").select("k", "nu")
     wanted = entries.join(open_, "k").select("first.doc", "first.place", "c", "nu", "k")
@@ -303,7 +304,7 @@ def report(documents: DataFrame) -> DataFrame:
     spans = removed_spans(documents.select("doc_id", "text"))
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             lo, hi = b.column(2).to_pylist(), b.column(3).to_pylist()
             kept = [hashlib.sha256(kept_bytes(*x)).hexdigest() for x in zip(texts, lo, hi, strict=True)]

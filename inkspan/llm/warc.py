@@ -37,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, shared_dir, table
+from .shared import cut, parts as slices, shared_dir, table
 
 BLOCK = 512
 FILE_BYTES = 64 << 20
@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         files, out, name, at = _Files(folder), None, None, 0
-        for b in batches:
+        for b in slices(batches):
             offsets, lengths, names = [], [], []
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None or at > FILE_BYTES:
