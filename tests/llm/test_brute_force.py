@@ -169,6 +169,20 @@ def test_lm_base_and_gain(spark):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
+@needs_tables
+def test_lm_lexicon_only_moves_the_look_up(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 3"))
+    scored = lambda: {r.doc_id: r for r in lm.score(docs, ~lm.held_out(F.col("doc_id"), 7, 2)).collect()}
+    whole = scored()
+    monkeypatch.setattr(lm, "LEXICON", 5)
+    few = scored()
+    assert whole.keys() == few.keys()
+    for i, r in few.items():
+        assert (r.n_tokens, r.n_known) == (whole[i].n_tokens, whole[i].n_known)
+        assert (r.base_score, r.score) == pytest.approx((whole[i].base_score, whole[i].score))
+
+
 def test_lm_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(i, "the cat sat on the mat and the dog ran") for i in range(20)], "doc_id long, text string")
     model = lm.tree(lm.counts(df).where(F.col("kind") == lm.GRAM).select("code", "n"), least=1, gain=0.0)
