@@ -5,7 +5,7 @@ near_copies    of each group of documents that link at 5-word shingles and a Jac
                similarity of 0.8, the one of the smallest doc_id stays
 repeats        strings of 200 bytes that occur elsewhere go from the texts
 decontaminate  documents that hold a 10-word window of a benchmark item go
-encode         pieces of each text, its N best segmentations' scores and a round trip
+encode         pieces of each text, its N best segmentations (scores and pieces) and a round trip of each
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     made = pieces.encode(docs.select("doc_id", "text"))
-    return made.select("doc_id", "text", "ids", "n_best_scores", "round_trip")
+    return made.select("doc_id", "text", "ids", "n_best_scores", "n_best", "round_trip")
 
 
 STAGES = [

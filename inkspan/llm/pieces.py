@@ -14,7 +14,8 @@ lattice of a text is a chain of the lattices of its chunks (spaces and what foll
 up to the next space).  The forward pass runs once per distinct chunk, for all
 chunks of some megabytes at once, and also gives the score gap to each chunk's
 second-best path.  The N best paths of a text can leave the best one only in the
-N - 1 chunks of the smallest gaps; A* runs on these and their lists are merged.
+N - 1 chunks of the smallest gaps; A* runs on these and their lists are merged.  The
+choices that a sum is made of are kept, and give each segmentation's ids.
 
 Encoding is reversible: spaces become the space sign, a text's own space signs are
 written as bytes, and a leading space sign is added to each text that is not empty.
@@ -251,11 +252,11 @@ def char_bytes(c: int) -> bytes:
     return chr(SIGN if c == _OWN_SIGN else c).encode()
 
 
-def merged(total: float, lists: list[list[float]], n: int) -> list[float]:
-    """The n best sums of one entry from each list, given the sum of all firsts."""
-    sums = [total]
+def merged(total: float, lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best sums of one entry from each list, given the sum of all firsts, and the entries taken."""
+    sums: list = [(total, ())]
     for scores in lists:
-        sums = sorted((s + x - scores[0] for s in sums for x in scores), reverse=True)[:n]
+        sums = sorted(((s + x - scores[0], (*c, i)) for s, c in sums for i, x in enumerate(scores)), key=lambda y: -y[0])[:n]
     return sums
 
 
@@ -265,11 +266,16 @@ class Encoder:
 
     def encode(self, texts: list[str]):
         """Per text: (ids of the best segmentation, scores of the N best)."""
+        for ids, scores in self.segmentations(texts):
+            yield ids[0], scores
+
+    def segmentations(self, texts: list[str]):
+        """Per text: (ids of each of the N best segmentations, their scores), best first."""
         chars = [np.frombuffer((" " + t).encode("utf-32-le"), np.uint32) if t else np.zeros(0, np.uint32) for t in texts]
         doc_size = np.array(list(map(len, chars)), np.int64)
         if not doc_size.sum():
             for _ in texts:
-                yield np.zeros(0, np.int32), [0.0]
+                yield [np.zeros(0, np.int32)], [0.0]
             return
         c = np.concatenate(chars).astype(np.int64)
         c[c == SIGN] = _OWN_SIGN
@@ -295,18 +301,32 @@ class Encoder:
         chunk_doc = np.searchsorted(doc_at + doc_size, start, side="right")
         chunks = np.searchsorted(chunk_doc, np.arange(len(texts) + 1))
         total = np.concatenate([[0], np.cumsum(lattices.score[which])])
-        known: dict[int, list[float]] = {}
+        known: dict[int, tuple[list[float], list[np.ndarray]]] = {}
         for d in range(len(texts)):
             lo, hi = chunks[d], chunks[d + 1]
             gaps = lattices.gap[which[lo:hi]]
             k = min(self.n_best - 1, len(gaps))
             near = np.argpartition(gaps, k - 1)[:k] if 0 < k < len(gaps) else np.arange(len(gaps))
+            near = np.sort(near[np.isfinite(gaps[near])]) + lo
             lists = []
-            for w in which[lo:hi][near[np.isfinite(gaps[near])]].tolist():
+            for w in which[near].tolist():
                 if w not in known:
-                    known[w] = [s for s, _ in lattices.n_best(w, self.n_best)]
+                    found = lattices.n_best(w, self.n_best)
+                    own = ids[id_at[w] : id_at[w + 1]]
+                    # among equal scores the best path is the forward pass's one
+                    others = [np.array(x, np.int32) for _, x in found if x != own.tolist()]
+                    known[w] = [s for s, _ in found], [own, *others][: len(found)]
                 lists.append(known[w])
-            yield flat[to[lo] : to[hi]], merged(float(total[hi] - total[lo]), lists, self.n_best)
+            best = merged(float(total[hi] - total[lo]), [s for s, _ in lists], self.n_best)
+            made = []
+            for _, choice in best:
+                runs, at = [], to[lo]
+                for c, i, (_, paths) in zip(near.tolist(), choice, lists, strict=True):
+                    if i:
+                        runs += [flat[at : to[c]], paths[i]]
+                        at = to[c + 1]
+                made.append(np.concatenate([*runs, flat[at : to[hi]]]) if runs else flat[to[lo] : to[hi]])
+            yield made, [s for s, _ in best]
 
     def decode(self, ids: np.ndarray) -> bytes:
         v = self.v
@@ -327,11 +347,17 @@ def _slabs(texts: list[str]):
         at = to
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(list(map(len, arrays)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int32)))
+
+
 def encode(documents: DataFrame, model: str = MODEL, n_best: int = N_BEST) -> DataFrame:
-    """All columns of documents and ids (best segmentation), n_best_scores, round_trip."""
+    """All columns of documents and ids (best segmentation), n_best_scores, n_best (score and ids of each), round_trip (of all)."""
     v = load(model)  # read on the driver; some megabytes, fixed by the vocabulary
-    documents = documents.drop("ids", "n_best_scores", "round_trip")
-    made = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("n_best_scores", T.ArrayType(T.DoubleType())).add("round_trip", T.BooleanType())
+    documents = documents.drop("ids", "n_best_scores", "n_best", "round_trip")
+    path = T.StructType().add("score", T.DoubleType()).add("ids", T.ArrayType(T.IntegerType()))
+    made = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("n_best_scores", T.ArrayType(T.DoubleType())).add("n_best", T.ArrayType(path)).add("round_trip", T.BooleanType())
     schema = T.StructType([*documents.schema.fields, *made.fields])
     text_at = documents.columns.index("text")
 
@@ -341,11 +367,12 @@ def encode(documents: DataFrame, model: str = MODEL, n_best: int = N_BEST) -> Da
             raw = utf8(b.column(text_at))
             texts = [x.decode() for x in raw]
             for at, to in _slabs(texts):
-                ids, scores = zip(*coder.encode(texts[at:to]), strict=True)
-                same = [coder.decode(x) == t for x, t in zip(ids, raw[at:to], strict=True)]
-                offsets = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int32)
-                made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*b.slice(at, to - at).columns, made, pa.array(scores, pa.list_(pa.float64())), pa.array(same)], names=schema.names)
+                ids, scores = zip(*coder.segmentations(texts[at:to]), strict=True)
+                same = [all(coder.decode(x) == t for x in xs) for xs, t in zip(ids, raw[at:to], strict=True)]
+                best, every = _lists([xs[0] for xs in ids]), _lists([x for xs in ids for x in xs])
+                scores = pa.array(scores, pa.list_(pa.float64()))
+                listed = pa.ListArray.from_arrays(scores.offsets, pa.StructArray.from_arrays([scores.values, every], names=["score", "ids"]))
+                yield pa.RecordBatch.from_arrays([*b.slice(at, to - at).columns, best, scores, listed, pa.array(same)], names=schema.names)
 
     return documents.mapInArrow(run, schema)
 
@@ -368,4 +395,6 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = F.sha2(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))), 256)
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids.alias("ids_sha256"), F.get("n_best_scores", F.lit(0)).alias("score"), "n_best_scores", "round_trip")
+    # every segmentation's ids are digested; as text that would cost more than the search
+    every = F.transform("n_best", lambda x: F.xxhash64(x["ids"]))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids.alias("ids_sha256"), F.get("n_best_scores", F.lit(0)).alias("score"), "n_best_scores", every.alias("n_best_xxhash64"), "round_trip")
