@@ -360,9 +360,24 @@ def jaccard_join(documents: DataFrame, size: int = SHINGLE, percent: int = PERCE
 
 
 def keep_one(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component stays, the one of the smallest doc_id; all columns are kept."""
-    kept = jaccard_join(documents, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each component stays, of the smallest doc_id (null ones last); all columns are kept.
+
+    Rows are told apart by a hash of doc_id and text, so null ids link like others and of a repeated row
+    one copy stays.  Texts without words link with nothing and stay in every copy.
+    """
+    keyed = documents.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = cut(jaccard_join(keyed.select(F.col("__key").alias("doc_id"), "text"), size, percent))
+    ids = keyed.groupBy("__key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    linked = found.where("n_shingles > 0").select(F.col("doc_id").alias("__key"), "component_id").distinct().join(ids, "__key")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key", "copies")).alias("x")
+    kept = cut(linked.groupBy("component_id").agg(first).select("x.__key", "x.copies").unionByName(found.where("n_shingles = 0").select(F.col("doc_id").alias("__key"), F.lit(1).cast("long").alias("copies")).distinct()))
+    again = kept.where("copies > 1").select("__key")
+    once = keyed.join(kept.where("copies = 1").select("__key"), "__key", "left_semi")
+    if not again.isEmpty():
+        place = lambda: F.pmod(F.xxhash64("__key"), F.lit(FILTER))
+        near = keyed.withColumn("__at", place()).join(F.broadcast(again.select(place().alias("__at")).distinct()), "__at", "left_semi").drop("__at")
+        once = once.unionByName(near.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return once.select(*documents.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
