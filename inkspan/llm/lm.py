@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Rolling, cut, lowered, parts, table, utf8
+from .shared import cut, lowered, mix, parts, table, utf8, word_hashes
 
 DEPTH = 5
 LEAST = 8
@@ -98,7 +98,7 @@ class Tokens:
         start[0] = first[text[0]]
         new = np.diff(text) > 0
         start[1:] = np.where(new, first[text[1:]], self.spaces[:-1] + 1)
-        return Rolling(self.data).of(start, self.spaces), text
+        return word_hashes(self.data, start, self.spaces), text
 
 
 def _slabs(texts: list[bytes]):
@@ -329,7 +329,8 @@ def _scorer(model: list[dict], lexicon: tuple[np.ndarray, np.ndarray], ends: int
                 if not len(at_wait):
                     continue
                 # a token and the bytes before it decide its codes
-                kind_of = Rolling(t.data).of(np.nonzero(t.symbol)[0][first[at_wait]] - DEPTH, stops[at_wait] + 1).astype(np.int64)
+                begin = np.nonzero(t.symbol)[0][first]
+                kind_of = mix(word_hashes(t.data, begin, stops + 1) ^ mix(values[which[first]] >> np.uint64(8)))[at_wait].astype(np.int64)
                 word_h, count_, listed = np.zeros(len(stops), np.int64), np.full(len(stops), ends, np.int64), np.ones(len(stops), bool)
                 word_h[~is_end], count_[~is_end], listed[~is_end] = h.astype(np.int64), cw, known
                 w = pd.DataFrame({"text": doc[at_wait], "type": kind_of, "token": at_wait})

@@ -31,13 +31,12 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Rolling, parts, table, utf8
+from .shared import exact_codes, parts, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
@@ -287,8 +286,8 @@ class Encoder:
         begins[doc_at[doc_size > 0]] = True
         start = np.nonzero(begins)[0]
         stop = np.append(start[1:], len(c))
-        which, first = pd.factorize(Rolling(c).of(start, stop))
-        rep = np.zeros(len(first), np.int64)
+        which = exact_codes(c, start, stop)
+        rep = np.zeros(which.max() + 1, np.int64)
         rep[which[::-1]] = np.arange(len(which))[::-1]
         size = (stop - start)[rep]
         base = np.concatenate([[0], np.cumsum(size)])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Rolling, slabs, table, utf8, word_spans
+from .shared import slabs, table, utf8, word_hashes, word_spans
 
 DIMS = 64
 NONZERO = 4
@@ -59,7 +59,7 @@ def hashed_words(texts: list[bytes]):
     """Per slab: word hashes, and where each text's begin."""
     for i, j, data, starts in slabs(texts):
         a, b = word_spans(data)
-        yield i, j, Rolling(data).of(a, b), np.searchsorted(a, starts)
+        yield i, j, word_hashes(data, a, b), np.searchsorted(a, starts)
 
 
 class Vectors:

@@ -61,9 +61,11 @@ def shingles(text, size):
     return {tuple(ws[i : i + size]) for i in range(max(len(ws) - size + 1, 1))} if ws else set()
 
 
-@pytest.mark.parametrize(("seed", "size", "percent", "leaf"), [(1, 4, 85, 512), (2, 4, 85, 4), (3, 5, 80, 8)])
-def test_jaccard_join(spark, monkeypatch, seed, size, percent, leaf):
-    monkeypatch.setattr(jaccard, "LEAF", leaf)
+@pytest.mark.parametrize(("seed", "size", "percent", "block"), [(1, 4, 85, 1 << 20), (2, 4, 85, 900), (3, 5, 80, 2000)])
+def test_jaccard_join(spark, monkeypatch, seed, size, percent, block):
+    monkeypatch.setattr(jaccard, "BITMAPS", block)
+    monkeypatch.setattr(jaccard, "WHOLE", block)
+    monkeypatch.setattr(jaccard, "LOWEST", 4)
     rows = corpus(seed)
     sets = {i: shingles(t, size) for i, t in rows}
     parent = {i: i for i in sets}
@@ -87,14 +89,61 @@ def test_trees_lose_no_pair():
     members = []
     for k in range(60):
         s = np.unique(rng.integers(0, 2**63, rng.integers(20, 60)).astype(np.uint64)) if k % 3 == 0 else np.unique(np.concatenate([members[-1][4][2:], rng.integers(0, 2**63, 2).astype(np.uint64)]))
-        members.append((k, len(s), k, np.frombuffer(jaccard.bitmap(s, len(s)), np.uint8), s))
-    out = set()
-    t = jaccard.tree([m[:4] for m in members])
-    jaccard.traverse(t, t, 85, out)
+        members.append((k, len(s), k, int(s[0].astype(np.int64)), np.frombuffer(jaccard.bitmap(s, len(s)), np.uint8), s))
+    group = {k: {k} for k in range(60)}
+    t = jaccard.tree(members)
+    single = jaccard.members_that_may_link(t, t, 85)
     for a, b in itertools.combinations(members, 2):
-        i = len(np.intersect1d(a[4], b[4]))
+        i = len(np.intersect1d(a[5], b[5]))
         if 100 * i >= 85 * (a[1] + b[1] - i):
-            assert (a[0], b[0]) in out
+            assert {a[0], b[0]} <= single
+            if group[a[0]] is not group[b[0]]:
+                group[a[0]] |= group[b[0]]
+                for k in group[b[0]]:
+                    group[k] = group[a[0]]
+    links = jaccard.joining_links(jaccard.tree(members), jaccard.tree(members), 85)
+    components = {id(g) for g in group.values()}
+    assert len(links) == 60 - len(components) and all(group[a] is group[b] for a, b in links)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_collide_modulo_a_power_of_two(spark, n):
+    word = thue_morse(n)
+    rows = [(1, word), (2, word.translate({97: 98, 98: 97})), (3, word)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    assert jaccard.linked([rows[0][1].encode()], [rows[1][1].encode()], 4, 85) == [False]
+    known = {r.doc_id: r.n_known for r in lm.score(docs, F.col("doc_id") == 1).collect()}
+    assert known == {1: 2, 2: 1, 3: 2}
+    if os.path.exists(pieces.MODEL):
+        assert {r.round_trip for r in pieces.encode(docs).collect()} == {True}
+
+
+def test_one_large_group_of_near_copies(spark):
+    """3,000 copies with edits on both sides of the threshold."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(edited(rng, base, rng.choice([0.01, 0.03, 0.06])))) for i in range(3000)]
+    sets = [shingles(t, 4) for _, t in rows]
+    number, ids = {}, []
+    for s in sets:
+        ids.append([number.setdefault(x, len(number)) for x in s])
+    m = np.zeros((3000, len(number)), np.float32)
+    for i, own in enumerate(ids):
+        m[i, own] = 1
+    both, size, group = m @ m.T, m.sum(1), np.arange(3000)
+    links = 100 * both >= 85 * (size[:, None] + size[None] - both)
+    while True:
+        now = np.where(links, group[None], 3000).min(1)
+        if (now == group).all():
+            break
+        group = now
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(group.tolist()))
 
 
 def removed(rows, length=200):
