@@ -18,8 +18,11 @@ def _least(links: DataFrame, to_smaller: bool) -> DataFrame:
     return near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """links: (u, v) of longs. Returns (id, component) for every id in a link; component is its smallest id."""
+def components(links: DataFrame, most_rounds: int = 64, settled: bool = True) -> DataFrame:
+    """links: (u, v) of longs. Returns (id, component) for every id in a link; component is its smallest id.
+
+    Not settled: the state after most_rounds, in which equal components are right but one may have several names.
+    """
     edges = cut(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(most_rounds):
@@ -29,11 +32,16 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         least = _least(large, True)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.where(F.col("u") != F.col("v")).distinct())
+        if not settled:
+            continue
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
         seen = now
     else:
-        raise RuntimeError("the components did not settle")
+        if settled:
+            raise RuntimeError("the components did not settle")
+        edges = edges.groupBy("u").agg(F.min("v").alias("v"))
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    ends = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return stars.unionByName(ends if settled else ends.join(edges.select(F.col("u").alias("id")), "id", "left_anti"))

@@ -383,13 +383,14 @@ def _open(members: DataFrame) -> DataFrame:
     return cut(members.drop("m").join(cut(groups), "center"))
 
 
-def _place(c: str):
-    return F.pmod(F.xxhash64(c), F.lit(FILTER))
+def _place(*names: str):
+    return F.pmod(F.xxhash64(*names), F.lit(FILTER))
 
 
 def _only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose th can be among wanted.th, by a filter of at most FILTER places, whatever the number wanted."""
-    return rows.withColumn("__at", _place("th")).join(F.broadcast(wanted.select(_place("th").alias("__at")).distinct()), "__at", "left_semi").drop("__at")
+    """The rows whose (doc_id, th) can be among those wanted, by a filter of at most FILTER places, whatever the number wanted."""
+    places = wanted.select(_place("doc_id", "th").alias("__at")).distinct()
+    return rows.withColumn("__at", _place("doc_id", "th")).join(F.broadcast(places), "__at", "left_semi").drop("__at")
 
 
 def _pairs(batches, limit: int = 1 << 19):
@@ -438,7 +439,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, classes: DataFrame, size: int,
     rep = classes.select("sid", "rep.doc_id", "rep.th")
     ends = pairs.join(rep.select(F.col("sid").alias("a"), F.col("doc_id").alias("doc_a"), F.col("th").alias("th_a")), "a").join(rep.select(F.col("sid").alias("b"), F.col("doc_id").alias("doc_b"), F.col("th").alias("th_b")), "b")
     ends = cut(ends)
-    some = _only(texts, ends.select(F.col("th_a").alias("th")).union(ends.select("th_b"))).select("doc_id", "th", "text")
+    some = _only(texts, ends.select(F.col("doc_a").alias("doc_id"), F.col("th_a").alias("th")).union(ends.select("doc_b", "th_b")))
     for k in "ab":
         own = some.toDF(f"own_{k}", f"key_{k}", f"text_{k}")
         ends = ends.join(own, (F.col(f"th_{k}") == F.col(f"key_{k}")) & F.col(f"doc_{k}").eqNullSafe(F.col(f"own_{k}")))
@@ -473,11 +474,9 @@ def _stars(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(sid, n, low, comp): a name that only sets of one component share, after two steps along the links."""
-    one = cut(links.groupBy("b").agg(F.min("a").alias("c1")).select(F.col("b").alias("sid"), F.least("c1", "b").alias("c1")))
-    two = one.select(F.col("sid").alias("c1"), F.col("c1").alias("c2"))
-    step = one.join(two, "c1", "left").select("sid", F.least("c1", F.coalesce("c2", "c1")).alias("c"))
-    return classes.join(step, "sid", "left").select("sid", "n", "low", F.coalesce("c", "sid").alias("comp"))
+    """(sid, n, low, comp): a name that only sets of one component share, after two rounds over the links."""
+    near = components(links.toDF("u", "v"), 2, settled=False)
+    return classes.join(near.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", "low", F.coalesce("component", "sid").alias("comp"))
 
 
 def _found(documents: DataFrame, size: int, percent: int, lane: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -501,7 +500,7 @@ def _found(documents: DataFrame, size: int, percent: int, lane: int = 0) -> tupl
     left = _open(members.join(some.toDF("center", "sid").distinct(), ["center", "sid"], "left_semi"))
 
     def solved(left: DataFrame, across: bool) -> DataFrame:
-        wanted = left.select("sid").distinct().join(classes.select("sid", "rep.th"), "sid")
+        wanted = left.select("sid").distinct().join(classes.select("sid", "rep.doc_id", "rep.th"), "sid")
         sets = _whole(_only(texts, wanted), size, lane).withColumnRenamed("shingles", "bits")
         return cut(_jobs(left, percent, WHOLE, across).join(sets, "sid").groupBy("pack", "x", "y").applyInPandas(_solve(percent, True), "a long, b long").distinct())
 
@@ -534,18 +533,18 @@ def keep_one(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     Of a repeated row one copy stays.  Texts without words link with nothing and stay in every copy.
     """
     base, placed = _found(documents, size, percent)
-    first = placed.groupBy("component").agg(F.min("rep").alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th"), F.lit(True).alias("__first"))
+    first = placed.groupBy("component").agg(F.min("rep").alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th"))
     often = base.where("n > 0").groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__often"), F.col("th").alias("__key"))
-    first = cut(first.join(often, F.col("__id").eqNullSafe(F.col("__often")) & (F.col("__th") == F.col("__key")), "left").withColumn("__again", F.col("__key").isNotNull()).drop("__often", "__key"))
-    # texts without words come back beside them, by their hashes
-    blank = base.where("n = 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct().withColumns({"__first": F.lit(False), "__again": F.lit(False)})
-    kept = cut(first.unionByName(blank))
+    first = first.join(often, F.col("__id").eqNullSafe(F.col("__often")) & (F.col("__th") == F.col("__key")), "left").withColumn("__again", F.col("__key").isNotNull())
+    # texts without words stay, in every copy
+    blank = base.where("n = 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct().withColumn("__again", F.lit(False))
+    kept = cut(first.select("__id", "__th", "__again").unionByName(blank))
     keyed = documents.withColumn("__own", F.xxhash64("text"))
     here = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th"))
     once = keyed.join(kept.where("NOT __again").select("__id", "__th"), here, "left_semi")
     again = kept.where("__again").select("__id", "__th")
     if not again.isEmpty():
-        near = keyed.withColumn("__at", _place("__own")).join(F.broadcast(again.select(_place("__th").alias("__at")).distinct()), "__at", "left_semi").drop("__at")
+        near = keyed.withColumn("__at", _place("doc_id", "__own")).join(F.broadcast(again.select(_place("__id", "__th").alias("__at")).distinct()), "__at", "left_semi").drop("__at")
         once = once.unionByName(near.join(again, here, "left_semi").dropDuplicates(["doc_id", "__own"]))
     return once.select(*documents.columns)
 

@@ -11,9 +11,10 @@ Network.  Two layers in numpy (tanh, then logistic), trained with Adam on the sa
 with its output temperature fitted on a part of the sample left out of training, so
 that scores are calibrated probabilities.
 
-The training sample is bounded: at most SAMPLE labelled documents, those of the lowest
-hash of doc_id, per class.  It and the model (VOCABULARY vectors of DIMS numbers) are
-all that the driver sees.  Scoring reads every whole text once, in tasks.
+The training sample is bounded: at most SAMPLE labelled documents per class, those of the
+lowest hash of doc_id, and of these as many, in this order, as have SAMPLE_BYTES together.
+One task fits on it, and only the model (VOCABULARY vectors of DIMS numbers, pickled) passes
+through the driver.  Scoring reads every whole text once, in tasks.
 
 Defined results: null texts are empty; a document without words gets the network's
 score of the zero vector; without labels of both classes every score is the share of
@@ -24,10 +25,12 @@ replaced, other columns stay.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +40,7 @@ DIMS = 64
 NONZERO = 4
 REACH = 2
 SAMPLE = 2500
+SAMPLE_BYTES = 64 << 20
 VOCABULARY = 50_000
 HIDDEN = 32
 THRESHOLD = 0.7
@@ -159,15 +163,8 @@ class Constant:
         return np.full(len(x), self.share)
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """(vectors, network) from at most `sample` labelled documents of each class that are not held out."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.when(F.col("quality") > 0, 1).otherwise(0).alias("y"))
-    few = None
-    for y in (0, 1):
-        part = own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        few = part if few is None else few.unionByName(part)
-    counts = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
-    rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").toPandas()  # 2 * sample rows at most
+def fitted(rows: pd.DataFrame, counts: dict[int, int]):
+    """(vectors, network) from rows (doc_id, text, y); counts: labels of each class."""
     rows = rows.sort_values(["doc_id", "text", "y"]).drop_duplicates()
     texts, y = [t.encode() for t in rows["text"]], rows["y"].to_numpy(float)
     vectors = Vectors(texts)
@@ -181,14 +178,37 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return vectors, network
 
 
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> bytes:
+    """The pickled (vectors, network) from at most `sample` labelled documents of each class that are not held out."""
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.when(F.col("quality") > 0, 1).otherwise(0).alias("y"))
+    few = None
+    for y in (0, 1):
+        part = own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        few = part if few is None else few.unionByName(part)
+    counts = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", text.alias("text"), F.xxhash64("doc_id").alias("at")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", "text", "y"])
+    before = Window.partitionBy("y").orderBy("at", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= sample_bytes // 2).select("doc_id", "text", "y")
+
+    def run(batches):
+        held = list(batches)
+        yield pd.DataFrame({"model": [pickle.dumps(fitted(pd.concat(held), counts))] if held else []})
+
+    # a bounded sample, so one task holds it
+    made = rows.coalesce(1).mapInPandas(run, "model binary").collect()
+    return bytes(made[0]["model"]) if made else pickle.dumps(fitted(pd.DataFrame({"doc_id": [], "text": [], "y": []}), counts))
+
+
 def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """All columns of documents and `score`, the probability that the label is 1."""
-    vectors, network = fit(documents, labels, sample)
+    model = fit(documents, labels, sample)
     documents = documents.drop("score")
     schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())])
     text_at = documents.columns.index("text")
 
     def run(batches):
+        vectors, network = pickle.loads(model)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
