@@ -1,17 +1,25 @@
 """Exact top-k inner products by a Voronoi join.
 
 Vectors are quantised to floor(256 * x).  Each is put into the cell of its nearest
-pivot.  One small aggregate per cell (rows, radius) and per cell of queries gives
-bounds: with a = pivot of the queries, b = pivot of the data and radii r, s, every
-score lies within a.b +- (r|b| + s|a| + r*s).  A cell of data is needed by a cell of
-queries only if its upper bound reaches the k-th largest lower bound that other
-cells guarantee.  Cells are cut into blocks of BLOCK rows and queries into blocks
-of QUERIES, so a very common vector fills several blocks and no task holds more
-than one block of each.  Each pair of blocks is solved with one matrix product and
-keeps k rows per query; a last ranking merges the blocks.
-
-Pivots come from a bounded sample (PIVOTS rows, lowest hash of vec_id); they steer
-only the pruning, and results are exact for any pivots.
+pivot.  One small aggregate holds a summary of each cell: its rows, the range of its
+members' lengths along the pivot (a) and the largest part across it (r).  For a query q,
+with d its product with the pivot's direction and p its part across it, every score in
+the cell is at most max(a_low * d, a_high * d) + p * r.
+
+1. Each query is solved against the blocks that hold its own cell (and, where that has
+   under FIRST rows, the cells of the highest bounds), which gives its threshold: the
+   k-th score found there.
+2. A query goes on only to blocks with a cell whose bound reaches its threshold; their
+   scores below it never leave the task.  A last ranking merges the two.
+
+Cells are cut into blocks of BLOCK rows (small cells share one), and the queries that
+reach a block into parts of QUERIES, so a very common vector fills several blocks and no
+task holds more than one block and one part.  Which query reaches which block is a
+table; the driver sees one summary row per cell.
+
+Pivots come from a bounded sample, the rows of lowest hash of vec_id: the square root
+of the number of rows, PIVOTS at most.  They steer only the pruning; results are exact
+for any pivots.
 
 Defined results: vectors that are null, or hold null or non-finite components, and
 rows without vec_id take no part; shorter vectors count as padded with zeros; a
@@ -26,11 +34,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import cut, table
 
-PIVOTS = 48
+PIVOTS = 4096
 BLOCK = 4096
 QUERIES = 2048
+FIRST = 256
 _EXACT = float(1 << 53)
 
 
@@ -39,8 +48,11 @@ def quantised(embedding: Column) -> Column:
 
 
 def _matrix(column, dims: int) -> np.ndarray:
-    out = np.zeros((len(column), dims))
-    for i, v in enumerate(column):
+    rows = list(column)
+    if rows and all(len(v) == dims for v in rows):
+        return np.stack(rows).astype(np.float64)
+    out = np.zeros((len(rows), dims))
+    for i, v in enumerate(rows):
         out[i, : len(v)] = v
     return out
 
@@ -54,103 +66,136 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _solve(k: int, dims: int):
+    """The k best of a block for each query of a part, as far as they reach the query's threshold."""
+
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("vec_id")
         ids, x, out = right["vec_id"].to_numpy(), _matrix(right["v"], dims), []
-        for at in range(0, len(left), 256):
+        for at in range(0, len(left) if len(right) else 0, 256):
             part = left.iloc[at : at + 256]
             s = _scores(_matrix(part["v"], dims), x)
-            own = part["vec_id"].to_numpy()
-            cut_at = np.partition(s, -min(k + 1, s.shape[1]), axis=1)[:, -min(k + 1, s.shape[1])] if s.shape[1] else None
-            for i, q in enumerate(own):
-                near = np.nonzero(s[i] >= cut_at[i])[0] if cut_at is not None else []
+            cut_at = np.partition(s, -min(k + 1, s.shape[1]), axis=1)[:, -min(k + 1, s.shape[1])]
+            for i, (q, least) in enumerate(zip(part["vec_id"].tolist(), part["least"].tolist(), strict=True)):
+                near = np.nonzero(s[i] >= (cut_at[i] if least is None or np.isnan(least) else max(cut_at[i], int(least))))[0]
                 near = near[ids[near] != q]
                 near = near[np.lexsort((ids[near], -s[i][near].astype(float)))] if np.abs(s[i]).max() < _EXACT else np.array(sorted(near, key=lambda j: (-int(s[i][j]), ids[j])), int)
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near[:k]], "score": s[i][near[:k]]}))
+                if len(near):
+                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near[:k]], "score": s[i][near[:k]]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     return solve
 
 
-def needed(data: dict, asked: dict, pivots: np.ndarray, k: int) -> dict[int, list[int]]:
-    """For each cell of queries, the cells of data that may hold one of the k best."""
-    norms, dots = np.sqrt((pivots**2).sum(1)), pivots @ pivots.T
-    out = {}
-    for g, r in asked.items():
-        cells = sorted(data)
-        s = np.array([data[c][1] for c in cells])
-        slack = (r * norms[cells] + s * norms[g] + r * s) * (1 + 1e-9) + 1e-6
-        low, high = dots[g, cells] - slack, dots[g, cells] + slack
-        rows = np.array([data[c][0] for c in cells], float)
-        rows[cells.index(g)] -= 1 if g in cells else 0  # the query's own row
-        order = np.argsort(-low, kind="stable")
-        enough = np.nonzero(np.cumsum(rows[order]) >= k)[0]
-        least = low[order][enough[0]] if len(enough) else -np.inf
-        out[g] = [c for c, h in zip(cells, high, strict=True) if h >= least]
-    return out
+class Cells:
+    """Directions of the pivots and summaries of their cells; blocks that the cells lie in."""
+
+    def __init__(self, pivots: np.ndarray, rows: list, block: int) -> None:
+        length = np.linalg.norm(pivots, axis=1, keepdims=True)
+        self.pivots, self.directions = pivots, pivots / np.where(length > 0, length, 1)
+        self.of = np.array([r["cell"] for r in rows], np.int64)
+        self.rows = np.array([r["rows"] for r in rows], np.int64)
+        self.low, self.high, self.across = (np.array([r[c] for r in rows], float) for c in ("low", "high", "across"))
+        # neighbouring cells share blocks: they are taken in the order of the coarse pivot they are nearest to
+        coarse = (pivots[self.of] @ pivots[: max(1, int(len(pivots) ** 0.5))].T).argmax(1) if len(rows) else np.zeros(0)
+        self.first, self.parts, base, fill = np.zeros(len(rows), np.int32), np.ones(len(rows), np.int32), 0, 0
+        for i in np.lexsort((self.of, coarse)).tolist():
+            n = rows[i]["rows"]
+            if fill and fill + n <= block:
+                self.first[i], fill = base - 1, fill + n
+                continue
+            self.first[i], self.parts[i] = base, -(-n // block)
+            base, fill = base + int(self.parts[i]), n if n <= block else block
+        self.n_blocks = base
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The largest score that each cell can hold for each query."""
+        d = q @ self.directions[self.of].T
+        across = np.sqrt(np.maximum((q**2).sum(1)[:, None] - d**2, 0))
+        size = np.linalg.norm(q, axis=1)[:, None] * (np.maximum(np.abs(self.low), np.abs(self.high)) + self.across)
+        return np.maximum(self.low * d, self.high * d) + across * self.across + 1e-9 * size + 1e-6
+
+    def blocks_of(self, cells: np.ndarray) -> list[int]:
+        return sorted({int(b) for i in cells for b in range(self.first[i], self.first[i] + self.parts[i])})
+
+
+def place(pivots: np.ndarray):
+    """Adds to each vector its cell and its parts along and across the pivot."""
+    length = np.linalg.norm(pivots, axis=1, keepdims=True)
+    directions = pivots / np.where(length > 0, length, 1)
+
+    def run(batches):
+        for b in batches:
+            m = _matrix(b["v"], pivots.shape[1])
+            cell = ((pivots**2).sum(1)[None] - 2 * m @ pivots.T).argmin(1)
+            along = (m * directions[cell]).sum(1)
+            yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "asks": b["asks"], "cell": cell.astype(np.int32), "along": along, "across": np.sqrt(np.maximum((m**2).sum(1) - along**2, 0))})
 
+    return run
 
-def knn_join(embeddings: DataFrame, is_query: Column, k: int = 5, n_pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best candidates of each query row."""
-    spark = embeddings.sparkSession
-    schema = "query_id long, rank int, vec_id long, score long"
+
+def reach(cells: Cells, first: bool):
+    """For each query (vec_id, v, cell, least) the blocks it meets first, or the others that its threshold leaves."""
+
+    def run(batches):
+        at = {int(c): i for i, c in enumerate(cells.of)}
+        for b in batches:
+            found = []
+            bound = cells.bounds(_matrix(b["v"], cells.pivots.shape[1]))
+            for own, near, least in zip(b["cell"], bound, b["least"].astype(float).fillna(-np.inf), strict=True):
+                order = np.argsort(-np.where(np.arange(len(near)) == at[int(own)], np.inf, near), kind="stable")
+                begin = cells.blocks_of(order[: 1 + np.searchsorted(np.cumsum(cells.rows[order]), FIRST)])
+                found.append(begin if first else sorted(set(cells.blocks_of(np.nonzero(near >= least)[0])) - set(begin)))
+            yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "least": b["least"], "blocks": found})
+
+    return run
+
+
+def _joined(asked: DataFrame, data: DataFrame, k: int, dims: int) -> DataFrame:
+    """asked: vec_id, v, least, blocks; data: vec_id, v, block."""
+    asked = cut(asked.select("vec_id", "v", "least", F.explode("blocks").alias("block")))
+    parts = cut(asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
+    left = asked.join(parts, "block").select("vec_id", "v", "least", "block", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
+    right = data.join(parts, "block").select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(_solve(k, dims), "query_id long, vec_id long, score long")
+
+
+def _placed(embeddings: DataFrame, is_query: Column, n_pivots: int | None, block: int) -> tuple[DataFrame, Cells] | None:
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     vectors = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fit).select(F.col("vec_id").cast("long"), quantised(F.col("embedding")).alias("v"), is_query.alias("asks"))
-    vectors = vectors.groupBy("vec_id").agg(F.max("v").alias("v"), F.max("asks").alias("asks"))
-    dims = vectors.agg(F.max(F.size("v"))).first()[0]
-    if dims is None:
-        return spark.createDataFrame([], schema)
-    pivots = _matrix([r["v"] for r in vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()], max(dims, 1))
+    vectors = cut(vectors.groupBy("vec_id").agg(F.max("v").alias("v"), F.max("asks").alias("asks")))
+    facts = vectors.agg(F.max(F.size("v")).alias("dims"), F.count("*").alias("n")).first()
+    if facts["dims"] is None:
+        return None
+    n_pivots = n_pivots or min(PIVOTS, max(16, round(facts["n"] ** 0.5)))
+    sample = [r["v"] for r in vectors.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()]
+    pivots = np.unique(_matrix(sample, max(facts["dims"], 1)), axis=0)
+    placed = cut(vectors.mapInPandas(place(pivots), "vec_id long, v array<long>, asks boolean, cell int, along double, across double"))
+    # at most n_pivots rows
+    rows = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.min("along").alias("low"), F.max("along").alias("high"), F.max("across").alias("across")).collect()
+    return placed, Cells(pivots, sorted(rows, key=lambda r: r["cell"]), block)
 
-    def place(batches):
-        for b in batches:
-            m = _matrix(b["v"], pivots.shape[1])
-            d = np.sqrt(np.maximum((m**2).sum(1)[:, None] - 2 * m @ pivots.T + (pivots**2).sum(1)[None], 0))
-            cell = d.argmin(1)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "v": b["v"], "asks": b["asks"], "cell": cell.astype(np.int32), "far": np.sqrt(((m - pivots[cell]) ** 2).sum(1))})
 
-    placed = vectors.mapInPandas(place, "vec_id long, v array<long>, asks boolean, cell int, far double")
+def knn_join(embeddings: DataFrame, is_query: Column, k: int = 5, n_pivots: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best candidates of each query row."""
+    spark = embeddings.sparkSession
+    found = _placed(embeddings, is_query, n_pivots, BLOCK)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    placed, cells = found
+    dims = cells.pivots.shape[1]
     # at most n_pivots rows
-    cells = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("far"), F.max(F.when(F.col("asks"), F.col("far"))).alias("query_far"), F.count_if("asks").alias("queries")).collect()
-    data = {r["cell"]: (r["rows"], r["far"]) for r in cells}
-    need = needed(data, {r["cell"]: r["query_far"] for r in cells if r["queries"]}, pivots, k)
-    # neighbouring cells of queries share blocks of queries; a block needs what any of its cells needs
-    group_of, wanted, size = {}, [set()], 0
-    for r in sorted((r for r in cells if r["queries"]), key=lambda r: r["cell"]):
-        if size and size + r["queries"] > QUERIES:
-            wanted.append(set())
-            size = 0
-        group_of[r["cell"]] = len(wanted) - 1
-        wanted[-1] |= set(need[r["cell"]])
-        size += r["queries"]
-    in_group = [sum(r["queries"] for r in cells if group_of.get(r["cell"]) == g) for g in range(len(wanted))]
-    q_parts = [max(1, -(-n // QUERIES)) for n in in_group]
-    # (cell, part) of the data go to blocks of about BLOCK rows: large cells are split, small ones share
-    order, block_of, base, fill = sorted(data), {}, 0, 0
-    for c in order:
-        parts = -(-data[c][0] // BLOCK)
-        if parts == 1 and fill and fill + data[c][0] <= BLOCK:
-            block_of[c], fill = (base - 1, 1), fill + data[c][0]
-        else:
-            block_of[c], base, fill = (base, parts), base + parts, data[c][0] if parts == 1 else BLOCK
-    to_queries = {c: [g for g in range(len(wanted)) if c in wanted[g]] for c in order}
-    links = [(c, g, q_parts[g], *block_of[c]) for c in order for g in to_queries[c]]
-    link = spark.createDataFrame(links, "cell int, g int, q_parts int, first int, parts int") if links else None
-    if link is None:
-        return spark.createDataFrame([], schema)
-    # at most n_pivots * blocks of queries rows
-    right = placed.join(F.broadcast(link), "cell").select(
-        "vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block"), "g", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)).alias("qp")
-    )
-    blocks = sorted({(g, q, first + i) for _, g, q, first, parts in links for i in range(parts)})
-    own = spark.createDataFrame([(c, g) for c, g in group_of.items()], "cell int, g int")
-    reach = spark.createDataFrame(blocks, "g int, q_parts int, block int")
-    left = placed.where("asks").join(F.broadcast(own), "cell").join(F.broadcast(reach), "g").select("vec_id", "v", "block", "g", F.pmod(F.xxhash64("vec_id"), F.col("q_parts")).cast("int").alias("qp"))
-    keys = ["g", "qp", "block"]
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both sides come from one scan
-    solved = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_solve(k, pivots.shape[1]), "query_id long, vec_id long, score long")
+    where = spark.createDataFrame([(int(c), int(f), int(n)) for c, f, n in zip(cells.of, cells.first, cells.parts, strict=True)], "cell int, first int, parts int")
+    data = placed.join(F.broadcast(where), "cell").select("vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block"))
+    queries = placed.where("asks").select("vec_id", "v", "cell")
+    asked = "vec_id long, v array<long>, least long, blocks array<int>"
+    near = cut(_joined(queries.withColumn("least", F.lit(None).cast("long")).mapInPandas(reach(cells, True), asked), data, k, dims))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    near = cut(ranked(near))
+    least = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    far = _joined(queries.join(least, "vec_id", "left").select("vec_id", "v", "cell", "least").mapInPandas(reach(cells, False), asked), data, k, dims)
+    return ranked(near.drop("rank").unionByName(far)).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,10 +196,44 @@ def test_knn_with_many_blocks(spark, monkeypatch):
     assert {tuple(r) for r in knn.knn_join(df, F.col("vec_id") % 50 == 0, 5, 8).collect()} == want
 
 
-def test_voronoi_bounds_prune():
-    pivots = np.array([[10.0, 0.0], [-10.0, 0.0]])
-    assert knn.needed({0: (50, 1.0), 1: (50, 1.0)}, {0: 1.0}, pivots, 5) == {0: [0]}
-    assert knn.needed({0: (3, 1.0), 1: (50, 1.0)}, {0: 1.0}, pivots, 5) == {0: [0, 1]}
+def test_voronoi_bounds_hold_and_prune(spark):
+    """Bounds are never below a score of the cell, and clustered vectors need few cells."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(30, 16)) * 300
+    x = np.floor(centers[rng.integers(0, 30, 900)] + rng.normal(size=(900, 16)) * 20)
+    pivots = np.unique(x[:60], axis=0)
+    import pandas as pd
+
+    [placed] = knn.place(pivots)([pd.DataFrame({"vec_id": range(900), "v": list(x), "asks": True})])
+    g = placed.groupby("cell")
+    rows = [{"cell": c, "rows": len(m), "low": m["along"].min(), "high": m["along"].max(), "across": m["across"].max()} for c, m in g]
+    cells = knn.Cells(pivots, rows, 40)
+    bound = cells.bounds(x)
+    scores = x @ x.T
+    for i, (_, m) in enumerate(g):
+        assert (scores[:, m.index].max(1) <= bound[:, i]).all()
+    np.fill_diagonal(scores, -np.inf)
+    fifth = np.sort(scores, 1)[:, -5]
+    reached = [len(cells.blocks_of(np.nonzero(bound[q] >= fifth[q])[0])) for q in range(900)]
+    assert np.mean(reached) < 0.3 * cells.n_blocks
+
+
+@needs_tables
+def test_knn_solves_fewer_pairs_than_all(spark, monkeypatch):
+    """On embeddings, whose vectors point everywhere, the bounds still leave out some blocks."""
+    monkeypatch.setattr(knn, "BLOCK", 1)
+    monkeypatch.setattr(knn, "FIRST", 40)
+    seen, joined = [], knn._joined
+
+    def counted(asked, *rest):
+        seen.append(asked.selectExpr("sum(size(blocks)) AS n").first()["n"])
+        return joined(asked, *rest)
+
+    monkeypatch.setattr(knn, "_joined", counted)
+    df = spark.read.parquet(f"{DIR}/embeddings.parquet")
+    n = df.count()
+    knn.knn_join(df, F.col("vec_id") % 50 == 0, 5, n).collect()
+    assert sum(seen) < n * df.where("vec_id % 50 = 0").count()
 
 
 @needs_tables
