@@ -1,14 +1,15 @@
 """Benchmark decontamination with Spark expressions only.
 
-The normalised windows of all benchmark items form a hash set.  Every document is
-cut into words once; each of its word windows is hashed and looked up in the set
-inside the row, so only the few windows that may hit leave the row.  These are
-joined with the windows' words to verify them, and counted per document.
+The normalised windows of all benchmark items form a hash set.  Every document is cut
+into words once and each word is hashed once.  A window's fingerprint combines the
+hashes of three of its words; fingerprints are looked up inside the row, in a table of
+bits that the benchmark's windows set, so only the few windows that may hit leave the
+row, with their words.  These are joined with the windows' words to verify them, and
+counted per document.
 
-The hash set and the join's small side are sent to all executors only while they
-are within MAX_WINDOWS windows and MAX_BYTES bytes, which one small aggregate
-checks.  A larger benchmark takes the same plan without the set and with a
-shuffled join.
+The table of bits has a fixed size for a benchmark of any size (2^BITS at most, 2 MB):
+beyond some millions of windows it lets more through, and results stay the same.  The
+join's small side is broadcast by Spark's own size check.
 
 Defined results: null and empty texts have no words and no hits; an item without
 words is never found; rows with equal doc_id and text count as one document, rows
@@ -20,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import cut, table
 
 WINDOW = 10
-MAX_WINDOWS = 100_000
-MAX_BYTES = 32 << 20
+#: The table of bits has at least 16 for each window, between these powers of two.
+LEAST_BITS, BITS = 12, 24
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased, each with what follows it up to the next.
 PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -43,30 +44,48 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.groupBy("len", "gram").agg(F.collect_set("item").alias("items")).withColumn("h", F.xxhash64("gram"))
 
 
+def _place(hs: str, i: str, n: int, bits: int) -> tuple[str, str]:
+    """SQL: long and bit in it of the window of n words from place i (from 1), by the hashes of three of its words."""
+    first, middle, last = (f"{hs}[{i} + {k - 1}]" for k in (0, n // 2, n - 1))
+    return f"shiftrightunsigned({first} ^ shiftleft({middle}, 1), {70 - bits})", f"cast(({first} ^ {last}) & 63 AS int)"
+
+
+def _table(grams: DataFrame, bits: int) -> DataFrame:
+    """One row: the bits, 64 in a long."""
+    own = None
+    for r in grams.select("len").distinct().collect():
+        n = r["len"]
+        word, bit = _place("hs", "1", n, bits)
+        part = grams.where(F.col("len") == n).withColumn("hs", F.transform("gram", lambda w: F.xxhash64(w))).selectExpr(f"{word} AS word", f"{bit} AS bit")
+        own = part if own is None else own.unionByName(part)
+    words_ = own.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    every = grams.sparkSession.range(1 << (bits - 6)).withColumnRenamed("id", "word").join(words_, "word", "left")
+    # at most 2^(BITS - 6) numbers
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("x"))
+    return listed.select(F.transform("x", lambda y: y["bits"]).alias("bits"))
+
+
 def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, text_key, n_words, spans (start, len in words from 1), items (sorted)."""
-    grams = benchmark_windows(benchmark, window)
-    facts = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.concat_ws(" ", "gram")) + F.length(F.concat_ws(",", "items"))), F.lit(0)).alias("size"), F.collect_set("len").alias("lens")).first()
-    small = facts["n"] <= MAX_WINDOWS and facts["size"] <= MAX_BYTES
-    looked_up: dict[int, str] = {}
-    if small:  # at most MAX_WINDOWS hashes
-        for r in grams.select("len", "h").distinct().collect():
-            looked_up[r["len"]] = looked_up.get(r["len"], "") + f"{r['h']}L,"
+    grams = cut(benchmark_windows(benchmark, window))
+    facts = grams.agg(F.count("*").alias("n"), F.collect_set("len").alias("lens")).first()
+    cut_up = documents.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("ws"))
+    if not facts["n"]:
+        none = "cast(array() as array<struct<start:int,len:int>>)"
+        return cut_up.select("doc_id", "text_key", F.size("ws").cast("long").alias("n_words"), F.expr(none).alias("spans"), F.expr("cast(array() as array<string>)").alias("items")).distinct()
+    bits = min(BITS, max(LEAST_BITS, (16 * facts["n"]).bit_length()))
+    table_ = _table(grams, bits).first()["bits"]
+    spark = documents.sparkSession
+    known = spark.createDataFrame([(table_,)], "bits array<long>").scalar()
+    counted = cut_up.select("doc_id", "text_key", "ws", F.size("ws").alias("n_words"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"), known.alias("known"))
     parts = []
     for n in sorted(facts["lens"]):
-        starts = f"CASE WHEN n_words >= {n} THEN sequence(1, n_words - {n} + 1) ELSE array() END"
-        if small:
-            starts = f"filter({starts}, i -> xxhash64(slice(ws, i, {n})) IN ({looked_up[n].rstrip(',')}))"
+        word, bit = _place("hs", "i", n, bits)
+        starts = f"filter(CASE WHEN n_words >= {n} THEN sequence(1, n_words - {n} + 1) ELSE cast(array() AS array<int>) END, i -> (shiftrightunsigned(known[{word}], {bit}) & 1L) = 1L)"
         parts.append(f"transform({starts}, i -> named_struct('start', i, 'len', {n}, 'gram', slice(ws, i, {n})))")
-    cut_up = documents.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("ws"))
-    counted = cut_up.select("doc_id", "text_key", "ws", F.size("ws").alias("n_words"))
-    if not parts:
-        none = "cast(array() as array<struct<start:int,len:int>>)"
-        return counted.select("doc_id", "text_key", F.col("n_words").cast("long"), F.expr(none).alias("spans"), F.expr("cast(array() as array<string>)").alias("items")).distinct()
     windows = counted.select("doc_id", "text_key", "n_words", F.explode_outer(F.expr(f"concat({', '.join(parts)})")).alias("w"))
     windows = windows.select("doc_id", "text_key", "n_words", "w.start", "w.len", "w.gram", F.xxhash64("w.gram").alias("h"))
-    grams = grams.select("h", "gram", "items")
-    hits = windows.join(F.broadcast(grams) if small else grams, ["h", "gram"], "left")
+    hits = windows.join(grams.select("h", "gram", "items"), ["h", "gram"], "left")
     found = hits.groupBy("doc_id", "text_key").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.collect_set(F.when(F.col("items").isNotNull(), F.struct("start", "len"))).alias("spans"),

@@ -5,8 +5,8 @@ larger than a shard.  Groups above a share of the corpus are packed one by one
 (there can be only 3 * n_shards * LARGE of them); all smaller ones are dealt by
 hash into BUNDLES bundles, packed as one item each.  So the driver packs a bounded
 number of items, whatever the corpus holds: largest first, each to the shard where
-the dot product of its size vector with the residual capacity is highest.  The law's
-dimension, bytes, is evened out by the smallest items.
+the dot product of its size vector with the residual capacity, its dimensions weighted
+by WEIGHTS, is highest.  The law's dimension, bytes, weighs most.
 
 Law: `bytes` (shard sizes are near equal; tokens and rows are balanced beside them).
 
@@ -14,7 +14,7 @@ Slots are gapless per shard without sorting a shard in one task: rows are number
 inside hash chunks of about CHUNK_ROWS rows and shifted by the chunks before them.
 
 Defined results: a null text counts as empty; repeated rows are documents of their
-own; further columns are ignored; an empty table gives no rows.
+own, told apart by a row number; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,33 +28,24 @@ from .shared import cut, table
 LARGE = 64
 BUNDLES = 4096
 CHUNK_ROWS = 20_000
-FINISH = 0.15
+#: Of bytes, tokens and rows in the dot product.
+WEIGHTS = (16.0, 1.0, 1.0)
 
 
-def pack_items(sizes: np.ndarray, n_shards: int) -> np.ndarray:
-    """Greedy vector packing; sizes: one row of shares (of each dimension's total) per item.
-
-    The last items, FINISH of the first dimension's total, even out that dimension alone.
-    """
+def pack_items(sizes: np.ndarray, n_shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
+    """Greedy vector packing; sizes: one row of shares (of each dimension's total) per item."""
     residual = np.full((n_shards, sizes.shape[1]), 1.0 / n_shards)
     placed = np.zeros(len(sizes), np.int64)
-    order = np.lexsort((np.arange(len(sizes)), -sizes.max(axis=1)))
-    joint = np.cumsum(sizes[order, 0]) <= sizes[:, 0].sum() * (1 - FINISH)
-    for i, all_dims in zip(order, joint, strict=True):
-        if not all_dims:
-            placed[i] = k = int(np.argmax(residual[:, 0]))
-            residual[k] -= sizes[i]
-            continue
+    for i in np.lexsort((np.arange(len(sizes)), -sizes.max(axis=1))):
         fits = (residual + 1e-12 >= sizes[i]).all(axis=1)
-        worth = residual @ sizes[i]
-        k = int(np.argmax(np.where(fits, worth, -np.inf))) if fits.any() else int(np.argmax(worth))
-        placed[i] = k
+        worth = residual @ (sizes[i] * weights)
+        placed[i] = k = int(np.argmax(np.where(fits, worth, -np.inf) if fits.any() else worth))
         residual[k] -= sizes[i]
     return placed
 
 
 def _piece():
-    return F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1))).cast("string")
+    return F.pmod(F.xxhash64("doc_id", "row"), F.coalesce("pieces", F.lit(1))).cast("string")
 
 
 def shard(documents: DataFrame, n_shards: int = 8, bundles: int = BUNDLES) -> DataFrame:
@@ -65,10 +56,11 @@ def shard(documents: DataFrame, n_shards: int = 8, bundles: int = BUNDLES) -> Da
         documents.select(
             "doc_id", F.md5(text).alias("group"), (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"),
+            F.monotonically_increasing_id().alias("row"),  # kept by the cut, so it holds from here on
         )
     )
     dims = ("size", "n_tokens", "rows")
-    groups = docs.groupBy("group").agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows"))
+    groups = cut(docs.groupBy("group").agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows")))
     total = groups.agg(*(F.greatest(F.coalesce(F.sum(d), F.lit(0)), F.lit(1)).alias(d) for d in dims)).first()
     share = F.greatest(*(F.col(d) / F.lit(total[d]) for d in dims))
     large = groups.select("group", *dims, share.alias("share")).where(F.col("share") > 1.0 / (n_shards * LARGE))
@@ -89,10 +81,10 @@ def shard(documents: DataFrame, n_shards: int = 8, bundles: int = BUNDLES) -> Da
     )
     put = docs.join(F.broadcast(known), "group", "left").withColumn("item", item).join(F.broadcast(where), "item")
     chunks = max(1, -(-total["rows"] // (CHUNK_ROWS * n_shards)))
-    put = put.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "group"), F.lit(chunks)))
+    put = put.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "group", "row"), F.lit(chunks)))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     shift = put.groupBy("shard", "chunk").count().select("shard", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("shard", "chunk").orderBy("doc_id", "group")
+    own = Window.partitionBy("shard", "chunk").orderBy("doc_id", "group", "row")
     numbered = put.withColumn("own", F.row_number().over(own)).join(shift, ["shard", "chunk"])
     return numbered.select("doc_id", "size", "text_crc32", "n_tokens", "shard", (F.col("before") + F.col("own") - 1).cast("long").alias("slot"))
 

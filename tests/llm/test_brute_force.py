@@ -340,6 +340,37 @@ def test_sharding_is_balanced(spark):
     assert all(sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out))) for k in range(8))
 
 
+@needs_tables
+def test_sharding_against_a_plain_version(spark):
+    """Sizes, checksums, whole groups and each group's shard by the same greedy rule over the same items."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in sharding.op6_sharding(spark, DIR).collect()}
+    assert got.keys() == docs.keys()
+    shards: dict[str, set] = {}
+    for i, t in docs.items():
+        assert (got[i].size, got[i].text_crc32, got[i].law) == (len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes")
+        shards.setdefault(t, set()).add(got[i].shard)
+    used, total = Counter(), sum(r.size for r in got.values())
+    for r in got.values():
+        used[r.shard] += r.size
+    largest = max(sum(got[i].size for i in docs if docs[i] == t) for t in shards)
+    assert all(len(s) == 1 for s in shards.values()) and max(used.values()) <= total / 8 + largest / 2
+    assert max(used.values()) / (total / 8) < 1.03
+
+
+def test_each_item_goes_where_the_dot_product_is_highest():
+    rng = np.random.default_rng(1)
+    sizes = rng.pareto(1.5, (200, 3))
+    sizes /= sizes.sum(0)
+    placed = sharding.pack_items(sizes, 5)
+    left = [[0.2] * 3 for _ in range(5)]
+    for i in sorted(range(200), key=lambda i: (-max(sizes[i]), i)):
+        worth = [sum(w * r * s for w, r, s in zip(sharding.WEIGHTS, left[k], sizes[i], strict=True)) for k in range(5)]
+        room = [k for k in range(5) if all(r + 1e-12 >= s for r, s in zip(left[k], sizes[i], strict=True))] or range(5)
+        assert worth[placed[i]] == pytest.approx(max(worth[k] for k in room))
+        left[placed[i]] = [r - s for r, s in zip(left[placed[i]], sizes[i], strict=True)]
+
+
 def test_warc_blocks_and_records(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(warc, "BLOCK", 7)
     rows = [(i, f"https://h{i % 5}.example.org/p/{i % 40}", f"payload {i % 30}") for i in range(200)]

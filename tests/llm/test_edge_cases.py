@@ -48,10 +48,11 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.report(none, items).count() == 0 and decontaminate.report(docs, items.limit(0)).where("contaminated").count() == 0
 
 
-def test_decontaminate_beyond_the_bound(spark, docs, monkeypatch):
+def test_decontaminate_with_a_full_table_of_bits(spark, docs, monkeypatch):
     items = bench(spark, [(10, "BETA gamma DELTA"), (7, "word1 word2 word3 word4 word5 word6 word7 word8 word9 word10 word11")])
     want = sorted(map(str, decontaminate.report(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 7)
+    monkeypatch.setattr(decontaminate, "BITS", 7)
     assert sorted(map(str, decontaminate.report(docs, items).collect())) == want
 
 
