@@ -17,14 +17,17 @@ anywhere else in the corpus, judged on the input.
    left parts are sorted, each with the lengths of prefixes that neighbours share.
    For a window that begins `a` bytes before its trigger, cutting the left order
    where less than `a` bytes are shared and the right order where less than
-   LENGTH - a are shared gives the classes of equal windows: suffixes of dictionary
-   phrases, combined with the order of what follows in the parse.
+   LENGTH - a are shared gives the classes of equal windows.
 4. Windows without a usable trigger (long runs of one pattern) are phrases of their
    own.  Keys with more than HOT different entries are split into windows, counted by
-   their hashes with partial aggregation, so no task gathers a hot key.
+   their fingerprints with partial aggregation, so no task gathers a hot key.
 
-Fingerprints have 64 bits (key and phrase hash together 128); entries that share
-only a key are compared byte by byte.
+The suffix array of the parse, and with it the order of the whole corpus, is not built:
+phrases overlap so far that every window lies inside one, so no match needs what follows
+in the parse, and only entries that share a key have to be ordered among each other.
+
+Fingerprints have 128 bits, from two independent rolling hashes modulo a prime; entries
+that share only a key are compared byte by byte.
 
 Defined results: null and empty texts have no bytes; texts under LENGTH bytes keep
 all; equal texts repeat each other, also when a whole row is repeated; rows are
@@ -34,7 +37,6 @@ told apart by the hash of doc_id and text; further columns stay out of the resul
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Rolling, cut, mix, parts, shared_dir, table
+from .shared import Rolling, cut, mix, parts, saved, table
 
 LENGTH = 200
 WIDTH = 8
@@ -77,9 +79,9 @@ def pack(start: np.ndarray, n: np.ndarray, a: np.ndarray) -> np.ndarray:
     return (start.astype(np.int64) << 32) | (n.astype(np.int64) << 8) | (a.astype(np.int64) + 1)
 
 
-def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, phrase hash, packed place) of the phrases of one text."""
-    keys, hashes, places = [], [], []
+def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, fingerprint in two halves, packed place) of the phrases of one text."""
+    found = []
     for at in range(0, len(data) - LENGTH + 1, BLOCK):
         part = data[at : at + BLOCK + LENGTH - 1]
         last = len(part) - LENGTH
@@ -88,11 +90,10 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lo = np.maximum(np.maximum(before - REACH + 1, t - _FAR), 0)
         hi = np.minimum(t - REACH, last)
         ok = lo <= hi
-        roll = Rolling(part)
+        one, two = Rolling(part), Rolling(part, 1)
         tt, a, b = t[ok], lo[ok], hi[ok]
-        keys.append(roll.of(tt, tt + KEY))
-        hashes.append(roll.of(a, b + LENGTH) ^ mix(((tt - a) * 256 + (b - a)).astype(np.uint64)))
-        places.append(pack(a + at, b - a + 1, tt - a))
+        shape = mix(((tt - a) * 256 + (b - a)).astype(np.uint64))
+        found.append((one.of(tt, tt + KEY), one.of(a, b + LENGTH) ^ shape, two.of(a, b + LENGTH) ^ shape, pack(a + at, b - a + 1, tt - a)))
         free = np.ones(last + 2, np.int32)
         free[-1] = 0
         step = np.zeros(last + 2, np.int32)
@@ -101,17 +102,14 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         free[np.cumsum(step) > 0] = 0
         i = np.nonzero(free)[0]
         if len(i):
-            h = roll.of(i, i + LENGTH)
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (np.diff(i) != 1)])
+            h, h2 = one.of(i, i + LENGTH), two.of(i, i + LENGTH)
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (np.diff(i) != 1)])
             first = np.nonzero(new)[0]
             runs = np.diff(np.concatenate([first, [len(i)]]))
-            own = h[first]
-            keys.append(mix(own + np.uint64(1)))
-            hashes.append(own)
-            places.append(pack(i[first] + at, runs, np.full(len(first), -1)))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(hashes), np.concatenate(places)
+            found.append((mix(h[first] + np.uint64(1)), h[first], h2[first], pack(i[first] + at, runs, np.full(len(first), -1))))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _parse(docs: DataFrame) -> DataFrame:
@@ -123,8 +121,8 @@ def _parse(docs: DataFrame) -> DataFrame:
                 text = texts[i].as_py()
                 if text is None or len(text) < LENGTH:
                     continue
-                k, u, place = phrases(np.frombuffer(text, np.uint8))
-                out.append((k, u, np.full(len(k), ids[i]), place))
+                k, u, v, place = phrases(np.frombuffer(text, np.uint8))
+                out.append((k, u, v, np.full(len(k), ids[i]), place))
                 size += len(k)
                 if size > 50_000:
                     yield _rows(out)
@@ -133,10 +131,10 @@ def _parse(docs: DataFrame) -> DataFrame:
                 yield _rows(out)
 
     def _rows(out):
-        k, u, d, p = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(u.astype(np.int64)), pa.array(d), pa.array(p)], names=["k", "u", "doc", "place"])
+        k, u, v, d, p = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(d), pa.array(p)], names=["k", "u", "v", "doc", "place"])
 
-    return docs.select("doc", "bytes").mapInArrow(run, "k long, u long, doc long, place long")
+    return docs.select("doc", "bytes").mapInArrow(run, "k long, u long, v long, doc long, place long")
 
 
 def _entries(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -219,31 +217,26 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _windows(batches):
-    """Each window of entries with a hot key: its hash, place and count."""
+    """Each window of entries with a hot key: its fingerprint, place and count."""
     for b in parts(batches):
         for d, place, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
             i = np.arange((place >> 8) & 0xFFFFFF)
-            h = Rolling(np.frombuffer(text, np.uint8)).of(i, i + LENGTH)
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.full(len(i), d)), pa.array(i + (place >> 32)), pa.array(np.full(len(i), c))], names=["h", "doc", "start", "c"])
+            own = np.frombuffer(text, np.uint8)
+            h, h2 = (pa.array(Rolling(own, lane).of(i, i + LENGTH).astype(np.int64)) for lane in (0, 1))
+            yield pa.RecordBatch.from_arrays([h, h2, pa.array(np.full(len(i), d)), pa.array(i + (place >> 32)), pa.array(np.full(len(i), c))], names=["h", "h2", "doc", "start", "c"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc, start, n): n windows from start on that also start elsewhere; docs has doc, bytes."""
-    spark = docs.sparkSession
     weight = F.when(F.col("place").bitwiseAND(255) == 0, F.shiftright("place", 8).bitwiseAND(0xFFFFFF)).otherwise(1)
     rows = _parse(docs)
     # counts are cut from the joins that use them, so that these may split a hot key's rows over tasks
     keys = cut(rows.select("k", weight.alias("w")).groupBy("k").agg(F.sum("w").alias("w")).where("w > 1").select("k"))
-    path = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
-    rows.join(keys, "k").write.option("compression", "zstd").parquet(path)
-    parse = spark.read.parquet(path)
-    entries = cut(parse.groupBy("k", "u").agg(F.sum(weight).alias("c"), F.min(F.struct("doc", "place")).alias("first")))
-    whole = parse.join(entries.where("c > 1").select("k", "u"), ["k", "u"]).select("doc", F.shiftright("place", 32).alias("start"), F.shiftright("place", 8).bitwiseAND(0xFFFFFF).alias("n"))
+    parse = saved(rows.join(keys, "k"), "suffix")
+    entries = cut(parse.groupBy("k", "u", "v").agg(F.sum(weight).alias("c"), F.min(F.struct("doc", "place")).alias("first")))
+    whole = parse.join(entries.where("c > 1").select("k", "u", "v"), ["k", "u", "v"]).select("doc", F.shiftright("place", 32).alias("start"), F.shiftright("place", 8).bitwiseAND(0xFFFFFF).alias("n"))
     open_ = entries.groupBy("k").agg(F.count("*").alias("nu"), F.min("c").alias("least")).where("nu > 1 AND least = 1").select("k", "nu")
-    wanted = entries.join(open_, "k").select("first.doc", "first.place", "c", "nu", "k")
-    wanted_path = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
-    wanted.write.option("compression", "zstd").parquet(wanted_path)
-    wanted = spark.read.parquet(wanted_path)
+    wanted = saved(entries.join(open_, "k").select("first.doc", "first.place", "c", "nu", "k"), "suffix")
     total = wanted.count()
     fetched = _entries(docs, wanted)
     # the key is read again from the bytes after the trigger
@@ -252,9 +245,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     solved = few.groupBy("pack").applyInPandas(_solve, "doc long, start long, n long")
     out = whole.unionByName(solved)
     if wanted.where(F.col("nu") > HOT).limit(1).count():
-        hot = fetched.where(F.col("nu") > HOT).mapInArrow(_windows, "h long, doc long, start long, c long")
-        twice = hot.groupBy("h").agg(F.sum("c").alias("w")).where("w > 1").select("h")
-        out = out.unionByName(hot.where("c = 1").join(twice, "h").select("doc", "start", F.lit(1).cast("long").alias("n")))
+        hot = fetched.where(F.col("nu") > HOT).mapInArrow(_windows, "h long, h2 long, doc long, start long, c long")
+        twice = hot.groupBy("h", "h2").agg(F.sum("c").alias("w")).where("w > 1").select("h", "h2")
+        out = out.unionByName(hot.where("c = 1").join(twice, ["h", "h2"]).select("doc", "start", F.lit(1).cast("long").alias("n")))
     return out
 
 
@@ -271,7 +264,6 @@ def removed_spans(documents: DataFrame) -> DataFrame:
     """All rows of documents with `__bytes` and the sorted removed spans `__from`, `__to` (empty arrays: none)."""
     keyed = documents.withColumn("__doc", F.xxhash64("doc_id", "text"))
     docs = keyed.select(F.col("__doc").alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes")).where(F.length("bytes") >= LENGTH)
-    spark = documents.sparkSession
     found = repeated(docs).groupBy("doc").agg(F.collect_list("start").alias("start"), F.collect_list("n").alias("n"))
 
     def run(batches):
@@ -283,9 +275,7 @@ def removed_spans(documents: DataFrame) -> DataFrame:
                 hi.append(y)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64()))], names=["doc", "lo", "hi"])
 
-    path = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
-    found.mapInArrow(run, "doc long, lo array<long>, hi array<long>").write.option("compression", "zstd").parquet(path)
-    spans = spark.read.parquet(path).toDF("__doc", "__lo", "__hi")
+    spans = saved(found.mapInArrow(run, "doc long, lo array<long>, hi array<long>"), "suffix").toDF("__doc", "__lo", "__hi")
     none = F.expr("cast(array() as array<long>)")
     clean = _only(keyed, spans, "left_anti", "__doc").withColumns({"__from": none, "__to": none})
     hit = _only(keyed, spans, "left_semi", "__doc").join(spans, "__doc", "left").withColumns({"__from": F.coalesce("__lo", none), "__to": F.coalesce("__hi", none)}).drop("__lo", "__hi")
