@@ -10,17 +10,37 @@ from .operators.decode import DecodeConfig
 
 
 @dataclass(frozen=True)
-class LabelConfig:
-    min_score: float = 0.5
-    val_fraction: float = 0.1
+class ExperimentConfig:
+    name: str = "inkspan"
+    output_dir: str = "outputs"
     seed: int = 42
+
+
+@dataclass(frozen=True)
+class DataConfig:
+    dataset_root: str = "."
+    labels_txt: str = "labels/labels.txt"
+    splits_dir: str = "splits"
+    train_split: str = "splits/train.txt"
+    val_split: str = "splits/val.txt"
+    val_fraction: float = 0.1
+    min_score: float = 0.5
+    image_size: int = 640
     batch_size: int = 16
+    num_workers: int = 4
+    pin_memory: bool = True
 
 
 @dataclass(frozen=True)
 class AugmentConfig:
-    image_size: int = 640
-    jitter: float = 2.0
+    tier: str = "standard"
+    p_rot90: float = 0.75
+    p_hflip: float = 0.5
+    p_vflip: float = 0.5
+    p_color_jitter: float = 0.4
+    p_blur: float = 0.15
+    p_noise: float = 0.15
+    box_jitter_px: float = 0.0
     min_side: float = 2.0
 
 
@@ -34,20 +54,43 @@ class TargetConfig:
 
 @dataclass(frozen=True)
 class LossConfig:
-    alpha: float = 5.0
+    alpha: float = 1.0
     beta: float = 10.0
+    ohem_ratio: float = 3.0
     bce_weight: float = 1.0
     dice_weight: float = 1.0
-    neg_pos_ratio: float = 3.0
+    #: Whether pixels of a text weigh as much as its label's score.
+    score_weighting: bool = True
+
+
+@dataclass(frozen=True)
+class TrainerConfig:
+    epochs: int = 120
+    lr: float = 1e-3
+    min_lr: float = 1e-6
+    warmup_epochs: int = 3
+    ema: bool = True
+    ema_decay: float = 0.9995
+    log_every: int = 50
+    eval_every: int = 1
+    save_every: int = 5
+    #: Settings of the network's own training, which takes place elsewhere.
+    other: dict = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
 class Config:
-    labels: LabelConfig = field(default_factory=LabelConfig)
-    augment: AugmentConfig = field(default_factory=AugmentConfig)
-    targets: TargetConfig = field(default_factory=TargetConfig)
+    """Sections and names are those of the tool's YAML files; `model` and `device` are carried as they are."""
+
+    experiment: ExperimentConfig = field(default_factory=ExperimentConfig)
+    data: DataConfig = field(default_factory=DataConfig)
+    aug: AugmentConfig = field(default_factory=AugmentConfig)
+    target: TargetConfig = field(default_factory=TargetConfig)
     loss: LossConfig = field(default_factory=LossConfig)
-    decode: DecodeConfig = field(default_factory=DecodeConfig)
+    trainer: TrainerConfig = field(default_factory=TrainerConfig)
+    postprocess: DecodeConfig = field(default_factory=DecodeConfig)
+    model: dict = field(default_factory=dict)
+    device: str = "cpu"
 
 
 def split_args(args: list[str], default: str | None = None) -> tuple[str | None, list[str]]:
@@ -56,12 +99,25 @@ def split_args(args: list[str], default: str | None = None) -> tuple[str | None,
     return (paths[-1] if paths else default), [a for a in args if "=" in a]
 
 
+def _merged(old: dict, new: dict) -> dict:
+    return old | {k: _merged(old[k], v) if isinstance(v, dict) and isinstance(old.get(k), dict) else v for k, v in new.items()}
+
+
 def with_values(config: Any, values: dict) -> Any:
-    """A copy with the given values; unknown names fail."""
+    """A copy with the given values; unknown names fail, unless the section has a place for others."""
     known = {f.name: getattr(config, f.name) for f in fields(config)}
-    if unknown := set(values) - set(known):
+    unknown = {k: v for k, v in values.items() if k not in known}
+    if unknown and "other" in known:
+        values = {k: v for k, v in values.items() if k in known} | {"other": unknown}
+    elif unknown:
         raise KeyError(f"unknown settings: {sorted(unknown)}")
-    return replace(config, **{k: with_values(known[k], v) if is_dataclass(known[k]) else type(known[k])(v) for k, v in values.items()})
+
+    def cast(old: Any, v: Any) -> Any:
+        if is_dataclass(old):
+            return with_values(old, v)
+        return _merged(old, v) if isinstance(old, dict) else type(old)(v)
+
+    return replace(config, **{k: cast(known[k], v) for k, v in values.items()})
 
 
 def load(path: str | None = None, overrides: list[str] = ()) -> Config:

@@ -117,9 +117,9 @@ def inverse_transform(v: Column, pad: Column, scale: Column) -> Column:
 
 
 def turned(x: Column, y: Column, width: int, height: int, op: Column):
-    """A point after op: 0 nothing, 1 mirrored, 2 upside down, 3 a quarter turn counter-clockwise."""
+    """A point after op: 0 nothing, 1 mirrored, 2 upside down, 3 a quarter turn counter-clockwise, 4 a half turn, 5 a three-quarter turn."""
     w, h = F.lit(float(width - 1)), F.lit(float(height - 1))
-    return (F.when(op == 1, w - x).when(op == 3, y).otherwise(x), F.when(op == 2, h - y).when(op == 3, w - x).otherwise(y))
+    return (F.when(op.isin(1, 4), w - x).when(op == 3, y).when(op == 5, h - y).otherwise(x), F.when(op.isin(2, 4), h - y).when(op == 3, w - x).when(op == 5, x).otherwise(y))
 
 
 def jitter(points: Column, key: Column, reach: float) -> Column:

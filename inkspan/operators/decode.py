@@ -1,7 +1,7 @@
 """From probability maps to boxes: components, their statistics, and fitted rectangles.
 
-A map is one image; maps are independent, so every step groups by image_id and its
-data in one task is one map.
+A map is one image; maps are independent, so every step keeps an image's pixels in one
+task.
 """
 
 from __future__ import annotations
@@ -19,12 +19,16 @@ from ..functions import geometry
 @dataclass(frozen=True)
 class DecodeConfig:
     thresh: float = 0.3
-    box_thresh: float = 0.6
-    unclip_ratio: float = 1.5
+    box_thresh: float = 0.5
+    unclip_ratio: float = 1.8
     min_size: float = 3.0
     max_candidates: int = 1000
 
 
+#: Pixels that are labelled together, in whole images.
+PER_PACK = 200_000
+
+
 def binarized(px: DataFrame, thresh: float) -> DataFrame:
     return px.where(F.col("p") > thresh)
 
@@ -32,8 +36,10 @@ def binarized(px: DataFrame, thresh: float) -> DataFrame:
 def _label(pdf: pd.DataFrame) -> pd.DataFrame:
     """Union-find over right and lower neighbours; a component is named after its first pixel in raster order."""
     y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
-    stride = int(x.max()) + 2
-    key = y * stride + x
+    # several images lie one below the other, with an empty line between them
+    image = pd.factorize(pdf["image_id"])[0].astype(np.int64)
+    stride, lines = int(x.max()) + 2, int(y.max()) + 2
+    key = (image * lines + y) * stride + x
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     parent = np.arange(len(key))
@@ -60,7 +66,9 @@ def _label(pdf: pd.DataFrame) -> pd.DataFrame:
 def components(mask: DataFrame) -> DataFrame:
     """image_id, y, x, p and first_y, first_x: the 4-neighbour component's first pixel in raster order."""
     rows = mask.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"), F.col("p").cast("double"))
-    return rows.groupBy("image_id").applyInPandas(_label, "image_id long, y int, x int, p double, first_y int, first_x int")
+    packs = max(1, rows.count() // PER_PACK)
+    dealt = rows.withColumn("pack", F.pmod(F.xxhash64("image_id"), F.lit(packs)))
+    return dealt.groupBy("pack").applyInPandas(lambda pdf: _label(pdf.drop(columns="pack")), "image_id long, y int, x int, p double, first_y int, first_x int")
 
 
 def component_stats(labelled: DataFrame) -> DataFrame:

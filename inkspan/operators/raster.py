@@ -50,17 +50,39 @@ def dealt(boxes: DataFrame, pixels_per_task: int = 1_000_000) -> DataFrame:
 
 
 def score_map(boxes: DataFrame, ratio: float, width: int, height: int) -> DataFrame:
-    """image_id, y, x, value inside shrunk boxes: the score of the last box that covers a pixel (1.0 elsewhere)."""
-    return core_pixels(dealt(boxes), ratio, width, height).groupBy("image_id", "y", "x").agg(F.max_by("score", "box_idx").alias("value"))
+    """image_id, y, x, value inside shrunk boxes: the score of the last box that covers a pixel; 1.0 where that is not above 0, and elsewhere.
+
+    Takes boxes as they are: neither clipped nor ignored.
+    """
+    last = core_pixels(dealt(boxes), ratio, width, height).groupBy("image_id", "y", "x").agg(F.max_by("score", "box_idx").alias("last"))
+    return last.select("image_id", "y", "x", F.when(F.col("last") > 0, F.col("last")).otherwise(1.0).alias("value"))
+
+
+def clipped(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """Boxes with their corners moved into the image, as every later rule sees them."""
+    x, y = (lambda v: geometry.clamp(v, width - 1)), (lambda v: geometry.clamp(v, height - 1))
+    x0, y0 = x(F.col("x0")), y(F.col("y0"))
+    return boxes.withColumns({"x0": x0, "y0": y0, "w": x(F.col("x0") + F.col("w")) - x0, "h": y(F.col("y0") + F.col("h")) - y0})
+
+
+def learned(boxes: DataFrame, ratio: float, min_size: float) -> DataFrame:
+    """Clipped boxes that targets learn from: neither ignored nor shrunk to nothing."""
+    flagged = F.coalesce(F.col("ignore"), F.lit(False)) if "ignore" in boxes.columns else F.lit(False)
+    return shrunk(boxes, ratio).where(~(flagged | ignored(F.col("w"), F.col("h"), min_size)) & F.col("sx0").isNotNull())
 
 
 def ring_pixels(boxes: DataFrame, ratio: float, width: int, height: int) -> DataFrame:
-    """image_id, box_idx, y, x, distance to the box's outline, d: the offset, of the pixels of each expanded box."""
-    d = offset(F.col("w"), F.col("h"), ratio)
-    grown = boxes.where(d.isNotNull()).withColumn("d", d)
-    keep = ["image_id", "box_idx", "x0", "y0", "w", "h", "d"]
+    """image_id, box_idx, y, x, distance to the box's outline, d: the offset, of each expanded box without its shrunk one.
+
+    boxes come from learned().  Corners of the expanded box are round: its points lie within the offset.
+    """
+    grown = boxes.withColumn("d", offset(F.col("w"), F.col("h"), ratio))
+    keep = ["image_id", "box_idx", "x0", "y0", "w", "h", "d", "sx0", "sy0", "sx1", "sy1"]
     px = box_pixels(grown, F.col("x0") - F.col("d"), F.col("y0") - F.col("d"), F.col("x0") + F.col("w") + F.col("d"), F.col("y0") + F.col("h") + F.col("d"), keep, width, height)
-    return px.withColumn("distance", outline_distance(F.col("x").cast("double"), F.col("y").cast("double"), F.col("x0"), F.col("y0"), F.col("w"), F.col("h")))
+    inside = F.col("x").between(F.col("x0"), F.col("x0") + F.col("w")) & F.col("y").between(F.col("y0"), F.col("y0") + F.col("h"))
+    core = F.col("x").between(F.col("sx0").cast("int"), F.col("sx1").cast("int")) & F.col("y").between(F.col("sy0").cast("int"), F.col("sy1").cast("int"))
+    px = px.withColumn("distance", outline_distance(F.col("x").cast("double"), F.col("y").cast("double"), F.col("x0"), F.col("y0"), F.col("w"), F.col("h")))
+    return px.where(~core & (inside | (F.col("distance") <= F.col("d")))).select("image_id", "box_idx", "y", "x", "distance", "d")
 
 
 def outline_distance(x: Column, y: Column, x0: Column, y0: Column, w: Column, h: Column) -> Column:
@@ -71,26 +93,49 @@ def outline_distance(x: Column, y: Column, x0: Column, y0: Column, w: Column, h:
     return F.when((dx <= 0) & (dy <= 0), F.least(-dx, -dy)).otherwise(F.sqrt(out_x * out_x + out_y * out_y))
 
 
-def threshold_map(boxes: DataFrame, ratio: float, low: float, high: float, width: int, height: int) -> DataFrame:
-    """image_id, y, x, value: the largest 1 - distance / offset of any box, scaled to [low, high]."""
-    px = ring_pixels(dealt(boxes), ratio, width, height)
+def targets(boxes: DataFrame, ratio: float, low: float, high: float, min_size: float, width: int, height: int) -> DataFrame:
+    """The four training maps as one sparse table: image_id, y, x, prob, prob_mask, thresh, thresh_mask.
+
+    Pixels that are not listed have prob 0, prob_mask 1, thresh 0 and thresh_mask 0.  boxes: image_id, box_idx, x0, y0,
+    w, h and, if it exists, ignore.  Boxes are clipped first.  Ignored ones, those under min_size and those that shrink
+    to nothing only clear prob_mask.  Of the others the shrunk box sets prob, and the ring between the expanded and the
+    shrunk box sets thresh_mask and, to the largest 1 - distance / offset of any box, thresh.
+    """
+    own = dealt(clipped(boxes, width, height))
+    good = learned(own, ratio, min_size)
+    none = F.lit(None).cast("double")
+    core = box_pixels(good, F.col("sx0"), F.col("sy0"), F.col("sx1"), F.col("sy1"), ["image_id"], width, height)
     near = 1.0 - F.least(F.greatest(F.col("distance") / F.greatest("d", F.lit(1e-6)), F.lit(0.0)), F.lit(1.0))
-    return px.groupBy("image_id", "y", "x").agg(F.max(near).alias("v")).select("image_id", "y", "x", (F.col("v") * (high - low) + low).alias("value"))
+    ring = ring_pixels(good, ratio, width, height)
+    rows = core.select("image_id", "y", "x", F.lit(1).alias("prob"), F.lit(1).alias("keep"), none.alias("v"))
+    rows = rows.unionByName(ring.select("image_id", "y", "x", F.lit(0).alias("prob"), F.lit(1).alias("keep"), near.alias("v")))
+    rows = rows.unionByName(_cleared(own, ratio, min_size, width, height).select("image_id", "y", "x", F.lit(0).alias("prob"), F.lit(0).alias("keep"), none.alias("v")))
+    made = rows.groupBy("image_id", "y", "x").agg(F.max("prob").alias("prob"), F.min("keep").alias("prob_mask"), F.max("v").alias("v"))
+    on_ring = F.col("v").isNotNull()
+    return made.select("image_id", "y", "x", "prob", "prob_mask", F.when(on_ring, F.col("v") * (high - low) + low).otherwise(0.0).alias("thresh"), on_ring.cast("int").alias("thresh_mask"))
+
+
+def threshold_map(boxes: DataFrame, ratio: float, low: float, high: float, min_size: float, width: int, height: int) -> DataFrame:
+    """image_id, y, x, value of the ring's pixels; the map is 0 elsewhere."""
+    own = learned(dealt(clipped(boxes, width, height)), ratio, min_size)
+    near = 1.0 - F.least(F.greatest(F.col("distance") / F.greatest("d", F.lit(1e-6)), F.lit(0.0)), F.lit(1.0))
+    return ring_pixels(own, ratio, width, height).groupBy("image_id", "y", "x").agg((F.max(near) * (high - low) + low).alias("value"))
 
 
-def ring_mask(boxes: DataFrame, ratio: float, width: int, height: int) -> DataFrame:
+def ring_mask(boxes: DataFrame, ratio: float, min_size: float, width: int, height: int) -> DataFrame:
     """image_id, y, x of the union over boxes of expanded minus shrunk, the pixels that learn a threshold."""
-    px = ring_pixels(dealt(boxes), ratio, width, height)
-    cut = lambda v: v.cast("int")
-    core = F.col("x").between(cut(F.greatest(F.col("x0") + F.col("d"), F.lit(0.0))), cut(F.col("x0") + F.col("w") - F.col("d"))) & F.col("y").between(cut(F.greatest(F.col("y0") + F.col("d"), F.lit(0.0))), cut(F.col("y0") + F.col("h") - F.col("d")))
-    return px.where(~core).select("image_id", "y", "x").distinct()
+    return ring_pixels(learned(dealt(clipped(boxes, width, height)), ratio, min_size), ratio, width, height).select("image_id", "y", "x").distinct()
+
+
+def _cleared(boxes: DataFrame, ratio: float, min_size: float, width: int, height: int) -> DataFrame:
+    flagged = F.coalesce(F.col("ignore"), F.lit(False)) if "ignore" in boxes.columns else F.lit(False)
+    gone = shrunk(boxes, ratio).where(flagged | ignored(F.col("w"), F.col("h"), min_size) | F.col("sx0").isNull())
+    return box_pixels(gone, F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h"), ["image_id"], width, height)
 
 
 def masked_out(boxes: DataFrame, ratio: float, min_size: float, width: int, height: int) -> DataFrame:
     """image_id, y, x of boxes that are ignored, or that shrink to nothing; no later box brings these pixels back."""
-    gone = shrunk(dealt(boxes), ratio).where(ignored(F.col("w"), F.col("h"), min_size) | F.col("sx0").isNull())
-    px = box_pixels(gone, F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h"), ["image_id"], width, height)
-    return px.distinct()
+    return _cleared(dealt(clipped(boxes, width, height)), ratio, min_size, width, height).distinct()
 
 
 def polygon_pixels(polygons: DataFrame, width: int, height: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import numbered, shuffle_key
+from ..functions.order import digits, numbered, shuffle_key
 
 
 def within_split(labels: DataFrame, split: DataFrame | None, key: str = "rel_path") -> DataFrame:
@@ -23,7 +23,7 @@ def seeded_order(paths: DataFrame, seed: int, key: str = "rel_path") -> DataFram
     The order key is a digest, so its first digits deal rows evenly into buckets.
     """
     keyed = paths.withColumn("__key", shuffle_key(F.col(key), seed))
-    return numbered(keyed, F.substring("__key", 1, 2), ["__key", key], "pos").drop("__key")
+    return numbered(keyed, F.substring("__key", 1, digits(paths.count())), ["__key", key], "pos").drop("__key")
 
 
 def train_val(paths: DataFrame, seed: int, fraction: float, key: str = "rel_path") -> DataFrame:

@@ -52,17 +52,20 @@ def m(x: str) -> str:
 # --- labels and scores ---------------------------------------------------------------
 
 
-@query("SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events")
+@query("SELECT cast(event_id AS varchar) AS rel_path, cast(json_extract(props, '$.k') AS double) AS score FROM events")
 def json_parse(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", F.from_json("props", "k long", {"mode": "FAILFAST"})["k"].alias("k"))
+    """Label lines made of the events, their property as the score, through the library's strict parser."""
+    box = F.concat(F.lit('[{"transcription": "", "points": [], "score": '), F.get_json_object("props", "$.k"), F.lit("}]"))
+    lines = read(spark, d, "events").select(F.concat_ws("\t", F.col("event_id").cast("string"), box).alias("value"))
+    return labels.parse_labels(lines).select("rel_path", F.get("boxes", F.lit(0))["score"].alias("score"))
 
 
-@query("SELECT cast(doc_id AS varchar) AS rel_path, cast(len(text) AS bigint) AS n FROM documents")
+@query("SELECT cast(doc_id AS varchar) AS rel_path, md5(text) AS digest FROM documents")
 def label_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Label lines with the texts as transcriptions, written and parsed again."""
     box = F.struct(F.col("text").alias("transcription"), F.array(F.array(F.lit(0.0), F.lit(1.0))).alias("points"), F.lit(None).cast("double").alias("score"))
     lines = labels.label_lines(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), F.array(box).alias("boxes")))
-    return labels.parse_labels(lines).select("rel_path", F.length(F.get("boxes", F.lit(0))["transcription"]).cast("long").alias("n"))
+    return labels.parse_labels(lines).select("rel_path", F.md5(F.get("boxes", F.lit(0))["transcription"]).alias("digest"))
 
 
 @query(f"{_B} SELECT image_id, box_idx, {m('CASE WHEN score IS NULL OR score = 0 THEN 1.0 ELSE score END')} AS train_score, {m('coalesce(score, 0.0)')} AS export_score FROM b")
@@ -161,19 +164,22 @@ def ignore_regions(spark: SparkSession, d: str) -> DataFrame:
     return boxes(spark, d).select("image_id", "box_idx", raster.ignored(F.col("w"), F.col("h"), MIN_TEXT).alias("ignored"))
 
 
-@query(f"""{_B} SELECT image_id, box_idx, cast(floor((1 - abs((box_idx - 1) / 8 * 6 % 2 - 1)) * 255 + 0.0000001) AS integer) AS mid FROM b WHERE box_idx <= 8""")
+@query(f"""{_B}, n AS (SELECT image_id, count(*) AS n FROM b GROUP BY 1), h AS (SELECT image_id, box_idx, CASE WHEN n <= 1 THEN 0.0 ELSE (box_idx - 1)::double / n END * 6 AS h FROM b JOIN n USING (image_id))
+SELECT image_id, box_idx, cast(CASE WHEN floor(h)::int % 2 = 0 THEN floor((h - floor(h)) * 255) ELSE floor((1 - (h - floor(h))) * 255) END AS integer) AS mid FROM h""")
 def palette(spark: SparkSession, d: str) -> DataFrame:
-    """Of the first eight boxes of each image, the colour channel that is neither full nor empty."""
-    c = geometry.palette((F.col("box_idx") - 1).cast("double"), F.lit(8.0))
-    sector = F.floor((F.col("box_idx") - 1) / 8.0 * 6.0).cast("int") % 6
+    """Of each image's boxes, as many colours as it has boxes: the channel that is neither full nor empty."""
+    b = boxes(spark, d)
+    own = b.join(b.groupBy("image_id").agg(F.count("*").cast("double").alias("n")), "image_id").withColumn("i", (F.col("box_idx") - 1).cast("double"))
+    c = geometry.palette(F.col("i"), F.col("n"))
+    sector = F.floor(F.when(F.col("n") <= 1, 0.0).otherwise(F.col("i") / F.col("n")) * 6.0).cast("int") % 6
     mid = F.when(sector.isin(0, 3), c["g"]).when(sector.isin(1, 4), c["r"]).otherwise(c["b"])
-    return boxes(spark, d).where("box_idx <= 8").select("image_id", "box_idx", mid.alias("mid"))
+    return own.select("image_id", "box_idx", mid.alias("mid"))
 
 
 @query(f"""{_B} SELECT cast(row_number() OVER (ORDER BY image_id, box_idx) AS bigint) AS id, image_id, {m('x0')} AS x, {m('y0')} AS y, {m('w')} AS w, {m('h')} AS h, {m('w * h')} AS area, {m('coalesce(score, 0.0)')} AS score
 FROM b WHERE NOT (coalesce(score, 0.0) < 0.5)""")
 def coco_annotations(spark: SparkSession, d: str) -> DataFrame:
-    a = labels.coco_annotations(_points(boxes(spark, d)), 0.5, F.floor(F.col("image_id") / 1024))
+    a = labels.coco_annotations(_points(boxes(spark, d)), 0.5, "image_id")
     return a.select("id", "image_id", *(micro(F.get("bbox", F.lit(i))).alias(c) for i, c in enumerate("xywh")), micro(F.col("area")).alias("area"), micro(F.col("score")).alias("score"))
 
 
@@ -265,69 +271,91 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
 
 # --- raster targets (aggregated per image) -------------------------------------------
 
-_CORE = f"""s AS (SELECT *, {_D} AS d FROM b), r AS (SELECT *, cast(trunc(greatest(x0 + d, 0)) AS int) AS i0, cast(trunc(least(x0 + w - d, 639)) AS int) AS i1, cast(trunc(greatest(y0 + d, 0)) AS int) AS j0, cast(trunc(least(y0 + h - d, 639)) AS int) AS j1 FROM s),
-core AS (SELECT image_id, box_idx, score, y, unnest(range(i0, i1 + 1)) AS x FROM (SELECT *, unnest(range(j0, j1 + 1)) AS y FROM r))"""
-_RING = f"""s AS (SELECT *, {_D} AS d FROM b), r AS (SELECT *, cast(trunc(greatest(x0 - d, 0)) AS int) AS i0, cast(trunc(least(x0 + w + d, 639)) AS int) AS i1, cast(trunc(greatest(y0 - d, 0)) AS int) AS j0, cast(trunc(least(y0 + h + d, 639)) AS int) AS j1 FROM s),
-q AS (SELECT *, greatest(x0 - x, x - (x0 + w)) AS dx, greatest(y0 - y, y - (y0 + h)) AS dy FROM (SELECT *, unnest(range(i0, i1 + 1)) AS x FROM (SELECT *, unnest(range(j0, j1 + 1)) AS y FROM r))),
-ring AS (SELECT image_id, box_idx, y, x, d, CASE WHEN dx <= 0 AND dy <= 0 THEN least(-dx, -dy) ELSE sqrt(pow(greatest(dx, 0), 2) + pow(greatest(dy, 0), 2)) END AS distance FROM q)"""
+_SHRUNK = f"""s AS (SELECT *, {_D} AS d FROM b), r AS (SELECT *, cast(trunc(greatest(x0 + d, 0)) AS int) AS i0, cast(trunc(least(x0 + w - d, 639)) AS int) AS i1, cast(trunc(greatest(y0 + d, 0)) AS int) AS j0, cast(trunc(least(y0 + h - d, 639)) AS int) AS j1 FROM s)"""
+_ANY_CORE = f"""{_SHRUNK}, core AS (SELECT image_id, box_idx, score, y, unnest(range(i0, i1 + 1)) AS x FROM (SELECT *, unnest(range(j0, j1 + 1)) AS y FROM r WHERE 2 * d < least(w, h)))"""
+#: Boxes clipped to the image, those that targets learn from (ok), their shrunk pixels (core), rings, and what is cleared.
+_CLIP = """c AS (SELECT image_id, box_idx, score, greatest(least(x0, 639), 0) AS x0, greatest(least(y0, 639), 0) AS y0, greatest(least(x0 + w, 639), 0) AS x1, greatest(least(y0 + h, 639), 0) AS y1 FROM b),
+cb AS (SELECT image_id, box_idx, score, x0, y0, x1 - x0 AS w, y1 - y0 AS h FROM c)"""
+_OK = f"""{_CLIP}, cs AS (SELECT *, {_D} AS d FROM cb), ok AS (SELECT * FROM cs WHERE NOT least(w, h) < {MIN_TEXT} AND d IS NOT NULL AND 2 * d < least(w, h))"""
+_CORE = f"""{_OK}, core AS (SELECT image_id, box_idx, y, unnest(range(cast(trunc(x0 + d) AS int), cast(trunc(x0 + w - d) AS int) + 1)) AS x
+  FROM (SELECT *, unnest(range(cast(trunc(y0 + d) AS int), cast(trunc(y0 + h - d) AS int) + 1)) AS y FROM ok))"""
+_RING = f"""q AS (SELECT *, greatest(x0 - x, x - (x0 + w)) AS dx, greatest(y0 - y, y - (y0 + h)) AS dy FROM (SELECT *, unnest(range(cast(trunc(greatest(x0 - d, 0)) AS int), cast(trunc(least(x0 + w + d, 639)) AS int) + 1)) AS x
+  FROM (SELECT *, unnest(range(cast(trunc(greatest(y0 - d, 0)) AS int), cast(trunc(least(y0 + h + d, 639)) AS int) + 1)) AS y FROM ok))),
+o AS (SELECT *, CASE WHEN dx <= 0 AND dy <= 0 THEN least(-dx, -dy) ELSE sqrt(pow(greatest(dx, 0), 2) + pow(greatest(dy, 0), 2)) END AS distance FROM q),
+ring AS (SELECT image_id, box_idx, y, x, d, distance FROM o WHERE ((dx <= 0 AND dy <= 0) OR distance <= d)
+  AND NOT (x BETWEEN trunc(x0 + d) AND trunc(x0 + w - d) AND y BETWEEN trunc(y0 + d) AND trunc(y0 + h - d)))"""
+_THRESH = f"max(1 - least(greatest(distance / greatest(d, 0.000001), 0), 1)) * {HIGH - LOW} + {LOW}"
+_GONE = f"""gone AS (SELECT image_id, y, unnest(range(cast(trunc(x0) AS int), cast(trunc(x0 + w) AS int) + 1)) AS x
+  FROM (SELECT *, unnest(range(cast(trunc(y0) AS int), cast(trunc(y0 + h) AS int) + 1)) AS y FROM cs WHERE least(w, h) < {MIN_TEXT} OR d IS NULL OR 2 * d >= least(w, h)))"""
 
 
 @query(f"{_B}, {_CORE} SELECT image_id, count(DISTINCT y * 640 + x) AS pixels FROM core GROUP BY image_id")
 def rasterize(spark: SparkSession, d: str) -> DataFrame:
-    px = raster.core_pixels(raster.dealt(boxes(spark, d)), SHRINK, WIDTH, HEIGHT).select("image_id", "y", "x").distinct()
+    own = raster.learned(raster.dealt(raster.clipped(boxes(spark, d), WIDTH, HEIGHT)), SHRINK, MIN_TEXT)
+    px = raster.core_pixels(own, SHRINK, WIDTH, HEIGHT).select("image_id", "y", "x").distinct()
     return px.groupBy("image_id").agg(F.count("*").alias("pixels"))
 
 
-@query(f"{_B}, {_CORE}, v AS (SELECT image_id, y, x, arg_max(coalesce(score, 0.0), box_idx) AS v FROM core GROUP BY ALL) SELECT image_id, count(*) AS pixels, {m('sum(v)')} AS total FROM v GROUP BY image_id")
+@query(f"{_B}, {_ANY_CORE}, v AS (SELECT image_id, y, x, arg_max(CASE WHEN score IS NULL OR score = 0 THEN 1.0 ELSE score END, box_idx) AS v FROM core GROUP BY ALL) SELECT image_id, count(*) AS pixels, {m('sum(CASE WHEN v > 0 THEN v ELSE 1.0 END)')} AS total FROM v GROUP BY image_id")
 def score_map(spark: SparkSession, d: str) -> DataFrame:
-    b = boxes(spark, d).withColumn("score", scores.export_score(F.col("score")))
+    b = boxes(spark, d).withColumn("score", scores.training_score(F.col("score")))
     return raster.score_map(b, SHRINK, WIDTH, HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"), micro(F.sum("value")).alias("total"))
 
 
-@query(f"{_B}, {_RING} SELECT image_id, count(*) AS pixels, cast(floor(sum(distance) * 1000 + 0.5) AS bigint) AS total FROM ring GROUP BY image_id")
+@query(f"{_B}, {_OK}, {_RING} SELECT image_id, count(*) AS pixels, cast(floor(sum(distance) * 1000 + 0.5) AS bigint) AS total FROM ring GROUP BY image_id")
 def edge_distance(spark: SparkSession, d: str) -> DataFrame:
-    return raster.ring_pixels(boxes(spark, d), SHRINK, WIDTH, HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"), F.floor(F.sum("distance") * 1000 + 0.5).cast("long").alias("total"))
+    own = raster.learned(raster.clipped(boxes(spark, d), WIDTH, HEIGHT), SHRINK, MIN_TEXT)
+    return raster.ring_pixels(own, SHRINK, WIDTH, HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"), F.floor(F.sum("distance") * 1000 + 0.5).cast("long").alias("total"))
 
 
-@query(f"""{_B}, {_RING}, v AS (SELECT image_id, y, x, max(1 - least(greatest(distance / greatest(d, 0.000001), 0), 1)) * {HIGH - LOW} + {LOW} AS v FROM ring GROUP BY image_id, y, x)
+@query(f"""{_B}, {_OK}, {_RING}, v AS (SELECT image_id, y, x, {_THRESH} AS v FROM ring GROUP BY image_id, y, x)
 SELECT image_id, count(*) AS pixels, cast(floor(sum(v) * 1000 + 0.5) AS bigint) AS total FROM v GROUP BY image_id""")
 def threshold_map(spark: SparkSession, d: str) -> DataFrame:
-    t = raster.threshold_map(boxes(spark, d), SHRINK, LOW, HIGH, WIDTH, HEIGHT)
+    t = raster.threshold_map(boxes(spark, d), SHRINK, LOW, HIGH, MIN_TEXT, WIDTH, HEIGHT)
     return t.groupBy("image_id").agg(F.count("*").alias("pixels"), F.floor(F.sum("value") * 1000 + 0.5).cast("long").alias("total"))
 
 
-@query(f"""{_B}, {_RING} SELECT image_id, count(DISTINCT y * 640 + x) AS pixels FROM ring JOIN b USING (image_id, box_idx)
-WHERE NOT (x BETWEEN trunc(greatest(x0 + d, 0)) AND trunc(x0 + w - d) AND y BETWEEN trunc(greatest(y0 + d, 0)) AND trunc(y0 + h - d)) GROUP BY image_id""")
+@query(f"{_B}, {_OK}, {_RING} SELECT image_id, count(DISTINCT y * 640 + x) AS pixels FROM ring GROUP BY image_id")
 def ring_mask(spark: SparkSession, d: str) -> DataFrame:
-    return raster.ring_mask(boxes(spark, d), SHRINK, WIDTH, HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"))
+    return raster.ring_mask(boxes(spark, d), SHRINK, MIN_TEXT, WIDTH, HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"))
 
 
-@query(f"""{_B}, g AS (SELECT image_id, y, unnest(range(cast(x0 AS int), cast(least(x0 + w, 639) AS int) + 1)) AS x
-  FROM (SELECT *, unnest(range(cast(y0 AS int), cast(least(y0 + h, 639) AS int) + 1)) AS y FROM b WHERE least(w, h) < {MIN_TEXT}))
-SELECT image_id, count(DISTINCT y * 640 + x) AS pixels FROM g GROUP BY image_id""")
+@query(f"{_B}, {_OK}, {_GONE} SELECT image_id, count(DISTINCT y * 640 + x) AS pixels FROM gone GROUP BY image_id")
 def prob_mask(spark: SparkSession, d: str) -> DataFrame:
     return raster.masked_out(boxes(spark, d), SHRINK, MIN_TEXT, WIDTH, HEIGHT).groupBy("image_id").agg(F.count("*").alias("pixels"))
 
 
+@query(f"""{_B}, {_CORE}, {_RING}, {_GONE}, t AS (
+  SELECT image_id, y, x, max(p) AS p, min(k) AS k, max(v) AS v FROM (
+    SELECT image_id, y, x, 1 AS p, 1 AS k, NULL::double AS v FROM core UNION ALL SELECT image_id, y, x, 0, 0, NULL FROM gone
+    UNION ALL SELECT image_id, y, x, 0, 1, {_THRESH} FROM ring GROUP BY image_id, y, x) GROUP BY image_id, y, x)
+SELECT image_id, cast(sum(p) AS bigint) AS prob, cast(sum(1 - k) AS bigint) AS cleared, count(v) AS on_ring, cast(floor(sum(coalesce(v, 0)) * 1000 + 0.5) AS bigint) AS thresh FROM t GROUP BY image_id""")
+def targets(spark: SparkSession, d: str) -> DataFrame:
+    t = raster.targets(boxes(spark, d), SHRINK, LOW, HIGH, MIN_TEXT, WIDTH, HEIGHT)
+    total = F.floor(F.sum("thresh") * 1000 + 0.5).cast("long")
+    return t.groupBy("image_id").agg(F.sum("prob").alias("prob"), F.sum(1 - F.col("prob_mask")).alias("cleared"), F.sum("thresh_mask").alias("on_ring"), total.alias("thresh"))
+
+
 # --- losses over probability maps ----------------------------------------------------
 
-_T = """, t AS (SELECT a.image_id, a.y, a.x, least(greatest(a.p, 0.000001), 0.999999) AS p, CASE WHEN b.p > 0.5 THEN 1.0 ELSE 0.0 END::double AS t, CASE WHEN a.y BETWEEN 1 AND 6 THEN 1.0 ELSE 0.0 END::double AS m, b.p AS q
+_T = """, t AS (SELECT a.image_id, a.y, a.x, least(greatest(a.p, 0.000001), 0.999999) AS p, CASE WHEN b.p > 0.5 THEN 1.0 ELSE 0.0 END::double AS t, CASE WHEN a.y BETWEEN 1 AND 6 THEN 1.0 ELSE 0.0 END::double AS m, b.p AS q, CASE WHEN b.p > 0.5 THEN b.p ELSE 1.0 END AS w, 1 / (1 + exp(-50 * (least(greatest(a.p, 0.000001), 0.999999) - b.p))) AS bin
   FROM px a JOIN px b ON b.image_id = a.image_id + 1 AND b.y = a.y AND b.x = a.x)"""
-_DICE = "SELECT image_id, 1 - (2 * sum(p * t * m) + 0.000001) / (sum(p * m) + sum(t * m) + 0.000001) AS dice FROM t GROUP BY image_id"
+_DICE = "SELECT image_id, 1 - (2 * sum(p * t * w * m) + 0.000001) / (sum(p * w * m) + sum(t * w * m) + 0.000001) AS dice FROM t GROUP BY image_id"
+_BIN = "SELECT image_id, 1 - (2 * sum(bin * t * w * m) + 0.000001) / (sum(bin * w * m) + sum(t * w * m) + 0.000001) AS bd FROM t GROUP BY image_id"
 _L1 = "SELECT image_id, sum(abs(p - q) * m) / greatest(sum(m), 1) AS l1 FROM t GROUP BY image_id"
 _BCE = f"""SELECT image_id, coalesce(sum(CASE WHEN pos OR (neg AND r <= k) THEN loss END), 0) / greatest(count(*) FILTER (pos) + max(k), 1) AS bce FROM (
   SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CASE WHEN neg THEN loss END DESC NULLS LAST, y, x) AS r,
     least(count(*) FILTER (neg) OVER (PARTITION BY image_id), floor(greatest(count(*) FILTER (pos) OVER (PARTITION BY image_id), 1) * {OHEM_RATIO})) AS k
-  FROM (SELECT *, -(t * ln(p) + (1 - t) * ln(1 - p)) AS loss, t > 0.5 AND m > 0.5 AS pos, t <= 0.5 AND m > 0.5 AS neg FROM t)) GROUP BY image_id"""
+  FROM (SELECT *, -(t * ln(p) + (1 - t) * ln(1 - p)) * w AS loss, t > 0.5 AND m > 0.5 AS pos, t <= 0.5 AND m > 0.5 AS neg FROM t)) GROUP BY image_id"""
 
 
 def _pairs(spark, d) -> DataFrame:
-    """Each map with the next one's map as its target."""
+    """Each map with the next one's map as its target; pixels of the target are weighted by their score."""
     px = pixels(spark, d)
     nxt = px.select((F.col("image_id") - 1).alias("image_id"), "y", "x", F.col("p").alias("q"))
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     p = F.greatest(F.lit(scores.EPS), F.least(F.lit(1 - scores.EPS), F.col("p")))
-    return px.join(nxt, ["image_id", "y", "x"]).select("image_id", "y", "x", p.alias("p"), flag(F.col("q") > 0.5).alias("t"), flag(F.col("y").between(1, 6)).alias("m"), F.lit(1.0).alias("w"), "q")
+    return px.join(nxt, ["image_id", "y", "x"]).select("image_id", "y", "x", p.alias("p"), flag(F.col("q") > 0.5).alias("t"), flag(F.col("y").between(1, 6)).alias("m"), F.when(F.col("q") > 0.5, F.col("q")).otherwise(1.0).alias("w"), "q")
 
 
 @query(f"{_P} SELECT image_id, y, x FROM px WHERE p > {PIXEL_THRESH}")
@@ -361,11 +389,12 @@ def ohem_bce(spark: SparkSession, d: str) -> DataFrame:
     return losses.ohem_bce(_pairs(spark, d), ["image_id"], OHEM_RATIO).withColumn("bce", micro(F.col("bce")))
 
 
-@query(f"{_P}{_T} SELECT image_id, {m('5 * (bce + dice) + 10 * l1')} AS loss FROM ({_DICE}) JOIN ({_L1}) USING (image_id) JOIN ({_BCE}) USING (image_id)")
+@query(f"{_P}{_T} SELECT image_id, {m('bce + dice + 10 * l1 + bd')} AS loss FROM ({_DICE}) JOIN ({_L1}) USING (image_id) JOIN ({_BCE}) USING (image_id) JOIN ({_BIN}) USING (image_id)")
 def total_loss(spark: SparkSession, d: str) -> DataFrame:
     px, by = _pairs(spark, d), ["image_id"]
-    parts = losses.dice(px, by).join(losses.masked_l1(px, by, "p", "q"), by).join(losses.ohem_bce(px, by, OHEM_RATIO), by).withColumn("binary_dice", F.lit(None).cast("double"))
-    return parts.select("image_id", micro(losses.total(parts, 5.0, 10.0, 1.0, 1.0)).alias("loss"))
+    binary = px.withColumn("p", scores.diff_binarize(F.col("p"), F.col("q")))
+    parts = losses.dice(px, by).join(losses.masked_l1(px, by, "p", "q"), by).join(losses.ohem_bce(px, by, OHEM_RATIO), by).join(losses.dice(binary, by).withColumnRenamed("dice", "binary_dice"), by)
+    return parts.select("image_id", micro(losses.total(parts, 1.0, 10.0, 1.0, 1.0)).alias("loss"))
 
 
 # --- decoding and matching -----------------------------------------------------------

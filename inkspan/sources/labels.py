@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..functions.order import numbered
+from ..functions.order import id_bucket, numbered
 from ..functions.scores import export_score, reaches, training_score
 
 BOXES = "array<struct<transcription:string,points:array<array<double>>,score:double>>"
@@ -103,16 +103,45 @@ def append_failures(failed: DataFrame, path: str) -> None:
     failed.select(F.concat_ws("\t", "rel_path", "error").alias("value")).write.mode("append").text(path)
 
 
-def coco_annotations(boxes: DataFrame, min_score: float, bucket: Column) -> DataFrame:
+def coco_annotations(boxes: DataFrame, min_score: float, by: str = "image_id") -> DataFrame:
     """Kept boxes with dense ids in (image_id, box_idx) order; boxes: image_id, box_idx, points, score."""
     kept = boxes.withColumn("score", export_score(F.col("score"))).where(reaches(F.col("score"), min_score))
     e = geometry.extents(F.col("points"))
     made = kept.select("image_id", "box_idx", "score", "points", e.alias("e"))
-    made = numbered(made, bucket, ["image_id", "box_idx"], "id")
+    made = numbered(made, id_bucket(made, by), ["image_id", "box_idx"], "id")
     w, h = F.col("e.x1") - F.col("e.x0"), F.col("e.y1") - F.col("e.y0")
     return made.select("id", "image_id", F.lit(1).alias("category_id"), F.array("e.x0", "e.y0", w, h).alias("bbox"), (w * h).alias("area"), F.lit(0).alias("iscrowd"), F.array(geometry.flat(F.col("points"))).alias("segmentation"), "score")
 
 
+def coco_document(images: DataFrame, annotations: DataFrame, image_id: Column) -> dict:
+    """One JSON document of the images that a condition on image_id names, for tools that read a single file.
+
+    Its size is the caller's choice; whole tables go to write_coco().
+    """
+    own = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+    return {"images": own(images.where(image_id).orderBy("id" if "id" in images.columns else "image_id")), "annotations": own(annotations.where(image_id).orderBy("id")), "categories": [{"id": 1, "name": "text"}]}
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path relative to root, with forward slashes; paths outside root stay as they are."""
+    base = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1 << 30)).otherwise(path)
+
+
+def drawable(points: Column, least: int = 2) -> Column:
+    """Whether a polygon has enough vertices to be drawn."""
+    return F.size(points) >= least
+
+
+def both_exist(spark: SparkSession, train: str, val: str) -> bool:
+    """Whether both split lists exist; if either is missing, both are to be made again."""
+    there = []
+    for path in (train, val):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.append(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+    return all(there)
+
+
 def write_coco(images: DataFrame, annotations: DataFrame, path: str) -> None:
     """images, annotations and categories as JSON lines, one table each; a reader joins them by image_id."""
     images.write.mode("overwrite").json(f"{path}/images")
@@ -130,7 +159,11 @@ def append_history(epochs: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The history with one row per epoch: a resumed run may have written an epoch again, the later row counts."""
-    rows = spark.read.schema(schema).json(path).withColumn("__at", F.monotonically_increasing_id())
-    newest = rows.groupBy("epoch").agg(F.max("__at").alias("__at"))
-    return rows.join(newest, ["epoch", "__at"], "left_semi").drop("__at")
+    """The history with one row per epoch: a resumed run may have written an epoch again, the later row counts.
+
+    Later is by the time of the file, then by the place in it; Spark itself reads files by size.
+    """
+    rows = spark.read.schema(schema).json(path)
+    at = F.struct(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i"))
+    own = F.struct(*[F.col(c) for c in rows.columns]).alias("__row")
+    return rows.select("epoch", own, at.alias("__at")).groupBy("epoch").agg(F.max_by("__row", "__at").alias("r")).select("r.*")

@@ -9,18 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.plugins import detect
-from ..sources.labels import append_failures, append_labels
+from ..operators.splits import not_done
+from ..sources.labels import append_failures, append_labels, read_done
 
 
 def label_stream(spark: SparkSession, inbox: str, labels: str, failures: str, checkpoint: str, make: Callable, per_trigger: int = 1000):
     """Labels paths that arrive as lines of text files, once each; returns the started query.
 
-    The checkpoint remembers what was read, so a restarted query goes on where it stopped.
+    The checkpoint remembers what was read, so a restarted query goes on where it stopped.  A batch that is
+    played again, and a path that arrives again, leave out what the label file holds; failures are tried again.
     """
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(inbox)
 
     def write(batch: DataFrame, _: int) -> None:
-        done = detect(batch.select(F.trim("value").alias("rel_path")).where(F.col("rel_path") != "").dropDuplicates(), make).persist()
+        asked = batch.select(F.trim("value").alias("rel_path")).where(F.col("rel_path") != "").dropDuplicates()
+        done = detect(not_done(asked, read_done(spark, labels)), make).persist()
         append_labels(done.where(F.col("error").isNull()), labels)
         append_failures(done.where(F.col("error").isNotNull()), failures)
         done.unpersist()
@@ -29,7 +32,10 @@ def label_stream(spark: SparkSession, inbox: str, labels: str, failures: str, ch
 
 
 def ema_stream(steps: DataFrame, key: str, order: str, value: str, decay: float, seed: float | None = None) -> DataFrame:
-    """key, steps, ema after each batch; state is (steps, ema) per key. Rows of a batch are taken in order."""
+    """key, steps, ema after each batch; state is (steps, ema) per key.
+
+    Rows of a batch are taken in the order of their own type; rows of a later batch come after those of earlier ones.
+    """
 
     def update(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, v = state.get if state.exists else (0, seed)
@@ -40,5 +46,5 @@ def ema_stream(steps: DataFrame, key: str, order: str, value: str, decay: float,
         state.update((n, v))
         yield pd.DataFrame({"key": [group[0]], "steps": [n], "ema": [v]})
 
-    rows = steps.select(F.col(key).cast("long").alias("key"), F.col(order).cast("string").alias("order"), F.col(value).cast("double").alias("value"))
+    rows = steps.select(F.col(key).cast("long").alias("key"), F.col(order).alias("order"), F.col(value).cast("double").alias("value"))
     return rows.groupBy("key").applyInPandasWithState(update, "key long, steps long, ema double", "steps long, ema double", "update", "NoTimeout")

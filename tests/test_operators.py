@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -104,24 +105,93 @@ def test_polygon_raster_against_brute_force(spark):
     assert got == {(k, y, x) for k, p in ((1, tri), (2, square)) for y in range(10) for x in range(10) if inside(p, x, y)}
 
 
-def test_score_and_threshold_map_against_brute_force(spark):
-    rows = [(1, 1, 2.0, 2.0, 12.0, 8.0, 0.5), (1, 2, 8.0, 4.0, 10.0, 10.0, 0.9)]
-    df = spark.createDataFrame(rows, "image_id int, box_idx int, x0 double, y0 double, w double, h double, score double")
-    want_s, want_t = {}, {}
-    for _, _, x0, y0, w, h, s in rows:
+def plain_targets(boxes, ratio, low, high, min_size, width, height):
+    """The four maps pixel by pixel: clip, ignore, shrink, ring with round corners, nothing off the ring."""
+    prob, mask, thresh, on_ring = ({} for _ in range(4))
+    for x0, y0, w, h, ignore in boxes:
+        x1, y1 = min(max(x0 + w, 0), width - 1), min(max(y0 + h, 0), height - 1)
+        x0, y0 = min(max(x0, 0), width - 1), min(max(y0, 0), height - 1)
+        w, h = x1 - x0, y1 - y0
+        d = w * h * (1 - ratio * ratio) / (2 * (w + h)) if w + h else 0
+        if ignore or min(w, h) < min_size or 2 * d >= min(w, h):
+            for y in range(int(y0), int(y1) + 1):
+                for x in range(int(x0), int(x1) + 1):
+                    mask[y, x] = 0
+            continue
+        for y in range(height):
+            for x in range(width):
+                core = int(x0 + d) <= x <= int(x1 - d) and int(y0 + d) <= y <= int(y1 - d)
+                if core:
+                    prob[y, x] = 1
+                    continue
+                px, py = min(max(x, x0), x1), min(max(y, y0), y1)
+                inside = (px, py) == (x, y)
+                dist = min(x - x0, x1 - x, y - y0, y1 - y) if inside else math.hypot(x - px, y - py)
+                if inside or dist <= d:
+                    on_ring[y, x] = 1
+                    thresh[y, x] = max(thresh.get((y, x), 0), (1 - min(dist / d, 1)) * (high - low) + low)
+    return prob, mask, thresh, on_ring
+
+
+def test_targets_against_brute_force(spark):
+    own = [(2.0, 2.0, 12.0, 8.0, False), (8.0, 4.0, 10.0, 10.0, False), (20.0, 20.0, 30.0, 9.0, False), (-5.0, 22.0, 14.0, 9.0, False), (3.0, 12.0, 9.0, 3.0, False), (14.0, 1.0, 9.0, 9.0, True)]
+    scores_ = [0.5, 0.9, 0.0, 0.7, 0.6, 0.8]
+    rows = [(1, i + 1, *b, s) for i, (b, s) in enumerate(zip(own, scores_, strict=True))]
+    df = spark.createDataFrame(rows, "image_id int, box_idx int, x0 double, y0 double, w double, h double, ignore boolean, score double")
+    prob, mask, thresh, on_ring = plain_targets(own, 0.4, 0.3, 0.7, 4.0, 32, 32)
+    got = {(r.y, r.x): r for r in raster.targets(df, 0.4, 0.3, 0.7, 4.0, 32, 32).collect()}
+    assert {k for k, r in got.items() if r.prob} == set(prob) and {k for k, r in got.items() if not r.prob_mask} == set(mask)
+    assert {k for k, r in got.items() if r.thresh_mask} == set(on_ring)
+    assert all(r.thresh == pytest.approx(thresh.get(k, 0.0)) for k, r in got.items())
+    got = {(r.y, r.x): r.value for r in raster.threshold_map(df, 0.4, 0.3, 0.7, 4.0, 32, 32).collect()}
+    assert got == pytest.approx(thresh)
+    assert {(r.y, r.x) for r in raster.ring_mask(df, 0.4, 4.0, 32, 32).collect()} == set(on_ring)
+    want = {}
+    for (x0, y0, w, h, _), s in zip(own, scores_, strict=True):
         d = w * h * (1 - 0.16) / (2 * (w + h))
         for y in range(32):
             for x in range(32):
-                if int(x0 + d) <= x <= int(x0 + w - d) and int(y0 + d) <= y <= int(y0 + h - d):
-                    want_s[y, x] = s
-                if int(max(x0 - d, 0)) <= x <= int(x0 + w + d) and int(max(y0 - d, 0)) <= y <= int(y0 + h + d):
-                    px, py = min(max(x, x0), x0 + w), min(max(y, y0), y0 + h)
-                    dist = math.hypot(x - px, y - py) or min(x - x0, x0 + w - x, y - y0, y0 + h - y)
-                    want_t[y, x] = max(want_t.get((y, x), 0), (1 - min(dist / d, 1)) * 0.4 + 0.3)
-    got = {(r.y, r.x): r.value for r in raster.score_map(df, 0.4, 32, 32).collect()}
-    assert got == want_s
-    got = {(r.y, r.x): r.value for r in raster.threshold_map(df, 0.4, 0.3, 0.7, 32, 32).collect()}
-    assert set(got) == set(want_t) and all(abs(got[k] - want_t[k]) < 1e-9 for k in got)
+                if 2 * d < min(w, h) and int(x0 + d) <= x <= int(x0 + w - d) and int(y0 + d) <= y <= int(y0 + h - d):
+                    want[y, x] = s if s > 0 else 1.0
+    assert {(r.y, r.x): r.value for r in raster.score_map(df, 0.4, 32, 32).collect()} == want
+
+
+def test_percentiles_of_many_values(spark, monkeypatch):
+    from inkspan.functions import order
+
+    monkeypatch.setattr(order, "GATHERED", 200)
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(size=30_000), np.concatenate([np.zeros(20_000), rng.random(9_000)]), np.ones(5_000)):
+        df = spark.createDataFrame([(float(v),) for v in x], "v double")
+        assert order.percentiles(df, "v", [0.0, 0.5, 0.95, 1.0]) == pytest.approx(np.quantile(x, [0.0, 0.5, 0.95, 1.0]))
+
+
+def test_later_history_counts(spark, tmp_path):
+    path, schema = str(tmp_path / "h"), "epoch int, hmean double, note string"
+    labels.append_history(spark.createDataFrame([(1, 0.1, "a"), (2, 0.2, "a")], schema).coalesce(1), path)
+    time.sleep(1.1)
+    labels.append_history(spark.createDataFrame([(1, 0.9, "b" * 500)], schema).coalesce(1), path)  # a larger file is read first
+    assert {r.epoch: r.hmean for r in labels.read_history(spark, path, schema).collect()} == {1: 0.9, 2: 0.2}
+
+
+def test_small_label_helpers(spark, tmp_path):
+    df = spark.createDataFrame([("/data/set/a/b.png",), ("/other/c.png",)], "p string")
+    assert [r[0] for r in df.select(labels.relative_path(F.col("p"), "/data/set/")).collect()] == ["a/b.png", "/other/c.png"]
+    pts = spark.createDataFrame([([{"x": 1.0, "y": 1.0}],), ([{"x": 1.0, "y": 1.0}, {"x": 2.0, "y": 1.0}],)], "p array<struct<x:double,y:double>>")
+    assert [r[0] for r in pts.select(labels.drawable(F.col("p"))).collect()] == [False, True]
+    (tmp_path / "train.txt").write_text("a\n")
+    assert not labels.both_exist(spark, str(tmp_path / "train.txt"), str(tmp_path / "val.txt"))
+    images = spark.createDataFrame([(1, "a.jpg"), (2, "b.jpg")], "id long, file_name string")
+    boxes = spark.createDataFrame([(1, 1, [{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}, {"x": 4.0, "y": 3.0}], 0.9)], "image_id long, box_idx int, points array<struct<x:double,y:double>>, score double")
+    doc = labels.coco_document(images, labels.coco_annotations(boxes, 0.5), F.lit(True))
+    assert [i["id"] for i in doc["images"]] == [1, 2] and doc["annotations"][0]["area"] == 12.0 and json.loads(json.dumps(doc)) == doc
+
+
+def test_turns(spark):
+    from inkspan.functions import geometry
+
+    df = spark.createDataFrame([(op,) for op in range(6)], "op int").select("op", *(c.alias(n) for n, c in zip("xy", geometry.turned(F.lit(1.0), F.lit(2.0), 10, 20, F.col("op")), strict=True)))
+    assert {r.op: (r.x, r.y) for r in df.collect()} == {0: (1, 2), 1: (8, 2), 2: (1, 17), 3: (2, 8), 4: (8, 17), 5: (17, 1)}
 
 
 def pixels(spark, pos, neg):
@@ -167,7 +237,7 @@ def test_components_and_decode(spark):
     assert {(r.y, r.x): (r.first_y, r.first_x) for r in decode.components(df).collect()} == want
     block = [(1, y, x, 0.9) for y in range(10, 20) for x in range(10, 40)] + [(1, y, 50, 0.9) for y in range(5, 60)]
     out = decode.decode(spark.createDataFrame(block, "image_id long, y int, x int, p double"), decode.DecodeConfig(), 64, 64).collect()
-    d = 29 * 9 * 1.5 / (2 * 38)
+    d = 29 * 9 * 1.8 / (2 * 38)
     assert len(out) == 1 and min(p.x for p in out[0].points) == pytest.approx(10 - d) and max(p.y for p in out[0].points) == pytest.approx(19 + d)
 
 
@@ -234,18 +304,21 @@ def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("loss:\n  alpha: 2\n")
     path, rest = config.split_args(["x.yaml", "loss.beta=3", str(tmp_path / "c.yaml")])
     c = config.load(path, rest)
-    assert (c.loss.alpha, c.loss.beta, c.decode.thresh) == (2.0, 3.0, 0.3)
+    assert (c.loss.alpha, c.loss.beta, c.postprocess.thresh) == (2.0, 3.0, 0.3)
     config.dump(c, str(tmp_path / "d.yaml"))
     assert config.load(str(tmp_path / "d.yaml")) == c
     with pytest.raises(KeyError):
         config.load(None, ["loss.gamma=1"])
+    (tmp_path / "e.yaml").write_text("data:\n  min_score: 0.6\ntrainer:\n  epochs: 3\n  optimizer: adamw\npostprocess:\n  unclip_ratio: 2\nmodel:\n  head:\n    k: 50\n    bias: false\ndevice: cuda\n")
+    c = config.load(str(tmp_path / "e.yaml"), ["model.head.k=40", "trainer.lr=0.01"])
+    assert (c.data.min_score, c.trainer.epochs, c.trainer.other, c.postprocess.unclip_ratio, c.model, c.device) == (0.6, 3, {"optimizer": "adamw"}, 2.0, {"head": {"k": 40, "bias": False}}, "cuda")
 
 
 def test_streams_resume(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
     args = (str(inbox), str(tmp_path / "labels"), str(tmp_path / "failures"), str(tmp_path / "cp"), lambda: lambda p: {"dt_polys": [QUAD]} if p != "bad" else 1 / 0)
-    for name, paths in (("1", "a\nbad\n"), ("2", "b\n")):
+    for name, paths in (("1", "a\nbad\n"), ("2", "b\na\n")):  # a comes again
         (inbox / name).write_text(paths)
         state.label_stream(spark, *args).awaitTermination()
     assert sorted(r.rel_path for r in labels.read_labels(spark, args[1]).collect()) == ["a", "b"]
@@ -255,9 +328,9 @@ def test_streams_resume(spark, tmp_path):
 def test_ema_stream(spark, tmp_path):
     src = str(tmp_path / "steps")
     rng = random.Random(1)
-    rows = [(k, f"{i:04d}", rng.random()) for i in range(20) for k in (1, 2)]
-    spark.createDataFrame(rows, "k long, t string, v double").coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema("k long, t string, v double").parquet(src)
+    rows = [(k, i, rng.random()) for i in range(20) for k in (1, 2)]
+    spark.createDataFrame(rows[::-1], "k long, t int, v double").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("k long, t int, v double").parquet(src)
     q = state.ema_stream(stream, "k", "t", "v", 0.9, 0.5).writeStream.outputMode("update").format("memory").queryName("ema_out").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     for k in (1, 2):
