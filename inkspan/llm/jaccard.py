@@ -16,8 +16,9 @@ equal sets form a class, represented by one of them.
    over its members, ordered by size and least shingle: nodes hold the OR (and the AND)
    of their members' token bitmaps and the range of set sizes.  Two trees are traversed
    together, and a pair of nodes is dropped when the largest overlap that bitmaps and
-   sizes allow cannot reach the threshold.  A first traversal looks at an eighth of the
-   shingles and leaves only members that may link.  The second gets their whole sets,
+   sizes allow cannot reach the threshold.  A first traversal looks at bitmaps of an
+   eighth of the shingles, a second at bitmaps of all, and each leaves only members that
+   may link.  The third gets their whole sets,
    counts overlaps where two lowest nodes meet and joins what links, so it returns only
    links that join two components: fewer than there are members.
    Groups of more than a block's weight are cut into blocks.  Each block is solved by
@@ -162,15 +163,15 @@ def _common(texts: DataFrame, size: int, lane: int, rows: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in often.select("token").collect()], np.int64).astype(np.uint64))
 
 
-def _whole(texts: DataFrame, size: int, lane: int) -> DataFrame:
-    """(sid, shingles): all shingle hashes of each set, 8 bytes each."""
+def _per_set(texts: DataFrame, size: int, lane: int, whole: bool) -> DataFrame:
+    """(sid, bits): the bitmap of all shingles of each set, or all its shingle hashes, 8 bytes each."""
 
     def run(batches):
         for b in parts(batches):
             sets = [s for s in shingle_sets(utf8(b.column(0)), size, lane) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() if whole else bitmap(s, len(s)) for s in sets], pa.binary())], names=["sid", "bits"])
 
-    return texts.select("text").mapInArrow(run, "sid long, shingles binary").dropDuplicates(["sid"])
+    return texts.select("text").mapInArrow(run, "sid long, bits binary").dropDuplicates(["sid"])
 
 
 def fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -474,9 +475,9 @@ def _stars(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(sid, n, low, comp): a name that only sets of one component share, after two rounds over the links."""
-    near = components(links.toDF("u", "v"), 2, settled=False)
-    return classes.join(near.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", "low", F.coalesce("component", "sid").alias("comp"))
+    """(sid, n, low, comp): the component of each set by the links so far."""
+    known = components(links.toDF("u", "v"))
+    return classes.join(known.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", "low", F.coalesce("component", "sid").alias("comp"))
 
 
 def _found(documents: DataFrame, size: int, percent: int, lane: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -494,16 +495,21 @@ def _found(documents: DataFrame, size: int, percent: int, lane: int = 0) -> tupl
 
     # trees over the groups in which different components meet
     members = _open(met.select("center", "sid").join(_named(classes, star), "sid"))
-    # first by an eighth of the shingles, which parts sets that share little; then what is left by all
-    eighth = classes.select("sid", "bits")
-    some = _jobs(members, percent, BITMAPS).join(eighth, "sid").groupBy("pack", "x", "y").applyInPandas(_solve(percent, False), "a long, b long")
-    left = _open(members.join(some.toDF("center", "sid").distinct(), ["center", "sid"], "left_semi"))
+    # first by an eighth of the shingles, which parts sets that share little, then by all; whole sets only of what is left
+    def own(members: DataFrame, whole: bool) -> DataFrame:
+        wanted = members.select("sid").distinct().join(classes.select("sid", "rep.doc_id", "rep.th"), "sid")
+        return _per_set(_only(texts, wanted), size, lane, whole)
+
+    def narrowed(members: DataFrame, bits: DataFrame) -> DataFrame:
+        some = _jobs(members, percent, BITMAPS).join(bits, "sid").groupBy("pack", "x", "y").applyInPandas(_solve(percent, False), "a long, b long")
+        return _open(members.join(some.toDF("center", "sid").distinct(), ["center", "sid"], "left_semi"))
 
     def solved(left: DataFrame, across: bool) -> DataFrame:
-        wanted = left.select("sid").distinct().join(classes.select("sid", "rep.doc_id", "rep.th"), "sid")
-        sets = _whole(_only(texts, wanted), size, lane).withColumnRenamed("shingles", "bits")
-        return cut(_jobs(left, percent, WHOLE, across).join(sets, "sid").groupBy("pack", "x", "y").applyInPandas(_solve(percent, True), "a long, b long").distinct())
+        jobs = _jobs(left, percent, WHOLE, across).join(own(left, True), "sid")
+        return cut(jobs.groupBy("pack", "x", "y").applyInPandas(_solve(percent, True), "a long, b long").distinct())
 
+    left = narrowed(members, classes.select("sid", "bits"))
+    left = narrowed(left, own(left, False))
     more = solved(left, False)
     big = left.where(F.col("m") > WHOLE)
     if not big.isEmpty():

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Rolling, cut, mix, parts, saved, table
+from .shared import SLAB, Rolling, cut, mix, parts, saved, table
 
 LENGTH = 200
 WIDTH = 8
@@ -79,60 +79,78 @@ def pack(start: np.ndarray, n: np.ndarray, a: np.ndarray) -> np.ndarray:
     return (start.astype(np.int64) << 32) | (n.astype(np.int64) << 8) | (a.astype(np.int64) + 1)
 
 
-def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, fingerprint in two halves, packed place) of the phrases of one text."""
-    found = []
-    for at in range(0, len(data) - LENGTH + 1, BLOCK):
-        part = data[at : at + BLOCK + LENGTH - 1]
-        last = len(part) - LENGTH
-        t = triggers(part)
-        before = np.concatenate([[REACH - 1], t[:-1]]) if len(t) else t
-        lo = np.maximum(np.maximum(before - REACH + 1, t - _FAR), 0)
-        hi = np.minimum(t - REACH, last)
-        ok = lo <= hi
-        one, two = Rolling(part), Rolling(part, 1)
-        tt, a, b = t[ok], lo[ok], hi[ok]
-        shape = mix(((tt - a) * 256 + (b - a)).astype(np.uint64))
-        found.append((one.of(tt, tt + KEY), one.of(a, b + LENGTH) ^ shape, two.of(a, b + LENGTH) ^ shape, pack(a + at, b - a + 1, tt - a)))
-        free = np.ones(last + 2, np.int32)
-        free[-1] = 0
-        step = np.zeros(last + 2, np.int32)
-        np.add.at(step, a, 1)
-        np.add.at(step, b + 1, -1)
-        free[np.cumsum(step) > 0] = 0
-        i = np.nonzero(free)[0]
-        if len(i):
-            h, h2 = one.of(i, i + LENGTH), two.of(i, i + LENGTH)
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (np.diff(i) != 1)])
-            first = np.nonzero(new)[0]
-            runs = np.diff(np.concatenate([first, [len(i)]]))
-            found.append((mix(h[first] + np.uint64(1)), h[first], h2[first], pack(i[first] + at, runs, np.full(len(first), -1))))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+def located(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a piece of a text: triggers that windows belong to, their first and last windows, and windows that belong to none."""
+    last = len(part) - LENGTH
+    t = triggers(part)
+    before = np.concatenate([[REACH - 1], t[:-1]]) if len(t) else t
+    lo = np.maximum(np.maximum(before - REACH + 1, t - _FAR), 0)
+    hi = np.minimum(t - REACH, last)
+    ok = lo <= hi
+    a, b = lo[ok], hi[ok]
+    step = np.zeros(last + 2, np.int32)
+    np.add.at(step, a, 1)
+    np.add.at(step, b + 1, -1)
+    return t[ok], a, b, np.nonzero(np.cumsum(step)[:-1] == 0)[0]
+
+
+def pieces_of(text: np.ndarray):
+    """(place in the text, bytes) of pieces that hold each window once."""
+    for at in range(0, len(text) - LENGTH + 1, BLOCK):
+        yield at, text[at : at + BLOCK + LENGTH - 1]
+
+
+def phrases(pieces: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """(key, fingerprint in two halves, doc, packed place) of the phrases of pieces (doc, place, bytes), hashed in one go."""
+    found = [located(part) for _, _, part in pieces]
+    size = np.array([len(part) for _, _, part in pieces], np.int64)
+    off = np.cumsum(size) - size
+    data = np.concatenate([part for _, _, part in pieces])
+    one, two = Rolling(data), Rolling(data, 1)
+    docs, places = np.array([d for d, _, _ in pieces], np.int64), np.array([p for _, p, _ in pieces], np.int64)
+
+    def spread(k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = np.repeat(np.arange(len(pieces)), [len(f[k]) for f in found])
+        return own, np.concatenate([f[k] for f in found]) + off[own]
+
+    own, t = spread(0)
+    (_, a), (_, b) = spread(1), spread(2)
+    shape = mix(((t - a) * 256 + (b - a)).astype(np.uint64))
+    out = [(one.of(t, t + KEY), one.of(a, b + LENGTH) ^ shape, two.of(a, b + LENGTH) ^ shape, docs[own], pack(a - off[own] + places[own], b - a + 1, t - a))]
+    own, i = spread(3)
+    if len(i):
+        h, h2 = one.of(i, i + LENGTH), two.of(i, i + LENGTH)
+        # equal windows one after the other are one entry
+        first = np.nonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (np.diff(i) != 1)]))[0]
+        runs = np.diff(np.concatenate([first, [len(i)]]))
+        o = own[first]
+        out.append((mix(h[first] + np.uint64(1)), h[first], h2[first], docs[o], pack(i[first] - off[o] + places[o], runs, np.full(len(first), -1))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _parse(docs: DataFrame) -> DataFrame:
+    def rows(pieces):
+        k, u, v, d, p = phrases(pieces)
+        for at in range(0, len(k), 50_000):
+            s = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(k[s].astype(np.int64)), pa.array(u[s].astype(np.int64)), pa.array(v[s].astype(np.int64)), pa.array(d[s]), pa.array(p[s])], names=["k", "u", "v", "doc", "place"])
+
     def run(batches):
         for b in batches:
             ids, texts = b.column(0).to_numpy(), b.column(1)
-            out, size = [], 0
+            held, size = [], 0
             for i in range(b.num_rows):
                 text = texts[i].as_py()
-                if text is None or len(text) < LENGTH:
+                if text is None:
                     continue
-                k, u, v, place = phrases(np.frombuffer(text, np.uint8))
-                out.append((k, u, v, np.full(len(k), ids[i]), place))
-                size += len(k)
-                if size > 50_000:
-                    yield _rows(out)
-                    out, size = [], 0
-            if out:
-                yield _rows(out)
-
-    def _rows(out):
-        k, u, v, d, p = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(d), pa.array(p)], names=["k", "u", "v", "doc", "place"])
+                for at, part in pieces_of(np.frombuffer(text, np.uint8)):
+                    if held and size + len(part) > SLAB:
+                        yield from rows(held)
+                        held, size = [], 0
+                    held.append((int(ids[i]), at, part))
+                    size += len(part)
+            if held:
+                yield from rows(held)
 
     return docs.select("doc", "bytes").mapInArrow(run, "k long, u long, v long, doc long, place long")
 
