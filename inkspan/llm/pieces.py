@@ -83,8 +83,8 @@ class Vocabulary:
         for b, k in enumerate(byte_ids):
             decoded[k] = bytes([b])
         self.text = np.frombuffer(b"".join(decoded), np.uint8)
-        self.size = np.array(list(map(len, decoded)), np.int64)
-        self.start = np.cumsum(self.size) - self.size
+        self.size = np.array(list(map(len, decoded)), np.int32)
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The state after each character, 0 where the trie ends."""
@@ -119,52 +119,62 @@ class Lattices:
         self.v, self.chars, self.base = v, chars, base
         n, longest = len(chars), v.longest
         end = np.repeat(base[1:], np.diff(base))
-        self.edge = np.full((longest, n), -np.inf)
         self.piece = np.full((longest, n), -1, np.int32)
         at, state = np.arange(n), np.zeros(n, np.int32)
+        edges = []
         for size in range(longest):
             state = v.step(state, chars[at + size])
             keep = state > 0
             at, state = at[keep], state[keep]
             p = v.piece_of[state]
-            own = p >= 0
+            own = np.nonzero(p >= 0)[0]
             self.piece[size, at[own]] = p[own]
-            self.edge[size, at[own]] = v.scores[p[own]]
+            edges.append((at[own], v.scores[p[own]]))
             keep = at + size + 1 < end[at]
             at, state = at[keep], state[keep]
             if not len(at):
                 break
-        self.edge[0, self.piece[0] < 0] = v.fallback
-        self._forward()
-
-    def _forward(self) -> None:
-        """Best and second-best score up to each place (place base[k] + j + k: after j characters of chunk k)."""
+        bare = np.nonzero(self.piece[0] < 0)[0]
+        edges.insert(1, (bare, np.full(len(bare), v.fallback)))
+        size = np.repeat(np.array([1, 1, *range(2, len(edges))], np.int32), [len(x) for x, _ in edges])
+        self._forward(*map(np.concatenate, zip(*edges, strict=True)), size)
+
+    def _score(self, size: int, at: int) -> float:
+        """Score of the edge of so many characters, -inf if there is none."""
+        p = self.piece[size - 1, at]
+        return float(self.v.scores[p]) if p >= 0 else self.v.fallback if size == 1 else -np.inf
+
+    def _forward(self, start: np.ndarray, score: np.ndarray, size: np.ndarray) -> None:
+        """Best and second-best score up to each place (place base[k] + j + k: after j characters of chunk k), from the edges."""
         sizes = np.diff(self.base)
-        order = np.argsort(-sizes, kind="stable")
-        chars0, place0 = self.base[:-1][order], (self.base[:-1] + np.arange(len(sizes)))[order]
-        sorted_sizes = -sizes[order]
-        few = np.searchsorted(sorted_sizes, -LONG, side="left")  # the longest come first and go alone
+        chunk = np.repeat(np.arange(len(sizes)), sizes)
         self.best = np.full(len(self.chars) + len(sizes), -np.inf)
         second = np.full(len(self.best), -np.inf)
         self.back = np.zeros(len(self.best), np.int16)
-        self.best[place0] = 0.0
+        self.best[self.base[:-1] + np.arange(len(sizes))] = 0.0
         for k in np.nonzero(sizes > LONG)[0].tolist():
             self._forward_one(k, second)
-        for j in range(1, min(int(sizes.max(initial=0)), LONG) + 1):
-            live = np.searchsorted(sorted_sizes, -j, side="right")
-            c, p = chars0[few:live] + j, place0[few:live] + j
-            live -= few
-            first, other, back = np.full(live, -np.inf), np.full(live, -np.inf), np.zeros(live, np.int16)
-            for size in range(1, min(self.v.longest, j) + 1):
-                e = self.edge[size - 1, c - size]
-                if size > 1 and not np.isfinite(e).any():
-                    continue
-                x, y = self.best[p - size] + e, second[p - size] + e
-                more = x > first
-                other = np.maximum(np.maximum(np.minimum(first, x), other), y)
-                first = np.where(more, x, first)
-                back[more] = size
-            self.best[p], second[p], self.back[p] = first, other, back
+        k = chunk[start]
+        after = start - self.base[k] + size
+        place = start + k
+        short = sizes[k] <= LONG
+        if not short.all():
+            start, score, size, after, place = start[short], score[short], size[short], after[short], place[short]
+        # by end, then by size; edges of one end and one size lead to different places
+        turn = after * (self.v.longest + 1) + size
+        most = (LONG + 1) * (self.v.longest + 1)
+        order = np.argsort(turn.astype(np.uint16) if most < 1 << 16 else turn, kind="stable")
+        turn, score, place, size = turn[order], score[order], place[order], size[order]
+        to = place + size
+        cuts = np.concatenate([[0], np.nonzero(np.diff(turn))[0] + 1, [len(turn)]]).tolist()
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            p, q, e = place[lo:hi], to[lo:hi], score[lo:hi]
+            x, y, first = self.best[p] + e, second[p] + e, self.best[q]
+            second[q] = np.maximum(np.maximum(np.minimum(first, x), second[q]), y)
+            self.best[q] = np.maximum(first, x)
+            self.back[q[x > first]] = size[lo]
         last = self.base[1:] + np.arange(len(sizes))
         self.score = self.best[last]
         self.gap = self.score - second[last]
@@ -174,8 +184,10 @@ class Lattices:
         lo, hi = int(self.base[k]), int(self.base[k + 1])
         n = hi - lo
         starts: list[list] = [[] for _ in range(n + 1)]
-        for size, i in zip(*(x.tolist() for x in np.nonzero(np.isfinite(self.edge[:, lo:hi]))), strict=True):
-            starts[i + size + 1].append((size + 1, float(self.edge[size, lo + i])))
+        known = self.piece[:, lo:hi] >= 0
+        known[0] = True
+        for size, i in zip(*(x.tolist() for x in np.nonzero(known)), strict=True):
+            starts[i + size + 1].append((size + 1, self._score(size + 1, lo + i)))
         a, b, back = [0.0] * (n + 1), [-np.inf] * (n + 1), [0] * (n + 1)
         for j in range(1, n + 1):
             first = other = -np.inf
@@ -239,7 +251,7 @@ class Lattices:
                 out.append((-f, ids))
                 continue
             for step in range(1, min(self.v.longest, at) + 1):
-                e = self.edge[step - 1, base + at - step]
+                e = self._score(step, base + at - step)
                 if e > -np.inf:
                     node = (int(self.piece[step - 1, base + at - step]), int(self.chars[base + at - step]))
                     heapq.heappush(agenda, (-(g + e + self.best[base + k + at - step]), count, at - step, g + e, (node, path)))
@@ -299,7 +311,7 @@ class Encoder:
         flat = ids[np.repeat(id_at[which] - to[:-1], n_ids) + np.arange(to[-1])]
         chunk_doc = np.searchsorted(doc_at + doc_size, start, side="right")
         chunks = np.searchsorted(chunk_doc, np.arange(len(texts) + 1))
-        total = np.concatenate([[0], np.cumsum(lattices.score[which])])
+        score = lattices.score[which]
         known: dict[int, tuple[list[float], list[np.ndarray]]] = {}
         for d in range(len(texts)):
             lo, hi = chunks[d], chunks[d + 1]
@@ -316,7 +328,7 @@ class Encoder:
                     others = [np.array(x, np.int32) for _, x in found if x != own.tolist()]
                     known[w] = [s for s, _ in found], [own, *others][: len(found)]
                 lists.append(known[w])
-            best = merged(float(total[hi] - total[lo]), [s for s, _ in lists], self.n_best)
+            best = merged(float(score[lo:hi].sum()), [s for s, _ in lists], self.n_best)
             made = []
             for _, choice in best:
                 runs, at = [], to[lo]
@@ -330,8 +342,10 @@ class Encoder:
     def decode(self, ids: np.ndarray) -> bytes:
         v = self.v
         size = v.size[ids]
-        at = np.cumsum(size) - size
-        out = v.text[np.repeat(v.start[ids] - at, size) + np.arange(size.sum())].tobytes()
+        end = np.cumsum(size, dtype=np.int64)
+        n = int(end[-1]) if len(end) else 0
+        kind = np.int32 if n < 1 << 31 else np.int64
+        out = v.text[np.repeat((v.start[ids] - (end - size)).astype(kind), size) + np.arange(n, dtype=kind)].tobytes()
         return out[1:] if len(ids) else out
 
 
