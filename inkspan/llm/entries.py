@@ -15,6 +15,9 @@ _NAMES = {
     "op8_chat_formatting": "chat",
     "op9_jaccard_join": "jaccard",
     "op10_sentencepiece": "pieces",
+    "op11_vector_codes": "codes",
+    "op12_token_files": "token_files",
+    "op13_fill_in_middle": "fim",
 }
 
 
