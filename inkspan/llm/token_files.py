@@ -42,12 +42,17 @@ END = 2
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
 #: Words that a worker keeps at most, and characters that are encoded at once.
-WORDS = 1 << 18
-RUN = 1 << 19
+WORDS = 1 << 20
+RUN = 1 << 20
 #: Files whose manifest is broadcast at most (some 60 bytes each); beyond, it is joined by a shuffle.
 FILES = 100_000
 _CUT = re.compile(r"(?<!\s) (?!\s)")
 _UNEVEN = re.compile(r"\s | \s")
+#: White space beside a space, as far as ASCII goes.
+_NEAR = [x + " " for x in " \t\n\v\f\r\x1c\x1d\x1e\x1f"] + [" " + x for x in "\t\n\v\f\r\x1c\x1d\x1e\x1f"]
+
+#: Other white space, by code point.
+_WIDE = [*map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 
 
 class _Words(dict):
@@ -70,6 +75,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
+        self.tokenizer.model._resize_cache(0)  # words come once
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         # byte-level vocabularies write a space as U+0120
@@ -77,30 +83,46 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.flat, self.ends = _Words(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known, self.flat, self.ends = _Words(), np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.learnt = 0
 
     def _learn(self) -> None:
-        if not self.known.new:
-            return
-        # a word that opens a text is kept with a space before it, any other one had a space
-        even = [w for w in self.known.new if " " not in w]
-        made = dict(zip(even, self._together(even), strict=True))
-        ids = [made[w] if w in made else self.tokenizer.encode(w[1:] if w[0] == " " else " " + w, add_special_tokens=False).ids for w in self.known.new]
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(list(map(len, ids)), dtype=np.int64)])
-        self.known.new.clear()
-
-    def _together(self, words: list[str]) -> list[list[int]]:
-        """Ids of words without spaces, encoded as one text: the token with a space in front begins the next word."""
-        if not words:
-            return []
+        """Appends the ids of new words to `flat`, where word i ends at ends[i + 1]."""
+        new, at, used = self.known.new, self.learnt, int(self.ends[self.learnt])
+        while at < len(new) + self.learnt:
+            i = at - self.learnt
+            to = i
+            while to < len(new) and " " not in new[to]:
+                to += 1
+            if to > i:
+                ids, sizes = self._together(new[i:to])
+            else:
+                # a word that opens a text is kept with a space before it, any other one had a space
+                word = new[i][1:] if new[i][0] == " " else " " + new[i]
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.int32)
+                sizes = np.array([len(ids)])
+            end = used + len(ids)
+            if end > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * end)
+            if at + len(sizes) >= len(self.ends):
+                self.ends = np.resize(self.ends, 2 * (at + len(sizes)))
+            self.flat[used:end] = ids
+            self.ends[at + 1 : at + 1 + len(sizes)] = used + np.cumsum(sizes)
+            at, used = at + len(sizes), end
+        self.learnt = at
+        new.clear()
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without spaces and how many each has, encoded as one text: a token with a space in front begins a word."""
         [made] = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)
-        ids = made.ids
-        at = [*np.flatnonzero(self.spaced[np.array(ids)]).tolist(), len(ids)]
-        return [ids[a:b] for a, b in itertools.pairwise(at)]
+        ids = np.array(made.ids, np.int32)
+        at = np.flatnonzero(self.spaced[ids])
+        assert len(at) == len(words)
+        return ids, np.diff(at, append=len(ids))
 
     def _words(self, text: str) -> list[str]:
-        words = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+        uneven = any(x in text for x in _NEAR) or any(x in text for x in _WIDE) and _UNEVEN.search(text)
+        words = _CUT.split(text) if uneven else text.split(" ")
         words[0] = " " + words[0]
         return words
 
@@ -111,7 +133,7 @@ class Encoder:
         codes = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts[-1]))
         del words
         self._learn()
-        size = np.diff(self.ends)[codes]
+        size = self.ends[codes + 1] - self.ends[codes]
         end = np.cumsum(size)
         at = np.concatenate([[0], end])[counts]
         ids = self.flat[np.repeat(self.ends[codes] - (end - size), size) + np.arange(int(at[-1]))]
