@@ -22,6 +22,7 @@ other columns of the input are not written; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import re
@@ -154,6 +155,12 @@ class Encoder:
         return np.concatenate(made) if made else np.zeros(0, np.int32)
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(model: str) -> Encoder:
+    """One per worker process, which keeps its words from task to task."""
+    return Encoder(model)
+
+
 def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
@@ -169,7 +176,7 @@ def encoded(documents: DataFrame, model: str = MODEL, end: int = END) -> DataFra
     """doc_id, n_tokens, at (ids before the row within its partition), ids; rows stay in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        coder, at = Encoder(model), 0
+        coder, at = _encoder(model), 0
         tail = np.array([end], np.int32)
         for b in parts(batches):
             texts = [x or "" for x in b.column(1).to_pylist()]
