@@ -241,7 +241,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     rows = quantised(vectors, parts, scale)
     begin = [r["v"] for r in rows.orderBy(F.asc_nulls_last("vec_id"), "v").limit(entries).collect()]
     width = len(begin[0]) // parts if begin else 0
-    books = [Codebook([v[p * width : (p + 1) * width] for v in begin]) for p in range(parts)]
+    books = [Codebook([v[p * width : (p + 1) * width] for v in begin]) for p in range(parts)] if begin else []
     kinds = {c: rows.schema[c].dataType for c in ("vec_id", "label")}
     schema = f"vec_id {kinds['vec_id'].simpleString()}, label {kinds['label'].simpleString()}, v array<long>, own binary, low binary, error long, part int, entry int, n long, sums array<decimal(38,0)>"
     rows = rows.withColumns({"own": F.lit(None).cast("binary"), "low": F.lit(None).cast("binary")})
