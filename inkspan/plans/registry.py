@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, scores
 from ..functions.order import numbered
-from ..operators import curation, decode, losses, matching, raster, sequence, splits
+from ..operators import curation, decode, losses, matching, polygons, raster, sequence, splits
 from ..sources import labels
 from .views import BOXES_SQL, PX_SQL, boxes, micro, pixels, predictions, read
 
@@ -336,6 +336,61 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("image_id").agg(F.sum("prob").alias("prob"), F.sum(1 - F.col("prob_mask")).alias("cleared"), F.sum("thresh_mask").alias("on_ring"), total.alias("thresh"))
 
 
+# --- general polygons: an L cut from every box ---------------------------------------
+
+
+def _l_shapes(b: DataFrame) -> DataFrame:
+    """image_id, box_idx, jit, points: the box without its lower right quarter."""
+    x, y = [F.col("x0"), F.col("x0") + F.col("w") / 2, F.col("x0") + F.col("w")], [F.col("y0"), F.col("y0") + F.col("h") / 2, F.col("y0") + F.col("h")]
+    corner = lambda i, j: F.struct(x[i].alias("x"), y[j].alias("y"))
+    return b.select("image_id", "box_idx", "jit", F.array(corner(0, 0), corner(2, 0), corner(2, 1), corner(1, 1), corner(1, 2), corner(0, 2)).alias("points"))
+
+
+#: The corners of each L (a, b, c across; p, q, r down), its offset, and its pixels with their distance to all six edges.
+_L = f"""e AS (SELECT image_id, box_idx, least(greatest(x0, 0), 639) AS a, least(greatest(x0 + w / 2, 0), 639) AS b, least(greatest(x0 + w, 0), 639) AS c,
+  least(greatest(y0, 0), 639) AS p, least(greatest(y0 + h / 2, 0), 639) AS q, least(greatest(y0 + h, 0), 639) AS r FROM b),
+l AS (SELECT *, (c - a) * (q - p) + (b - a) * (r - q) AS s, 2 * ((c - a) + (r - p)) AS u FROM e),
+g AS (SELECT *, CASE WHEN s > 0 AND NOT least(c - a, r - p) < {MIN_TEXT} THEN s * (1 - {SHRINK}::double * {SHRINK}) / u END AS d FROM l),
+x AS (SELECT *, unnest(range(greatest(0, ceil(a - coalesce(d, 0)))::int, least(639, floor(c + coalesce(d, 0)))::int + 1)) AS x
+  FROM (SELECT *, unnest(range(greatest(0, ceil(p - coalesce(d, 0)))::int, least(639, floor(r + coalesce(d, 0)))::int + 1)) AS y FROM g)),
+dx AS (SELECT image_id, box_idx, y, x, d, (x BETWEEN a AND c AND y BETWEEN p AND q) OR (x BETWEEN a AND b AND y BETWEEN q AND r) AS inside,
+  greatest(a - x, x - c, 0.0) AS ac, greatest(b - x, x - c, 0.0) AS bc, greatest(a - x, x - b, 0.0) AS ab, greatest(p - y, y - q, 0.0) AS pq, greatest(q - y, y - r, 0.0) AS qr, greatest(p - y, y - r, 0.0) AS pr,
+  x - a AS xa, x - b AS xb, x - c AS xc, y - p AS yp, y - q AS yq, y - r AS yr FROM x),
+f AS (SELECT image_id, box_idx, y, x, d, inside, sqrt(least(ac * ac + yp * yp, xc * xc + pq * pq, bc * bc + yq * yq, xb * xb + qr * qr, ab * ab + yr * yr, xa * xa + pr * pr)) AS distance FROM dx)"""
+
+
+@query(f"{_B}, {_L} SELECT image_id, box_idx, count(*) FILTER (inside AND distance >= d) AS shrunk, count(*) AS expanded FROM f WHERE d IS NOT NULL AND (inside OR distance <= d) GROUP BY image_id, box_idx")
+def polygon_offset(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of the inward and the outward offset of every L that is not too small."""
+    return polygons.offset_sizes(_l_shapes(boxes(spark, d)), SHRINK, MIN_TEXT, WIDTH, HEIGHT)
+
+
+@query(f"""{_B}, {_L}, v AS (SELECT image_id, y, x, max(CASE WHEN d IS NOT NULL AND inside AND distance >= d THEN 1 ELSE 0 END) AS p, min(CASE WHEN d IS NULL THEN 0 ELSE 1 END) AS k,
+  max(CASE WHEN d IS NOT NULL AND NOT (inside AND distance >= d) THEN 1 - least(distance / greatest(d, 0.000001), 1) END) AS v FROM f WHERE inside OR distance <= d GROUP BY image_id, y, x)
+SELECT image_id, count(*) AS pixels, sum(p)::bigint AS prob, sum(k)::bigint AS prob_mask, count(v) AS ring, cast(floor(coalesce(sum(v * {HIGH - LOW} + {LOW}), 0) * 1000 + 0.5) AS bigint) AS total FROM v GROUP BY image_id""")
+def polygon_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The four maps of every image, from L-shaped texts."""
+    t = polygons.targets(_l_shapes(boxes(spark, d)), SHRINK, LOW, HIGH, MIN_TEXT, WIDTH, HEIGHT)
+    total = F.floor(F.sum("thresh") * 1000 + 0.5).cast("long")
+    return t.groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum("prob").alias("prob"), F.sum("prob_mask").alias("prob_mask"), F.sum("thresh_mask").alias("ring"), total.alias("total"))
+
+
+@query(f"""{_B}, l AS (SELECT image_id, box_idx, jit, x0, y0, w, h, 0.75 * w * h AS s FROM b),
+t AS (SELECT image_id, box_idx, jit, x0, y0, w, h / 2 AS h FROM b UNION ALL SELECT image_id, box_idx, jit, x0, y0 + h / 2, w / 2, h / 2 FROM b),
+o AS (SELECT p.image_id, p.box_idx AS pred_idx, g.box_idx AS gt_idx, sum(greatest(0, least(p.x0 + p.jit + p.w, g.x0 + g.w) - greatest(p.x0 + p.jit, g.x0)) * greatest(0, least(p.y0 + p.jit + p.h, g.y0 + g.h) - greatest(p.y0 + p.jit, g.y0))) AS i
+  FROM t p JOIN t g ON g.image_id = p.image_id GROUP BY ALL)
+SELECT o.image_id, pred_idx, gt_idx, {m('CASE WHEN pred_idx % 5 = 0 OR gt_idx % 5 = 0 THEN 0.0 ELSE i / (p.s + g.s - i) END')} AS iou FROM o
+JOIN l p ON p.image_id = o.image_id AND p.box_idx = pred_idx JOIN l g ON g.image_id = o.image_id AND g.box_idx = gt_idx
+WHERE p.x0 + p.jit < g.x0 + g.w AND g.x0 < p.x0 + p.jit + p.w AND p.y0 + p.jit < g.y0 + g.h AND g.y0 < p.y0 + p.jit + p.h""")
+def polygon_iou(spark: SparkSession, d: str) -> DataFrame:
+    """IoU of every L with the moved Ls that it may meet; each fifth outline crosses itself and so shares nothing."""
+    shapes = _l_shapes(boxes(spark, d))
+    points, bow = F.col("points"), F.array(*(F.get("points", F.lit(i)) for i in (0, 2, 1, 5)))
+    shapes = shapes.withColumn("points", F.when(F.col("box_idx") % 5 == 0, bow).otherwise(points))
+    moved = shapes.withColumn("points", geometry.map_points(F.col("points"), lambda x, y: x + F.col("jit"), lambda x, y: y + F.col("jit")))
+    return polygons.with_iou(polygons.meeting(moved, shapes), "pred", "gt").select("image_id", "pred_idx", "gt_idx", micro(F.col("iou")).alias("iou"))
+
+
 # --- losses over probability maps ----------------------------------------------------
 
 _T = """, t AS (SELECT a.image_id, a.y, a.x, least(greatest(a.p, 0.000001), 0.999999) AS p, CASE WHEN b.p > 0.5 THEN 1.0 ELSE 0.0 END::double AS t, CASE WHEN a.y BETWEEN 1 AND 6 THEN 1.0 ELSE 0.0 END::double AS m, b.p AS q, CASE WHEN b.p > 0.5 THEN b.p ELSE 1.0 END AS w, 1 / (1 + exp(-50 * (least(greatest(a.p, 0.000001), 0.999999) - b.p))) AS bin
