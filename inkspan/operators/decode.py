@@ -1,19 +1,23 @@
 """From probability maps to boxes: components, their statistics, and fitted rectangles.
 
-A map is one image; maps are independent, so every step keeps an image's pixels in one
-task.
+components() labels whole images in one task each; components_tiled() labels squares of an image
+and joins labels across their borders, so an image may be larger than a task.  What is kept of
+a component is bounded by its lines, never its pixels.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import geometry, graph
 
 
 @dataclass(frozen=True)
@@ -71,8 +75,44 @@ def components(mask: DataFrame) -> DataFrame:
     return dealt.groupBy("pack").applyInPandas(lambda pdf: _label(pdf.drop(columns="pack")), "image_id long, y int, x int, p double, first_y int, first_x int")
 
 
+def components_tiled(mask: DataFrame, tile: int = 512) -> DataFrame:
+    """As components(), for images of any size: squares of `tile` pixels are labelled by themselves, then joined.
+
+    A label is an image's first pixel in raster order.  Links join the labels of two pixels that meet across
+    a border; the components of the links give each label its root.
+    """
+    rows = mask.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"), F.col("p").cast("double"))
+    square = F.struct("image_id", F.floor(F.col("y") / tile).alias("r"), F.floor(F.col("x") / tile).alias("c"))
+    packs = max(1, rows.count() // PER_PACK)
+    dealt = rows.withColumn("square", F.xxhash64(square)).withColumn("pack", F.pmod("square", F.lit(packs)))
+    schema = "image_id long, y int, x int, p double, first_y int, first_x int"
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        # squares are told apart by image and place; within one, neighbours are neighbours of the image
+        own = pdf.assign(square=pd.factorize(pdf["image_id"].astype(str) + "," + (pdf["y"] // tile).astype(str) + "," + (pdf["x"] // tile).astype(str))[0])
+        made = _label(pd.DataFrame({"image_id": own["square"], "y": own["y"] % tile, "x": own["x"] % tile, "at": np.arange(len(own))}))
+        at = made["at"].to_numpy()
+        out = pdf.iloc[at].drop(columns=["pack", "square"])
+        out["first_y"] = (out["y"].to_numpy() // tile * tile + made["first_y"].to_numpy()).astype(np.int32)
+        out["first_x"] = (out["x"].to_numpy() // tile * tile + made["first_x"].to_numpy()).astype(np.int32)
+        return out
+
+    labelled = graph.cut(dealt.groupBy("pack").applyInPandas(label, schema))
+    node = F.struct("image_id", "first_y", "first_x")
+    right = labelled.where((F.col("x") + 1) % tile == 0).select("image_id", "y", (F.col("x") + 1).alias("x"), node.alias("a"))
+    below = labelled.where((F.col("y") + 1) % tile == 0).select("image_id", (F.col("y") + 1).alias("y"), "x", node.alias("a"))
+    left, top = labelled.where(F.col("x") % tile == 0), labelled.where(F.col("y") % tile == 0)
+    links = right.join(left.select("image_id", "y", "x", node.alias("b")), ["image_id", "y", "x"]).unionByName(below.join(top.select("image_id", "y", "x", node.alias("b")), ["image_id", "y", "x"]))
+    roots = graph.components(links.select("a", "b").distinct()).select("id.*", F.col("root.first_y").alias("root_y"), F.col("root.first_x").alias("root_x"))
+    joined = labelled.join(roots, ["image_id", "first_y", "first_x"], "left")
+    return joined.select("image_id", "y", "x", "p", F.coalesce("root_y", "first_y").alias("first_y"), F.coalesce("root_x", "first_x").alias("first_x"))
+
+
 def component_stats(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("image_id", "first_y", "first_x").agg(F.count("*").alias("area"), F.avg("p").alias("mean_p"), F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("points"))
+    """image_id, first_y, first_x, area, mean_p, lines (y and the extremes of x): what a hull needs, a row per line."""
+    by = ["image_id", "first_y", "first_x"]
+    lines = labelled.groupBy(*by, "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n"), F.sum("p").alias("s"))
+    return lines.groupBy(*by).agg(F.sum("n").alias("area"), (F.sum("s") / F.sum("n")).alias("mean_p"), F.sort_array(F.collect_list(F.struct("y", "x0", "x1"))).alias("lines"))
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -89,25 +129,71 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
             out.append(p)
         return out
 
-    return np.array(half(pts)[:-1] + half(pts[::-1])[:-1])
+    rows = pts.tolist()
+    return np.array(half(rows)[:-1] + half(rows[::-1])[:-1])
 
 
-def min_area_rect(points: np.ndarray) -> np.ndarray | None:
-    """Corners of the smallest rectangle around points; None if they lie on a line."""
-    hull = convex_hull(points)
+def fitted_rect(hull: np.ndarray) -> tuple[int, int, int, int, int, int] | None:
+    """Of a hull of integer points the smallest rectangle: a direction (dx, dy) with dx > 0 and dy >= 0, and the extents along and across it, in its lengths.
+
+    Of equally small ones that of the least angle; None if the points lie on a line.  Calipers: the point of the hull
+    farthest in a direction is where the angles of the edges pass it, so each edge takes a few binary searches.
+    """
     if len(hull) < 3:
         return None
-    edges = np.diff(np.vstack([hull, hull[:1]]), axis=0)
-    units = edges / np.linalg.norm(edges, axis=1, keepdims=True)
+    edges = np.roll(hull, -1, axis=0) - hull
+    turn = np.arctan2(edges[:, 1], edges[:, 0])
+    turn = np.mod(turn - turn[0], 2 * np.pi)
+    turn[turn > 2 * np.pi - 1e-12] = 0.0
+
+    def extent(quarter: int, unit: np.ndarray) -> np.ndarray:
+        """Largest product of a hull point with the edges' directions turned by so many quarters; neighbours of the place found guard against rounding."""
+        at = np.searchsorted(turn, np.mod(turn + (quarter + 1) * np.pi / 2, 2 * np.pi))
+        return np.max([(hull[(at + k) % len(hull)] * unit).sum(1) for k in (-1, 0, 1)], axis=0)
+
+    across = np.stack([-edges[:, 1], edges[:, 0]], 1)
+    size = (extent(0, edges) + extent(2, -edges)) * (extent(1, across) - (hull * across).sum(1)) / (edges**2).sum(1)
+    least = size.min()
     best = None
-    for u in units:
-        axes = np.array([u, [-u[1], u[0]]])
-        q = hull @ axes.T
-        lo, hi = q.min(0), q.max(0)
-        size = float(np.prod(hi - lo))
-        if best is None or size < best[0] - 1e-9:
-            best = (size, np.array([[lo[0], lo[1]], [hi[0], lo[1]], [hi[0], hi[1]], [lo[0], hi[1]]]) @ axes)
-    return best[1] if best and best[0] > 1e-9 else None
+    for dx, dy in edges[size <= least * (1 + 1e-9)].tolist():
+        while not (dx > 0 and dy >= 0):
+            dx, dy = dy, -dx
+        g = math.gcd(int(dx), int(dy))
+        dx, dy = int(dx) // g, int(dy) // g
+        if best is None or dy * best[0] < best[1] * dx:
+            best = (dx, dy)
+    dx, dy = best
+    along, over = hull[:, 0] * dx + hull[:, 1] * dy, hull[:, 1] * dx - hull[:, 0] * dy
+    return dx, dy, int(along.min()), int(along.max()), int(over.min()), int(over.max())
+
+
+def min_area_rect(points: np.ndarray) -> np.ndarray | None:
+    """Corners of the smallest rectangle around integer points; None if they lie on a line."""
+    found = fitted_rect(convex_hull(np.asarray(points).astype(np.int64)))
+    return None if found is None else _corners(found, 0.0)
+
+
+def _corners(rect: tuple, grown: float) -> np.ndarray:
+    dx, dy, a0, a1, b0, b1 = rect
+    length = math.sqrt(dx * dx + dy * dy)
+    a0, a1, b0, b1 = a0 / length - grown, a1 / length + grown, b0 / length - grown, b1 / length + grown
+    return np.array([((a * dx - b * dy) / length, (a * dy + b * dx) / length) for a, b in ((a0, b0), (a1, b0), (a1, b1), (a0, b1))])
+
+
+def box_of(lines: np.ndarray, cfg: DecodeConfig) -> np.ndarray | None:
+    """The grown rectangle around a component given as rows of y, x0, x1; None if it is too small before or after."""
+    points = np.concatenate([lines[:, [1, 0]], lines[:, [2, 0]]])
+    rect = fitted_rect(convex_hull(points))
+    if rect is None:
+        return None
+    dx, dy, a0, a1, b0, b1 = rect
+    length = math.sqrt(dx * dx + dy * dy)
+    w, h = (a1 - a0) / length, (b1 - b0) / length
+    # offsetting a rectangle with round corners and fitting again grows it by the distance on every side
+    d = w * h * cfg.unclip_ratio / (2 * (w + h))
+    if min(w, h) < cfg.min_size or min(w, h) + 2 * d < cfg.min_size + 2:
+        return None
+    return _corners(rect, d)
 
 
 def grown_rect(rect: np.ndarray, ratio: float) -> np.ndarray:
@@ -170,27 +256,25 @@ def inward_offset(polygon: np.ndarray, d: float) -> np.ndarray | None:
     return out
 
 
-def decode(px: DataFrame, cfg: DecodeConfig, width: float, height: float, scale: float = 1.0, pad: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """image_id, rank, points, score: boxes in order of their components, in original coordinates.
+def decode(px: DataFrame, cfg: DecodeConfig, width: float | None = None, height: float | None = None, scale: float = 1.0, pad: tuple[float, float] = (0.0, 0.0), tile: int | None = None) -> DataFrame:
+    """image_id, rank, points, score: boxes in order of their components, in original coordinates, clipped to a size if one is given.
 
-    Cheap tests (area, mean) are plain filters before any rectangle is fitted.
+    Cheap tests (area, mean) are plain filters before any rectangle is fitted.  With `tile`, images may be larger than a task.
     """
-    stats = component_stats(components(binarized(px, cfg.thresh))).where((F.col("area") >= cfg.min_size**2) & (F.col("mean_p") >= cfg.box_thresh))
-
-    @F.pandas_udf("array<struct<x:double,y:double>>")
-    def fitted(points: pd.Series) -> pd.Series:
-        out = []
-        for p in points:
-            rect = min_area_rect(np.array([[q["x"], q["y"]] for q in p]))
-            side = lambda r: min(np.linalg.norm(r[1] - r[0]), np.linalg.norm(r[3] - r[0]))
-            grown = None
-            if rect is not None and side(rect) >= cfg.min_size:
-                grown = grown_rect(rect, cfg.unclip_ratio)
-                grown = grown if side(grown) >= cfg.min_size + 2 else None
-            out.append(None if grown is None else [{"x": float(x), "y": float(y)} for x, y in grown])
-        return pd.Series(out)
-
-    boxes = stats.select("image_id", "first_y", "first_x", F.col("mean_p").alias("score"), fitted("points").alias("points")).where(F.col("points").isNotNull())
-    back = geometry.map_points(F.col("points"), lambda x, y: geometry.clamp(geometry.inverse_transform(x, F.lit(pad[0]), F.lit(scale)), width - 1), lambda x, y: geometry.clamp(geometry.inverse_transform(y, F.lit(pad[1]), F.lit(scale)), height - 1))
+    mask = binarized(px, cfg.thresh)
+    stats = component_stats(components(mask) if tile is None else components_tiled(mask, tile)).where((F.col("area") >= cfg.min_size**2) & (F.col("mean_p") >= cfg.box_thresh))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            lines = b.column("lines")
+            flat, offsets = lines.flatten(), lines.offsets.to_numpy()
+            rows = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("y", "x0", "x1")], 1).astype(np.int64)
+            made = [box_of(rows[i:j], cfg) for i, j in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True)]
+            points = pa.array([None if r is None else [{"x": x, "y": y} for x, y in r.tolist()] for r in made], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], points], names=["image_id", "first_y", "first_x", "score", "points"])
+
+    boxes = stats.select("image_id", "first_y", "first_x", F.col("mean_p").alias("score"), "lines").mapInArrow(run, "image_id long, first_y int, first_x int, score double, points array<struct<x:double,y:double>>").where(F.col("points").isNotNull())
+    place = lambda v, i, most: geometry.inverse_transform(v, F.lit(pad[i]), F.lit(scale)) if most is None else geometry.clamp(geometry.inverse_transform(v, F.lit(pad[i]), F.lit(scale)), most - 1)
+    back = geometry.map_points(F.col("points"), lambda x, y: place(x, 0, width), lambda x, y: place(y, 1, height))
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy("first_y", "first_x"))
     return boxes.withColumn("rank", rank).where(F.col("rank") <= cfg.max_candidates).select("image_id", "rank", back.alias("points"), "score")

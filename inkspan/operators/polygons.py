@@ -249,6 +249,8 @@ def _ious(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndar
     """IoU of pairs of padded polygons; 0 where either is invalid."""
     out = np.zeros(len(p))
     good = np.flatnonzero(_valid(p, n) & _valid(q, m))
+    if not len(good):
+        return out
     p, q = p[good], q[good]
     shared = _overlap(p, q)
     out[good] = shared / (_areas(p) + _areas(q) - shared)

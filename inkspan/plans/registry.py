@@ -472,11 +472,45 @@ def component_stats(spark: SparkSession, d: str) -> DataFrame:
     return c.select("image_id", (F.col("first_y") * 8 + F.col("first_x")).cast("long").alias("label"), "area", micro(F.col("mean_p")).alias("mean_p"))
 
 
-@query()
+#: The labels of every map at 0.5, its components that are large and sure enough, and the smallest rectangle of each:
+#: of all directions between two of its pixels that in which extents along and across have the least product.
+_RECT = f"""{_CC.replace(str(PIXEL_THRESH), "0.5")},
+s AS (SELECT image_id, label FROM l JOIN k USING (image_id, pos) GROUP BY image_id, label HAVING count(*) >= 4 AND avg(p) >= 0.6),
+q AS (SELECT image_id, label, l.pos % 8 AS x, l.pos // 8 AS y FROM l JOIN s USING (image_id, label)),
+ev AS (SELECT DISTINCT a.image_id, a.label, b.x - a.x AS ex, b.y - a.y AS ey FROM q a JOIN q b ON a.image_id = b.image_id AND a.label = b.label AND (a.x, a.y) <> (b.x, b.y)),
+u AS (SELECT DISTINCT image_id, label, CASE WHEN ex > 0 AND ey >= 0 THEN ex WHEN ex <= 0 AND ey > 0 THEN ey WHEN ex < 0 THEN -ex ELSE -ey END // gcd(ex, ey) AS dx,
+  CASE WHEN ex > 0 AND ey >= 0 THEN ey WHEN ex <= 0 AND ey > 0 THEN -ex WHEN ex < 0 THEN -ey ELSE ex END // gcd(ex, ey) AS dy FROM ev),
+r AS (SELECT image_id, label, dx, dy, min(x * dx + y * dy) AS a0, max(x * dx + y * dy) AS a1, min(y * dx - x * dy) AS b0, max(y * dx - x * dy) AS b1 FROM u JOIN q USING (image_id, label) GROUP BY image_id, label, dx, dy),
+t AS (SELECT *, row_number() OVER (PARTITION BY image_id, label ORDER BY (a1 - a0) * (b1 - b0) / (dx * dx + dy * dy)::double, dy / dx::double) AS rn, sqrt(dx * dx + dy * dy) AS n FROM r),
+g AS (SELECT image_id, label, dx, dy, n, a0 / n AS a0, a1 / n AS a1, b0 / n AS b0, b1 / n AS b1, (a1 - a0) / n AS w, (b1 - b0) / n AS h FROM t WHERE rn = 1 AND (a1 - a0) * (b1 - b0) > 0),
+o AS (SELECT *, w * h * 1.8::double / (2 * (w + h)) AS d FROM g WHERE least(w, h) >= 2),
+bx AS (SELECT image_id, label, row_number() OVER (PARTITION BY image_id ORDER BY label) AS rank, dx, dy, n, a0 - d AS a0, a1 + d AS a1, b0 - d AS b0, b1 + d AS b1 FROM o WHERE least(w, h) + 2 * d >= 4)"""
+
+
+def _corner(a: str, b: str, i: int) -> str:
+    x, y = f"({a} * dx - {b} * dy) / n", f"({a} * dy + {b} * dx) / n"
+    return f"{m(f'greatest(least({x}, 7), 0)')} AS x{i}, {m(f'greatest(least({y}, 7), 0)')} AS y{i}"
+
+
+@query(f"""{_RECT} SELECT c.image_id, cast(rank AS int) AS rank, {_corner("a0", "b0", 0)}, {_corner("a1", "b0", 1)}, {_corner("a1", "b1", 2)}, {_corner("a0", "b1", 3)}, {m("score")} AS score
+FROM bx c JOIN (SELECT image_id, label, avg(p) AS score FROM l JOIN k USING (image_id, pos) GROUP BY image_id, label) USING (image_id, label)""")
 def decode_maps(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of every map; checked against a brute-force decoder in the tests."""
+    """Boxes of every map, corner by corner."""
     out = decode.decode(pixels(spark, d), decode.DecodeConfig(thresh=0.5, box_thresh=0.6, min_size=2.0), 8, 8)
-    return out.select("image_id", "rank", F.transform("points", lambda p: F.struct(micro(p["x"]).alias("x"), micro(p["y"]).alias("y"))).alias("points"), micro(F.col("score")).alias("score"))
+    corners = [micro(F.get("points", F.lit(i))[c]).alias(f"{c}{i}") for i in range(4) for c in "xy"]
+    return out.select("image_id", "rank", *corners, micro(F.col("score")).alias("score"))
+
+
+@query(f"""WITH RECURSIVE px AS ({PX_SQL}), k AS (SELECT (image_id // 20 * 8 + y) * 160 + image_id % 20 * 8 + x AS pos FROM px WHERE p > {PIXEL_THRESH}),
+c AS (SELECT pos, pos AS r FROM k UNION
+  SELECT n.pos, c.r FROM c JOIN k n ON n.pos IN (c.pos - 160, c.pos + 160) OR (n.pos = c.pos - 1 AND c.pos % 160 > 0) OR (n.pos = c.pos + 1 AND n.pos % 160 > 0))
+SELECT cast(pos // 160 AS int) AS y, cast(pos % 160 AS int) AS x, cast(min(r) AS bigint) AS label FROM c GROUP BY pos""")
+def mosaic_components(spark: SparkSession, d: str) -> DataFrame:
+    """All maps as one picture, twenty to a line, labelled by squares of 16 pixels."""
+    i = F.col("image_id")
+    px = pixels(spark, d).select(F.lit(0).alias("image_id"), (F.floor(i / 20) * 8 + F.col("y")).alias("y"), (i % 20 * 8 + F.col("x")).alias("x"), "p")
+    c = decode.components_tiled(decode.binarized(px, PIXEL_THRESH), 16)
+    return c.select("y", "x", (F.col("first_y").cast("long") * 160 + F.col("first_x")).alias("label"))
 
 
 _GREEDY = f"""WITH RECURSIVE b AS ({BOXES_SQL}), n AS (SELECT image_id, count(*) AS n FROM b GROUP BY 1),
