@@ -46,7 +46,7 @@ def digits(rows: int) -> int:
     return n
 
 
-def _at_rank(values: DataFrame, rank: int, n: int) -> float:
+def at_rank(values: DataFrame, rank: int, n: int) -> float:
     """The value of a rank (from 0) of n values `v`: bracketed by approximate percentiles until few are left."""
     below, lo, hi = 0, None, None
     inside = values
@@ -85,7 +85,7 @@ def percentiles(df: DataFrame, value: str, at: list[float]) -> list[float]:
         place = q * (n - 1)
         for r in {math.floor(place), math.ceil(place)}:
             if r not in known:
-                known[r] = _at_rank(values, r, n)
+                known[r] = at_rank(values, r, n)
         lo, hi = known[math.floor(place)], known[math.ceil(place)]
         out.append(lo + (hi - lo) * (place - math.floor(place)))
     return out

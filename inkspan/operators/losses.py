@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import at_rank
 from ..functions.scores import EPS, bce
 
 
@@ -44,22 +45,35 @@ def ohem_bce(px: DataFrame, by: list[str], ratio: float) -> DataFrame:
     return ranked.groupBy(*by).agg((F.coalesce(F.sum(F.when(taken, F.col("loss"))), F.lit(0.0)) / F.greatest(F.count_if("pos") + F.max("k"), F.lit(1))).alias("bce"))
 
 
-def ohem_by_threshold(px: DataFrame, ratio: float, rounds: int = 40) -> tuple[float, int]:
-    """(sum of the mined negatives' losses, their number) over a whole table that no task could rank.
+def ohem_by_threshold(px: DataFrame, ratio: float) -> tuple[float, int]:
+    """(sum of the mined negatives' losses, their number) over a whole table that no task could rank."""
+    r = _mined(px, ratio)
+    return r["above"] + (r["k"] - r["n_above"]) * r["least"], r["k"]
 
-    The k-th largest loss is bracketed by counting passes; rows at the bracket's end are tied within its width.
+
+def ohem_batch(px: DataFrame, ratio: float) -> DataFrame:
+    """n_pos, k, bce: hard-negative mining over a whole batch, however large.
+
+    The loss of rank k is found exactly by passes that bracket and count it; losses above it are summed, and it
+    stands for the rest.
     """
-    loss = px.select((bce(F.col("p"), F.col("t")) * F.col("w")).alias("loss"), _positive().alias("pos"), _negative().alias("neg"))
-    facts = loss.agg(F.count_if("pos").alias("pos"), F.count_if("neg").alias("neg"), F.max(F.when(F.col("neg"), F.col("loss"))).alias("hi")).first()
+    r = _mined(px, ratio)
+    mined = r["above"] + (r["k"] - r["n_above"]) * r["least"]
+    row = (r["pos"], r["k"], (r["pos_loss"] + mined) / max(r["pos"] + r["k"], 1))
+    return px.sparkSession.createDataFrame([row], "n_pos long, k long, bce double")
+
+
+def _mined(px: DataFrame, ratio: float) -> dict:
+    loss = px.select((bce(F.col("p"), F.col("t")) * F.col("w")).alias("v"), _positive().alias("pos"), _negative().alias("neg"))
+    pos_loss = F.coalesce(F.sum(F.when(F.col("pos"), F.col("v"))), F.lit(0.0))
+    facts = loss.agg(F.count_if("pos").alias("pos"), F.count_if("neg").alias("neg"), pos_loss.alias("pos_loss")).first().asDict()
     k = min(facts["neg"], int(max(facts["pos"], 1) * ratio))
     if not k:
-        return 0.0, 0
-    lo, hi = 0.0, facts["hi"]
-    for _ in range(rounds):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if loss.where("neg").where(F.col("loss") > mid).count() >= k else (lo, mid)
-    above = loss.where("neg").where(F.col("loss") > hi).agg(F.coalesce(F.sum("loss"), F.lit(0.0)).alias("s"), F.count("*").alias("n")).first()
-    return above["s"] + (k - above["n"]) * hi, k
+        return facts | {"k": 0, "least": 0.0, "above": 0.0, "n_above": 0}
+    negatives = loss.where("neg").select("v")
+    least = at_rank(negatives, facts["neg"] - k, facts["neg"])
+    above = negatives.where(F.col("v") > least).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("above"), F.count("*").alias("n_above")).first().asDict()
+    return facts | above | {"k": k, "least": least}
 
 
 def total(parts: DataFrame, alpha: float, beta: float, w_bce: float, w_dice: float) -> Column:

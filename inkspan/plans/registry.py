@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scores
-from ..functions.order import numbered
 from ..operators import curation, decode, losses, matching, polygons, raster, sequence, splits
 from ..sources import labels
 from .views import BOXES_SQL, PX_SQL, boxes, micro, pixels, predictions, read
@@ -444,6 +443,15 @@ def ohem_bce(spark: SparkSession, d: str) -> DataFrame:
     return losses.ohem_bce(_pairs(spark, d), ["image_id"], OHEM_RATIO).withColumn("bce", micro(F.col("bce")))
 
 
+@query(f"""{_P}{_T}, l AS (SELECT t > 0.5 AND m > 0.5 AS pos, t <= 0.5 AND m > 0.5 AS neg, -(t * ln(p) + (1 - t) * ln(1 - p)) * w AS loss FROM t),
+n AS (SELECT count(*) FILTER (pos) AS n_pos, least(count(*) FILTER (neg), cast(floor(greatest(count(*) FILTER (pos), 1) * {OHEM_RATIO}) AS bigint)) AS k, sum(loss) FILTER (pos) AS s FROM l),
+r AS (SELECT loss, row_number() OVER (ORDER BY loss DESC) AS r FROM l WHERE neg)
+SELECT n_pos, k, {m('(s + (SELECT sum(loss) FROM r WHERE r <= k)) / greatest(n_pos + k, 1)')} AS bce FROM n""")
+def ohem_batch(spark: SparkSession, d: str) -> DataFrame:
+    """All maps as one batch."""
+    return losses.ohem_batch(_pairs(spark, d), OHEM_RATIO).withColumn("bce", micro(F.col("bce")))
+
+
 @query(f"{_P}{_T} SELECT image_id, {m('bce + dice + 10 * l1 + bd')} AS loss FROM ({_DICE}) JOIN ({_L1}) USING (image_id) JOIN ({_BCE}) USING (image_id) JOIN ({_BIN}) USING (image_id)")
 def total_loss(spark: SparkSession, d: str) -> DataFrame:
     px, by = _pairs(spark, d), ["image_id"]
@@ -549,7 +557,7 @@ _S = "WITH s AS (SELECT *, cast(row_number() OVER (ORDER BY ts, event_id) - 1 AS
 
 def _steps(spark, d) -> DataFrame:
     e = read(spark, d, "events").withColumn("epoch", F.to_date("ts").cast("string"))
-    return numbered(e, F.col("epoch"), ["ts", "event_id"], "n").withColumn("step", F.col("n") - 1)
+    return sequence.scan(e, [], ["ts", "event_id"], {"n": F.lit(1)}).withColumn("step", F.col("n") - 1)
 
 
 @query(f"""SELECT user_id, {m(f'list_reduce(list(value ORDER BY ts, event_id), lambda a, x: {DECAY} * a + (1 - {DECAY}::double) * x, first(0.5::double))')} AS ema FROM events GROUP BY user_id""")
@@ -568,6 +576,27 @@ def running_mean(spark: SparkSession, d: str) -> DataFrame:
     return sequence.running_mean(_steps(spark, d), "epoch", ["ts", "event_id"], "value", 20, "step").select("step", F.floor(F.col("running") * 1e6 + 0.37).cast("long").alias("running"))
 
 
+#: Rows of a block in the queries that take all events as one run.
+BLOCK = 2_000
+
+
+@query(f"""SELECT {m(f'list_reduce(list(value ORDER BY ts, event_id), lambda a, x: {DECAY} * a + (1 - {DECAY}::double) * x, 0.5::double)')} AS ema FROM events""")
+def ema_global(spark: SparkSession, d: str) -> DataFrame:
+    """All events as the steps of one run."""
+    e = read(spark, d, "events").select(F.lit(0).alias("run"), "ts", "event_id", "value")
+    return sequence.ema(e, "run", ["ts", "event_id"], "value", DECAY, F.lit(0.5), BLOCK).select(micro(F.col("ema")).alias("ema"))
+
+
+@query("""SELECT event_id, step, cast(floor(s / (step + 1) * 1000000 + 0.37) AS bigint) AS running, value > coalesce(b, 0.0) AS best FROM (
+  SELECT event_id, value, row_number() OVER o - 1 AS step, sum(value) OVER (o ROWS UNBOUNDED PRECEDING) AS s, max(value) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+  FROM events WINDOW o AS (ORDER BY ts, event_id))""")
+def scan_global(spark: SparkSession, d: str) -> DataFrame:
+    """Number, running mean and whether it is the best so far, of every event in one run over all events."""
+    s = sequence.scan(read(spark, d, "events"), [], ["ts", "event_id"], {"n": F.lit(1), "total": F.col("value")}, {"most": F.col("value")}, BLOCK)
+    running = F.floor(F.col("total") / F.col("n") * 1e6 + 0.37).cast("long")
+    return s.select("event_id", (F.col("n") - 1).alias("step"), running.alias("running"), (F.col("value") > F.coalesce("most", F.lit(0.0))).alias("best"))
+
+
 @query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE value > coalesce(b, 0.0)""")
 def best_so_far(spark: SparkSession, d: str) -> DataFrame:
     return sequence.best_so_far(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", "event_id")
