@@ -63,7 +63,7 @@ def augment(samples: DataFrame, make: Callable[[], Callable], min_side: float =
 
 
 def dimensions(images: DataFrame) -> DataFrame:
-    """path, width, height from PNG, JPEG, BMP and GIF headers; (0, 0) for anything that cannot be read."""
+    """path, width, height from PNG, JPEG, BMP, GIF, TIFF and WebP headers; (0, 0) for anything that cannot be read."""
 
     @F.pandas_udf("width int, height int")
     def size(content: pd.Series) -> pd.DataFrame:
@@ -72,6 +72,40 @@ def dimensions(images: DataFrame) -> DataFrame:
     return images.select("path", size("content").alias("s")).select("path", "s.width", "s.height")
 
 
+def _tiff_size(b: bytes) -> tuple[int, int]:
+    """Width and height from the first directory of a TIFF or BigTIFF file, in either byte order."""
+    order = "little" if b[:2] == b"II" else "big"
+    number = lambda at, n: int.from_bytes(b[at : at + n], order) if 0 <= at <= len(b) - n else b[len(b)]
+    big = {42: False, 43: True}.get(number(2, 2))
+    if big is None:
+        return 0, 0
+    word, entry, count = (8, 20, 8) if big else (4, 12, 2)
+    at = number(8, 8) if big else number(4, 4)
+    found = {}
+    for i in range(number(at, count)):
+        here = at + count + i * entry
+        tag, kind = number(here, 2), number(here + 2, 2)
+        if tag in (256, 257):
+            found[tag] = number(here + 4 + word, {3: 2, 4: 4, 16: 8}[kind])
+            if len(found) == 2:
+                return found[256], found[257]
+    return 0, 0
+
+
+def _webp_size(b: bytes) -> tuple[int, int]:
+    """Width and height from a lossy, lossless or extended WebP file."""
+    if len(b) < 30 and not (b[12:16] == b"VP8L" and len(b) >= 25):
+        return 0, 0
+    if b[12:16] == b"VP8 " and b[23:26] == b"\x9d\x01\x2a":
+        return int.from_bytes(b[26:28], "little") & 0x3FFF, int.from_bytes(b[28:30], "little") & 0x3FFF
+    if b[12:16] == b"VP8L" and b[20] == 0x2F:
+        bits = int.from_bytes(b[21:25], "little")
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    if b[12:16] == b"VP8X":
+        return int.from_bytes(b[24:27], "little") + 1, int.from_bytes(b[27:30], "little") + 1
+    return 0, 0
+
+
 def header_size(b: bytes | None) -> tuple[int, int]:
     try:
         if b[:8] == b"\x89PNG\r\n\x1a\n":
@@ -80,6 +114,10 @@ def header_size(b: bytes | None) -> tuple[int, int]:
             return int.from_bytes(b[18:22], "little", signed=True), abs(int.from_bytes(b[22:26], "little", signed=True))
         if b[:3] == b"GIF":
             return int.from_bytes(b[6:8], "little"), int.from_bytes(b[8:10], "little")
+        if b[:2] in (b"II", b"MM"):
+            return _tiff_size(b)
+        if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
+            return _webp_size(b)
         if b[:2] == b"\xff\xd8":
             at = 2
             while at + 9 < len(b):
@@ -87,7 +125,7 @@ def header_size(b: bytes | None) -> tuple[int, int]:
                 if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                     return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
                 at += 2 + size
-    except (TypeError, IndexError):
+    except (TypeError, IndexError, KeyError):
         pass
     return 0, 0
 

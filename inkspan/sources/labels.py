@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -37,10 +37,23 @@ def read_labels(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     return parse_labels(_lines(spark, path), strict)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (physical, from 1; blank ones count) and value of text files.
+
+    Spark cuts files into splits of spark.sql.files.maxPartitionBytes; a task reads splits, never a whole file.  Rows of
+    a split follow one another, so a line's number is its place in the split and the lines of the
+    splits before it in the file.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    splits = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(splits, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "value")
+
+
 def read_numbered_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Labels with their physical line number from 1; blank lines count. One label file is read whole."""
-    whole = spark.read.text(path, wholetext=True)
-    return parse_labels(whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).select((F.col("at") + 1).cast("long").alias("image_id"), "value"))
+    """Labels with their physical line number from 1; blank lines count."""
+    return parse_labels(numbered_lines(spark, path).select(F.col("line").alias("image_id"), "value"))
 
 
 def read_split(spark: SparkSession, path: str | None) -> DataFrame | None:
@@ -142,6 +155,15 @@ def both_exist(spark: SparkSession, train: str, val: str) -> bool:
     return all(there)
 
 
+def write_split_lists(spark: SparkSession, split: DataFrame, train: str, val: str) -> bool:
+    """Writes both lists of a split (rel_path, part, pos), in its order, unless both exist; tells whether it did."""
+    if both_exist(spark, train, val):
+        return False
+    for part, path in (("train", train), ("val", val)):
+        write_ordered(split.where(F.col("part") == part), "rel_path", ["pos"], path)
+    return True
+
+
 def write_coco(images: DataFrame, annotations: DataFrame, path: str) -> None:
     """images, annotations and categories as JSON lines, one table each; a reader joins them by image_id."""
     images.write.mode("overwrite").json(f"{path}/images")
