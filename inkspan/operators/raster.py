@@ -52,9 +52,9 @@ def dealt(boxes: DataFrame, pixels_per_task: int = 1_000_000) -> DataFrame:
 def score_map(boxes: DataFrame, ratio: float, width: int, height: int) -> DataFrame:
     """image_id, y, x, value inside shrunk boxes: the score of the last box that covers a pixel; 1.0 where that is not above 0, and elsewhere.
 
-    Takes boxes as they are: neither clipped nor ignored.
+    Boxes are clipped first; small ones count, too.
     """
-    last = core_pixels(dealt(boxes), ratio, width, height).groupBy("image_id", "y", "x").agg(F.max_by("score", "box_idx").alias("last"))
+    last = core_pixels(dealt(clipped(boxes, width, height)), ratio, width, height).groupBy("image_id", "y", "x").agg(F.max_by("score", "box_idx").alias("last"))
     return last.select("image_id", "y", "x", F.when(F.col("last") > 0, F.col("last")).otherwise(1.0).alias("value"))
 
 

@@ -88,3 +88,9 @@ def nth_worst(df: DataFrame, loss: str, ordinal: str, n: int) -> DataFrame:
     """The n-th row (from 0) by descending loss, ties by ordinal."""
     top = df.orderBy(F.desc(loss), ordinal).limit(n + 1)
     return top.withColumn("__r", F.row_number().over(Window.orderBy(F.desc(loss), ordinal))).where(F.col("__r") == n + 1).drop("__r")
+
+
+def zipped(left: Column, right: Column) -> Column:
+    """Pairs of two arrays' elements, as many as the shorter one has; null if either array is."""
+    size = F.least(F.size(left), F.size(right))
+    return F.when(left.isNotNull() & right.isNotNull(), F.slice(F.arrays_zip(left.alias("left"), right.alias("right")), 1, size))

@@ -6,11 +6,14 @@ engines' sums can be compared.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry, scores
-from ..operators import curation, decode, losses, matching, polygons, raster, sequence, splits
+from ..config import AugmentConfig
+from ..functions import geometry, graph, scores
+from ..operators import augment, curation, decode, losses, matching, polygons, raster, sequence, splits
 from ..sources import labels
 from .views import BOXES_SQL, PX_SQL, boxes, micro, pixels, predictions, read
 
@@ -270,8 +273,6 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
 
 # --- raster targets (aggregated per image) -------------------------------------------
 
-_SHRUNK = f"""s AS (SELECT *, {_D} AS d FROM b), r AS (SELECT *, cast(trunc(greatest(x0 + d, 0)) AS int) AS i0, cast(trunc(least(x0 + w - d, 639)) AS int) AS i1, cast(trunc(greatest(y0 + d, 0)) AS int) AS j0, cast(trunc(least(y0 + h - d, 639)) AS int) AS j1 FROM s)"""
-_ANY_CORE = f"""{_SHRUNK}, core AS (SELECT image_id, box_idx, score, y, unnest(range(i0, i1 + 1)) AS x FROM (SELECT *, unnest(range(j0, j1 + 1)) AS y FROM r WHERE 2 * d < least(w, h)))"""
 #: Boxes clipped to the image, those that targets learn from (ok), their shrunk pixels (core), rings, and what is cleared.
 _CLIP = """c AS (SELECT image_id, box_idx, score, greatest(least(x0, 639), 0) AS x0, greatest(least(y0, 639), 0) AS y0, greatest(least(x0 + w, 639), 0) AS x1, greatest(least(y0 + h, 639), 0) AS y1 FROM b),
 cb AS (SELECT image_id, box_idx, score, x0, y0, x1 - x0 AS w, y1 - y0 AS h FROM c)"""
@@ -284,6 +285,8 @@ o AS (SELECT *, CASE WHEN dx <= 0 AND dy <= 0 THEN least(-dx, -dy) ELSE sqrt(pow
 ring AS (SELECT image_id, box_idx, y, x, d, distance FROM o WHERE ((dx <= 0 AND dy <= 0) OR distance <= d)
   AND NOT (x BETWEEN trunc(x0 + d) AND trunc(x0 + w - d) AND y BETWEEN trunc(y0 + d) AND trunc(y0 + h - d)))"""
 _THRESH = f"max(1 - least(greatest(distance / greatest(d, 0.000001), 0), 1)) * {HIGH - LOW} + {LOW}"
+_ANY_CORE = f"""{_CLIP}, cs AS (SELECT *, {_D} AS d FROM cb), core AS (SELECT image_id, box_idx, score, y, unnest(range(cast(trunc(x0 + d) AS int), cast(trunc(x0 + w - d) AS int) + 1)) AS x
+  FROM (SELECT *, unnest(range(cast(trunc(y0 + d) AS int), cast(trunc(y0 + h - d) AS int) + 1)) AS y FROM cs WHERE 2 * d < least(w, h)))"""
 _GONE = f"""gone AS (SELECT image_id, y, unnest(range(cast(trunc(x0) AS int), cast(trunc(x0 + w) AS int) + 1)) AS x
   FROM (SELECT *, unnest(range(cast(trunc(y0) AS int), cast(trunc(y0 + h) AS int) + 1)) AS y FROM cs WHERE least(w, h) < {MIN_TEXT} OR d IS NULL OR 2 * d >= least(w, h)))"""
 
@@ -501,10 +504,10 @@ def _corner(a: str, b: str, i: int) -> str:
 
 
 @query(f"""{_RECT} SELECT c.image_id, cast(rank AS int) AS rank, {_corner("a0", "b0", 0)}, {_corner("a1", "b0", 1)}, {_corner("a1", "b1", 2)}, {_corner("a0", "b1", 3)}, {m("score")} AS score
-FROM bx c JOIN (SELECT image_id, label, avg(p) AS score FROM l JOIN k USING (image_id, pos) GROUP BY image_id, label) USING (image_id, label)""")
+FROM bx c JOIN (SELECT image_id, label, avg(p) AS score FROM l JOIN k USING (image_id, pos) GROUP BY image_id, label) USING (image_id, label) WHERE rank <= 1""")
 def decode_maps(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of every map, corner by corner."""
-    out = decode.decode(pixels(spark, d), decode.DecodeConfig(thresh=0.5, box_thresh=0.6, min_size=2.0), 8, 8)
+    """The first box of every map, corner by corner."""
+    out = decode.decode(pixels(spark, d), decode.DecodeConfig(thresh=0.5, box_thresh=0.6, min_size=2.0, max_candidates=1), 8, 8)
     corners = [micro(F.get("points", F.lit(i))[c]).alias(f"{c}{i}") for i in range(4) for c in "xy"]
     return out.select("image_id", "rank", *corners, micro(F.col("score")).alias("score"))
 
@@ -606,3 +609,165 @@ def best_so_far(spark: SparkSession, d: str) -> DataFrame:
 def epoch_means(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").withColumn("epoch", F.to_date("ts").cast("string"))
     return sequence.epoch_means(e, "epoch", ["value"]).withColumn("value", micro(F.col("value")))
+
+
+# --- files and small rules -----------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{graph.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT trim(source || '/' || lang) AS rel_path FROM documents WHERE trim(source || '/' || lang) <> ''")
+def split_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A list of paths with many repeats, written and read as a split."""
+    path, docs = _folder(spark, "split"), read(spark, d, "documents")
+    labels.write_ordered(docs.select("doc_id", F.concat("source", F.lit("/"), "lang").alias("p")), "p", ["doc_id"], path)
+    return labels.read_split(spark, path)
+
+
+@query("SELECT DISTINCT cast(event_id AS varchar) AS rel_path FROM events WHERE event_type <> 'error'")
+def resume_keys(spark: SparkSession, d: str) -> DataFrame:
+    """What a label file holds after two appends that overlap."""
+    path = _folder(spark, "labels")
+    box = F.array(F.struct(F.lit("").alias("transcription"), F.array(F.array(F.lit(1.0), F.lit(2.0))).alias("points"), F.col("value").alias("score")))
+    rows = read(spark, d, "events").where("event_type <> 'error'").select(F.col("event_id").cast("string").alias("rel_path"), box.alias("boxes"))
+    labels.append_labels(rows.where("boxes[0].score < 100"), path)
+    labels.append_labels(rows.where("boxes[0].score > 50"), path)
+    return labels.read_done(spark, path).unionByName(rows.where("boxes[0].score is null").select("rel_path"))
+
+
+@query("SELECT event_id || chr(9) || event_type || ': ' || props AS line FROM events WHERE event_type = 'error'")
+def failure_log(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "failures")
+    failed = read(spark, d, "events").where("event_type = 'error'")
+    labels.append_failures(failed.select(F.col("event_id").cast("string").alias("rel_path"), F.concat_ws(": ", "event_type", "props").alias("error")), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("""SELECT l_orderkey || chr(9) || '[{"transcription":"","points":[[' || cast(round_even(l_quantity / 2.0::double, 0) AS int) || ',' || cast(round_even(-l_quantity / 2.0::double, 0) AS int) || ']],"score":0.5}]' AS line FROM lineitem""")
+def label_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates of label lines are rounded half to even."""
+    half = F.col("l_quantity").cast("double") / 2
+    box = F.array(F.struct(F.lit("").alias("transcription"), F.array(F.array(half, -half)).alias("points"), F.lit(0.5).alias("score")))
+    return labels.label_lines(read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("rel_path"), box.alias("boxes"))).select(F.col("value").alias("line"))
+
+
+@query(f"""SELECT vec_id, cast(i AS int) AS i, {m('embedding[2 * i + 1]::double')} AS x, {m('embedding[2 * i + 2]::double')} AS y FROM embeddings, range(32) t(i)""")
+def flat_points(spark: SparkSession, d: str) -> DataFrame:
+    """Flat coordinates as points."""
+    p = read(spark, d, "embeddings").select("vec_id", F.posexplode(geometry.pairs(F.transform("embedding", lambda v: v.cast("double")))).alias("i", "p"))
+    return p.select("vec_id", "i", micro(F.col("p.x")).alias("x"), micro(F.col("p.y")).alias("y"))
+
+
+_VERTICES = "SELECT event_id, event_id % 5 AS n, cast(json_extract(props, '$.k') AS double) / 100 AS s FROM events"
+
+
+def _labelled(spark, d) -> DataFrame:
+    """One box per event, of none to four vertices, with a property as its score."""
+    points = F.slice(F.array(*(F.array(F.lit(float(i)), F.lit(float(i * i))) for i in range(5))), 1, (F.col("event_id") % 5).cast("int"))
+    score = F.get_json_object("props", "$.k").cast("double") / 100
+    return read(spark, d, "events").select(F.col("event_id").cast("string").alias("rel_path"), F.array(F.struct(F.lit("").alias("transcription"), points.alias("points"), score.alias("score"))).alias("boxes"))
+
+
+@query(f"SELECT cast(event_id AS varchar) AS rel_path, {m('CASE WHEN s IS NULL OR s = 0 THEN 1 ELSE s END')} AS score FROM ({_VERTICES}) WHERE n >= 3 AND NOT CASE WHEN s IS NULL OR s = 0 THEN 1 ELSE s END < 0.4")
+def training_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return labels.training_boxes(_labelled(spark, d), 0.4).select("rel_path", micro(F.col("score")).alias("score"))
+
+
+@query(f"SELECT cast(event_id AS varchar) AS rel_path FROM ({_VERTICES}) WHERE n >= 2")
+def drawable_filter(spark: SparkSession, d: str) -> DataFrame:
+    return labels.box_rows(_labelled(spark, d)).where(labels.drawable(F.col("points"))).select("rel_path")
+
+
+_PATH = "url || '/img' || page_id || ['.png', '.JPG', '.txt', '.jpeg', '', '.webp', '.tiff', 'png'][page_id % 8 + 1]"
+
+
+def _paths(spark, d) -> DataFrame:
+    ends = F.array(*map(F.lit, (".png", ".JPG", ".txt", ".jpeg", "", ".webp", ".tiff", "png")))
+    return read(spark, d, "pages").select("page_id", F.concat("url", F.lit("/img"), F.col("page_id").cast("string"), F.get(ends, (F.col("page_id") % 8).cast("int"))).alias("path"))
+
+
+@query(f"SELECT page_id FROM (SELECT page_id, lower({_PATH}) AS p FROM pages) WHERE " + " OR ".join(f"p LIKE '%.{x}'" for x in labels.SUFFIXES))
+def suffix_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).where(labels.is_image(F.col("path"))).select("page_id")
+
+
+@query(f"SELECT page_id, row_number() OVER (ORDER BY string_split(p, '/'), page_id) AS n FROM (SELECT page_id, {_PATH} AS p FROM pages)")
+def path_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = _paths(spark, d).withColumn("parts", labels.path_order(F.col("path")))
+    return sequence.scan(rows, [], ["parts", "page_id"], {"n": F.lit(1)}).select("page_id", "n")
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https:/') THEN url[8:] ELSE url END AS path FROM pages")
+def relative_path(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", labels.relative_path(F.col("url"), "https:/").alias("path"))
+
+
+@query(f"WITH {_ORDERED} SELECT (pos - 1) // {BATCH} AS batch_id, count(*) AS n, md5(string_agg(doc_id, ',' ORDER BY pos)) AS members FROM o WHERE (pos - 1) // {BATCH} < n // {BATCH} GROUP BY 1")
+def collate(spark: SparkSession, d: str) -> DataFrame:
+    """Batches as rows, their members in order."""
+    o = splits.seeded_order(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("rel_path")), SEED)
+    c = splits.collated(splits.batches(o, "pos", BATCH, True), "pos")
+    return c.select("batch_id", F.size("members").cast("long").alias("n"), F.md5(F.concat_ws(",", F.transform("members", lambda x: x["rel_path"]))).alias("members"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_orderkey + 1) % 5 = 0")
+def gated(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.gated(read(spark, d, "orders"), "o_orderkey", 5).select("o_orderkey")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1 OFFSET 10")
+def nth_worst(spark: SparkSession, d: str) -> DataFrame:
+    return splits.nth_worst(read(spark, d, "documents"), "n_chars", "doc_id", 10).select("doc_id", "n_chars")
+
+
+@query(f"{_B} SELECT image_id, box_idx, {m('least(sqrt(w * w + h * h), sqrt(jit * jit + 4 * h * h))')} AS side FROM b")
+def short_side(spark: SparkSession, d: str) -> DataFrame:
+    """Of slanted quads."""
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, w, h, j = (F.col(c) for c in ("x0", "y0", "w", "h", "jit"))
+    quad = F.array(corner(x, y), corner(x + w, y + h), corner(x + w + j, y + 3 * h), corner(x + j, y + 2 * h))
+    return boxes(spark, d).select("image_id", "box_idx", micro(geometry.short_side(quad)).alias("side"))
+
+
+@query(f"""{_B}, t AS (SELECT *, greatest(0, least(1, ((300 - x0) * w + (200 - y0) * h) / (w * w + h * h))) AS t FROM b)
+SELECT image_id, box_idx, {m('sqrt(pow(300 - (x0 + t * w), 2) + pow(200 - (y0 + t * h), 2))')} AS distance FROM t""")
+def segment_distance(spark: SparkSession, d: str) -> DataFrame:
+    """From one point to every box's diagonal."""
+    x, y, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    return boxes(spark, d).select("image_id", "box_idx", micro(geometry.segment_distance(F.lit(300.0), F.lit(200.0), x, y, x + w, y + h)).alias("distance"))
+
+
+@query("""WITH t AS (SELECT conv_id, list(turn ORDER BY turn) FILTER (role = 'user') AS u, list(turn ORDER BY turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)
+SELECT conv_id, cast(len(list_zip(u, a, true)) AS bigint) AS n, cast(list_sum(list_transform(list_zip(u, a, true), lambda z: z[1] * 1000 + z[2])) AS bigint) AS total FROM t WHERE u IS NOT NULL AND a IS NOT NULL""")
+def truncating_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Questions and answers of every conversation, in pairs as far as both go."""
+    turns = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("turn"))))
+    t = read(spark, d, "conversations").groupBy("conv_id").agg(turns("user").alias("u"), turns("assistant").alias("a")).where("size(u) > 0 and size(a) > 0")
+    z = t.select("conv_id", splits.zipped(F.col("u"), F.col("a")).alias("z"))
+    total = F.aggregate("z", F.lit(0).cast("long"), lambda s, p: s + p["left"] * 1000 + p["right"])
+    return z.select("conv_id", F.size("z").cast("long").alias("n"), total.alias("total"))
+
+
+def _drawn(name: str) -> str:
+    return f"(cast('0x' || md5('3|1|' || image_id || '|{name}')[1:8] AS bigint) / 4294967296::double)"
+
+
+@query(f"""{_B}, i AS (SELECT image_id, CASE WHEN {_drawn("rot90")} < 0.75 THEN floor({_drawn("quarters")} * 4) ELSE 0 END AS k, {_drawn("hflip")} < 0.5 AS h, {_drawn("vflip")} < 0.5 AS v FROM b GROUP BY image_id),
+f AS (SELECT image_id, k % 2 = 1 AS swap, (k IN (2, 3)) <> h AS flip_x, (k IN (1, 2)) <> v AS flip_y FROM i),
+p AS (SELECT b.image_id, swap, flip_x, flip_y, unnest([x0, x0 + b.w]) AS x, unnest([y0, y0 + b.h]) AS y, box_idx FROM b JOIN f USING (image_id)),
+q AS (SELECT image_id, swap, flip_x, flip_y, box_idx, x * 0.8::double AS x, y * 0.8::double + 64 AS y FROM p),
+r AS (SELECT image_id, swap, flip_x, flip_y, box_idx, CASE WHEN swap THEN y ELSE x END AS x, CASE WHEN swap THEN x ELSE y END AS y FROM q),
+c AS (SELECT image_id, swap, flip_x, flip_y, box_idx, least(greatest(CASE WHEN flip_x THEN 511 - x ELSE x END, 0), 511) AS x, least(greatest(CASE WHEN flip_y THEN 511 - y ELSE y END, 0), 511) AS y FROM r),
+s AS (SELECT image_id, swap, flip_x, flip_y, box_idx, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c GROUP BY ALL)
+SELECT image_id, swap, flip_x, flip_y, count(*) AS n, count(*) FILTER (g) AS kept, cast(floor(coalesce(sum(2 * (x0 + x1) + 6 * (y0 + y1)) FILTER (g), 0) * 1000 + 0.5) AS bigint) AS total
+FROM (SELECT *, least(x1 - x0, y1 - y0) >= 2 AS g FROM s) GROUP BY ALL""")
+def augment_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Turn, flips and what is left of the boxes of every image in one epoch."""
+    b = boxes(spark, d).select("image_id", "box_idx", geometry.box_points(F.col("x0"), F.col("y0"), F.col("w"), F.col("h")).alias("points"))
+    images = b.groupBy("image_id").agg(F.collect_list("points").alias("polygons")).select("image_id", F.col("image_id").cast("string").alias("rel_path"), F.lit(640).alias("width"), F.lit(480).alias("height"), "polygons")
+    a = augment.augmented(images, AugmentConfig(), 512, F.lit(1), 3)
+    each = F.transform("polygons", lambda p: F.aggregate(p, F.lit(0.0), lambda s, q: s + q["x"] + 3 * q["y"]))
+    total = F.floor(F.aggregate(each, F.lit(0.0), lambda s, v: s + v) * 1000 + 0.5).cast("long")
+    return a.select("image_id", "swap", "flip_x", "flip_y", F.size("keep").cast("long").alias("n"), F.size("polygons").cast("long").alias("kept"), total.alias("total"))
