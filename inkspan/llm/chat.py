@@ -1,8 +1,8 @@
 r"""Chat formatting with Spark expressions only.
 
-Turns are collected per conversation as structs and sorted; one array aggregation
-merges neighbours of the same role into one block and notes where each assistant
-text lands; the pieces are then concatenated.
+Turns are collected per conversation as structs and sorted; neighbours of the same
+role are merged into one block; array aggregations over slices note where each assistant
+text lands; the pieces are then concatenated.  Work grows with the turns, not with their square.
 
 Template: a block is ``<|im_start|>role\ntext<|im_end|>\n``; a further turn of the
 same role stands in the same block after ``<|im_sep|>``.  Inside roles and texts,
@@ -13,7 +13,7 @@ The loss mask is a list of (start, length) in code points of the formatted text,
 one for each assistant text.
 
 Defined results: null texts and roles are empty; turns are ordered by turn (null
-first), then role, then text, and repeated rows stay; a null conv_id is a
+first), then role, then text, as given, and repeated rows stay; a null conv_id is a
 conversation of its own; further columns are ignored.  A conversation is one row
 of the result, so its turns meet in one task: its size bounds that task, however
 many rows the table has.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
+#: Elements of a slice.
+BLOCK = 128
 START, SEP, END, LINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|nl|>"
 
 
@@ -37,48 +39,63 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"<(\\*)\\\|", r"<$1|")
 
 
+def _blocks(array: Column) -> Column:
+    """An array as an array of slices of BLOCK elements: folds that build arrays copy them, so they go over slices."""
+    last = F.floor((F.size(array) - 1) / BLOCK).cast("int")
+    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(array, b * BLOCK + 1, F.lit(BLOCK))))
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss (array of start, length)."""
     empty = F.lit("")
-    turns = conversations.select(
-        "conv_id",
-        F.struct(
-            "turn",
-            F.replace(escape(F.coalesce("role", empty)), F.lit("\n"), F.lit(LINE)).alias("role"),
-            escape(F.coalesce("text", empty)).alias("text"),
-        ).alias("t"),
-    )
+    turns = conversations.select("conv_id", F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")).alias("t"))
     sorted_turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    escaped = lambda t: F.struct(F.replace(escape(t["role"]), F.lit("\n"), F.lit(LINE)).alias("role"), escape(t["text"]).alias("text"))
+    inside = sorted_turns.select("conv_id", F.transform("ts", escaped).alias("ts"))
+
+    def piece(t: Column, i: Column) -> Column:
+        same = (i > 0) & (F.get("ts", i - 1)["role"] == t["role"])
+        head = F.when(same, F.lit(SEP)).otherwise(F.concat(F.when(i > 0, F.lit(END + "\n")).otherwise(empty), F.lit(START), t["role"], F.lit("\n")))
+        return F.struct(t["role"].alias("role"), head.alias("head"), t["text"].alias("text"))
+
+    pieces = inside.select("conv_id", F.transform("ts", piece).alias("ps"))
+    none = "named_struct('at', 0, 'loss', cast(array() as array<struct<start:int,length:int>>))"
 
     def merge(acc: Column, t: Column) -> Column:
-        same = acc["role"].eqNullSafe(t["role"])
-        head = F.when(same, F.lit(SEP)).otherwise(F.concat(F.when(acc["role"].isNull(), empty).otherwise(F.lit(END + "\n")), F.lit(START), t["role"], F.lit("\n")))
-        start = acc["at"] + F.length(head)
-        size = F.length(t["text"])
-        span = F.when(t["role"] == "assistant", F.array(F.struct(start.alias("start"), size.alias("length")))).otherwise(F.expr("cast(array() as array<struct<start:int,length:int>>)"))
-        return F.struct(t["role"].alias("role"), (start + size).alias("at"), F.concat(acc["pieces"], F.array(head, t["text"])).alias("pieces"), F.concat(acc["loss"], span).alias("loss"))
+        start, size = acc["at"] + F.length(t["head"]), F.length(t["text"])
+        span = F.when(t["role"] == "assistant", F.concat(acc["loss"], F.array(F.struct(start.alias("start"), size.alias("length"))))).otherwise(acc["loss"])
+        return F.struct((start + size).alias("at"), span.alias("loss"))
 
-    nothing = F.expr("named_struct('role', cast(null as string), 'at', 0, 'pieces', cast(array() as array<string>), 'loss', cast(array() as array<struct<start:int,length:int>>))")
-    merged = sorted_turns.select("conv_id", F.aggregate("ts", nothing, merge).alias("m"))
-    return merged.select("conv_id", F.concat(F.array_join("m.pieces", ""), F.lit(END + "\n")).alias("formatted"), F.col("m.loss").alias("loss"))
+    parts = pieces.select("conv_id", "ps", F.transform(_blocks(F.col("ps")), lambda block: F.aggregate(block, F.expr(none), merge)).alias("parts"))
+    bases = F.aggregate("parts", F.expr("named_struct('at', 0, 'bases', cast(array() as array<int>))"), lambda a, p: F.struct((a["at"] + p["at"]).alias("at"), F.concat(a["bases"], F.array(a["at"])).alias("bases")))["bases"]
+    shifted = lambda p, base: F.transform(p["loss"], lambda s: F.struct((s["start"] + base).alias("start"), s["length"].alias("length")))
+    joined = F.array_join(F.transform("ps", lambda t: F.concat(t["head"], t["text"])), "")
+    return parts.select("conv_id", F.concat(joined, F.lit(END + "\n")).alias("formatted"), F.flatten(F.zip_with("parts", bases, shifted)).alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:
     """The turns (role, text) that a formatted text holds, in order."""
     blocks = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 2_000_000_000)
 
-    def turns_of(block: Column) -> Column:
+    def cut_up(block: Column) -> Column:
         at = F.instr(block, "\n")
         role = unescape(F.replace(F.substring(block, F.lit(1), at - 1), F.lit(LINE), F.lit("\n")))
         body = F.substring(block, at + 1, F.length(block) - at - len(END) - 1)
-        return F.transform(F.split(body, r"<\|im_sep\|>"), lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
+        return F.struct(role.alias("role"), F.split(body, r"<\|im_sep\|>").alias("texts"))
 
-    return F.flatten(F.transform(blocks, turns_of))
+    turns_of = lambda b: F.transform(b["texts"], lambda x: F.struct(b["role"].alias("role"), unescape(x).alias("text")))
+    return F.flatten(F.transform(F.transform(blocks, cut_up), turns_of))
 
 
 def read_loss(formatted: Column, loss: Column) -> Column:
-    """The texts under the loss mask, unescaped."""
-    return F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"])))
+    """The texts under the loss mask, unescaped; BLOCK spans at a time, as a place in a text is found by counting from its start."""
+
+    def stretch(spans: Column) -> Column:
+        first, last = F.get(spans, F.lit(0)), F.element_at(spans, -1)
+        return F.struct(first["start"].alias("from"), F.substring(formatted, first["start"] + 1, last["start"] + last["length"] - first["start"]).alias("text"), spans.alias("spans"))
+
+    texts_of = lambda p: F.transform(p["spans"], lambda s: unescape(F.substring(p["text"], s["start"] - p["from"] + 1, s["length"])))
+    return F.coalesce(F.flatten(F.transform(F.transform(_blocks(loss), stretch), texts_of)), F.expr("cast(array() as array<string>)"))
 
 
 def digest(chats: DataFrame) -> DataFrame:
