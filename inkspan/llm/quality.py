@@ -41,6 +41,8 @@ NONZERO = 4
 REACH = 2
 SAMPLE = 2500
 SAMPLE_BYTES = 64 << 20
+#: A sampled text has at most this share of its class's bytes (half of SAMPLE_BYTES).
+SHARE = 16
 VOCABULARY = 50_000
 HIDDEN = 32
 THRESHOLD = 0.7
@@ -179,7 +181,10 @@ def fitted(rows: pd.DataFrame, counts: dict[int, int]):
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> bytes:
-    """The pickled (vectors, network) from at most `sample` labelled documents of each class that are not held out."""
+    """The pickled (vectors, network) from at most `sample` labelled documents of each class that are not held out.
+
+    A text of over 1 / SHARE of its class's bytes is not learned from, so no text takes the room of those after it.
+    """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.when(F.col("quality") > 0, 1).otherwise(0).alias("y"))
     few = None
     for y in (0, 1):
@@ -187,7 +192,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_by
         few = part if few is None else few.unionByName(part)
     counts = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", text.alias("text"), F.xxhash64("doc_id").alias("at")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", "text", "y"])
+    rows = documents.select("doc_id", text.alias("text"), F.xxhash64("doc_id").alias("at")).where(F.octet_length("text") <= sample_bytes // 2 // SHARE).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", "text", "y"])
     before = Window.partitionBy("y").orderBy("at", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= sample_bytes // 2).select("doc_id", "text", "y")
 
