@@ -12,8 +12,8 @@ beyond some millions of windows it lets more through, and results stay the same.
 join's small side is broadcast by Spark's own size check.
 
 Defined results: null and empty texts have no words and no hits; an item without
-words is never found; rows with equal doc_id and text count as one document, rows
-with equal doc_id and different texts as several; further columns are ignored.
+words is never found; every row is a document of its own, so repeated rows give a
+row each; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,29 +69,29 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     """One row per document: doc_id, text_key, n_words, spans (start, len in words from 1), items (sorted)."""
     grams = cut(benchmark_windows(benchmark, window))
     facts = grams.agg(F.count("*").alias("n"), F.collect_set("len").alias("lens")).first()
-    cut_up = documents.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("ws"))
+    cut_up = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("ws"))
     if not facts["n"]:
         none = "cast(array() as array<struct<start:int,len:int>>)"
-        return cut_up.select("doc_id", "text_key", F.size("ws").cast("long").alias("n_words"), F.expr(none).alias("spans"), F.expr("cast(array() as array<string>)").alias("items")).distinct()
+        return cut_up.select("doc_id", "text_key", F.size("ws").cast("long").alias("n_words"), F.expr(none).alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     bits = min(BITS, max(LEAST_BITS, (16 * facts["n"]).bit_length()))
     table_ = _table(grams, bits).first()["bits"]
     spark = documents.sparkSession
     known = spark.createDataFrame([(table_,)], "bits array<long>").scalar()
-    counted = cut_up.select("doc_id", "text_key", "ws", F.size("ws").alias("n_words"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"), known.alias("known"))
+    counted = cut_up.select("doc_id", "text_key", "row", "ws", F.size("ws").alias("n_words"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"), known.alias("known"))
     parts = []
     for n in sorted(facts["lens"]):
         word, bit = _place("hs", "i", n, bits)
         starts = f"filter(CASE WHEN n_words >= {n} THEN sequence(1, n_words - {n} + 1) ELSE cast(array() AS array<int>) END, i -> (shiftrightunsigned(known[{word}], {bit}) & 1L) = 1L)"
         parts.append(f"transform({starts}, i -> named_struct('start', i, 'len', {n}, 'gram', slice(ws, i, {n})))")
-    windows = counted.select("doc_id", "text_key", "n_words", F.explode_outer(F.expr(f"concat({', '.join(parts)})")).alias("w"))
-    windows = windows.select("doc_id", "text_key", "n_words", "w.start", "w.len", "w.gram", F.xxhash64("w.gram").alias("h"))
+    windows = counted.select("doc_id", "text_key", "row", "n_words", F.explode_outer(F.expr(f"concat({', '.join(parts)})")).alias("w"))
+    windows = windows.select("doc_id", "text_key", "row", "n_words", "w.start", "w.len", "w.gram", F.xxhash64("w.gram").alias("h"))
     hits = windows.join(grams.select("h", "gram", "items"), ["h", "gram"], "left")
-    found = hits.groupBy("doc_id", "text_key").agg(
+    found = hits.groupBy("doc_id", "text_key", "row").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.collect_set(F.when(F.col("items").isNotNull(), F.struct("start", "len"))).alias("spans"),
         F.collect_set("items").alias("items"),
     )
-    return found.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items")))).withColumn("spans", F.array_sort("spans"))
+    return found.drop("row").withColumn("items", F.array_sort(F.array_distinct(F.flatten("items")))).withColumn("spans", F.array_sort("spans"))
 
 
 def covered(spans: str = "spans") -> Column:
@@ -118,7 +118,7 @@ def remove_documents(documents: DataFrame, benchmark: DataFrame, window: int = W
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All documents; hit words go, each with what stood between it and the next word."""
-    bad = find(documents, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
+    bad = find(documents, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
     joined = documents.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
     kept = F.expr("filter(__pieces, (p, i) -> NOT exists(__spans, s -> i + 1 >= s.start AND i + 1 < s.start + s.len))")
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
