@@ -44,6 +44,8 @@ N_BEST = 4
 LONG = 48
 #: Characters handled at once.
 SLAB = 1 << 18
+#: Characters whose lattices are held at once, unless one chunk has more.
+RUN = 1 << 19
 SIGN = 0x2581
 _OWN_SIGN = 0x110000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -304,30 +306,25 @@ class Encoder:
         size = (stop - start)[rep]
         base = np.concatenate([[0], np.cumsum(size)])
         own = c[np.repeat(start[rep] - base[:-1], size) + np.arange(base[-1])]
-        lattices = Lattices(self.v, own, base)
-        ids, id_at = lattices.best_ids()
+        ids, id_at, scores, every_gap = self._best(own, base)
         n_ids = np.diff(id_at)[which]
         to = np.concatenate([[0], np.cumsum(n_ids)])
         flat = ids[np.repeat(id_at[which] - to[:-1], n_ids) + np.arange(to[-1])]
         chunk_doc = np.searchsorted(doc_at + doc_size, start, side="right")
         chunks = np.searchsorted(chunk_doc, np.arange(len(texts) + 1))
-        score = lattices.score[which]
-        known: dict[int, tuple[list[float], list[np.ndarray]]] = {}
+        score = scores[which]
+        nears = []
         for d in range(len(texts)):
             lo, hi = chunks[d], chunks[d + 1]
-            gaps = lattices.gap[which[lo:hi]]
+            gaps = every_gap[which[lo:hi]]
             k = min(self.n_best - 1, len(gaps))
             near = np.argpartition(gaps, k - 1)[:k] if 0 < k < len(gaps) else np.arange(len(gaps))
-            near = np.sort(near[np.isfinite(gaps[near])]) + lo
-            lists = []
-            for w in which[near].tolist():
-                if w not in known:
-                    found = lattices.n_best(w, self.n_best)
-                    own = ids[id_at[w] : id_at[w + 1]]
-                    # among equal scores the best path is the forward pass's one
-                    others = [np.array(x, np.int32) for _, x in found if x != own.tolist()]
-                    known[w] = [s for s, _ in found], [own, *others][: len(found)]
-                lists.append(known[w])
+            nears.append(np.sort(near[np.isfinite(gaps[near])]) + lo)
+        wanted = np.unique(which[np.concatenate(nears)]) if len(nears) else which[:0]
+        known = self._alternatives(own, base, wanted, ids, id_at)
+        for d, near in enumerate(nears):
+            lo, hi = chunks[d], chunks[d + 1]
+            lists = [known[w] for w in which[near].tolist()]
             best = merged(float(score[lo:hi].sum()), [s for s, _ in lists], self.n_best)
             made = []
             for _, choice in best:
@@ -339,6 +336,34 @@ class Encoder:
                 made.append(np.concatenate([*runs, flat[at : to[hi]]]) if runs else flat[to[lo] : to[hi]])
             yield made, [s for s, _ in best]
 
+    def _best(self, chars: np.ndarray, base: np.ndarray):
+        """Best ids of all chunks end to end and where each one's begin, scores, and gaps to the second best; lattices of RUN characters at a time."""
+        ids, at, score, gap = [], [np.zeros(1, np.int64)], [], []
+        for lo, hi in _cuts(base):
+            lattices = Lattices(self.v, chars[base[lo] : base[hi]], base[lo : hi + 1] - base[lo])
+            own, ends = lattices.best_ids()
+            ids.append(own)
+            at.append(ends[1:] + at[-1][-1])
+            score.append(lattices.score)
+            gap.append(lattices.gap)
+        return tuple(map(np.concatenate, (ids, at, score, gap)))
+
+    def _alternatives(self, chars: np.ndarray, base: np.ndarray, wanted: np.ndarray, ids: np.ndarray, id_at: np.ndarray) -> dict:
+        """Scores and ids of the N best paths of the wanted chunks, by number; their lattices are made again, a few at a time."""
+        known: dict[int, tuple[list[float], list[np.ndarray]]] = {}
+        size = base[wanted + 1] - base[wanted]
+        at = np.concatenate([[0], np.cumsum(size)])
+        for lo, hi in _cuts(at) if len(wanted) else ():
+            part = at[lo : hi + 1] - at[lo]
+            lattices = Lattices(self.v, chars[np.repeat(base[wanted[lo:hi]] - part[:-1], size[lo:hi]) + np.arange(part[-1])], part)
+            for k, w in enumerate(wanted[lo:hi].tolist()):
+                found = lattices.n_best(k, self.n_best)
+                own = ids[id_at[w] : id_at[w + 1]]
+                # among equal scores the best path is the forward pass's one
+                others = [np.array(x, np.int32) for _, x in found if x != own.tolist()]
+                known[w] = [s for s, _ in found], [own, *others][: len(found)]
+        return known
+
     def decode(self, ids: np.ndarray) -> bytes:
         v = self.v
         size = v.size[ids]
@@ -349,6 +374,15 @@ class Encoder:
         return out[1:] if len(ids) else out
 
 
+def _cuts(base: np.ndarray):
+    """Runs of chunks of about RUN characters together."""
+    lo = 0
+    while lo < len(base) - 1:
+        hi = max(int(np.searchsorted(base, base[lo] + RUN, "right")) - 1, lo + 1)
+        yield lo, hi
+        lo = hi
+
+
 def _slabs(texts: list[str]):
     at = 0
     while at < len(texts):
