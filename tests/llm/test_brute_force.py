@@ -236,6 +236,55 @@ def test_knn_solves_fewer_pairs_than_all(spark, monkeypatch):
     assert sum(seen) < n * df.where("vec_id % 50 = 0").count()
 
 
+def solved_pairs(monkeypatch):
+    """Counts the pairs of query and candidate that the join multiplies, step by step."""
+    seen, joined = [], knn._joined
+
+    def counted(asked, queries, data, *rest):
+        x = asked.select("vec_id", F.explode(F.flatten("cells")).alias("cell")).distinct()
+        seen.append(x.join(data.groupBy("cell").count(), "cell").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"])
+        return joined(asked, queries, data, *rest)
+
+    monkeypatch.setattr(knn, "_joined", counted)
+    return seen
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_knn_as_shipped(spark, monkeypatch):
+    """With the shipped constants all of sf0.1 lies in one block; no pair is solved twice.
+
+    Its vectors have no clusters, so the bounds leave out none of its cells; the next test has clusters.
+    """
+    seen = solved_pairs(monkeypatch)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.knn_join(df, F.col("vec_id") % 50 == 0, 5).collect()}
+    rows = df.orderBy("vec_id").collect()
+    q = np.floor(256 * np.array([r.embedding for r in rows], float)).astype(int)
+    ids = [r.vec_id for r in rows]
+    for i in [i for i, x in enumerate(ids) if x % 50 == 0]:
+        s = q @ q[i]
+        order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-s[j], ids[j]))[:5]
+        assert [got[ids[i], n + 1] for n in range(5)] == [(ids[j], int(s[j])) for j in order]
+    n, asking = len(ids), sum(x % 50 == 0 for x in ids)
+    assert len(seen) == 2 and 0 < seen[0] < seen[1] and sum(seen) <= n * asking
+
+
+def test_knn_solves_few_pairs_of_clusters(spark, monkeypatch):
+    """Clustered vectors, shipped constants: one block, and most of its cells are not multiplied."""
+    seen = solved_pairs(monkeypatch)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 16)) * 5
+    x = (centers[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.2).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.knn_join(df, F.col("vec_id") % 50 == 0, 5).collect()}
+    q = np.floor(256 * x.astype(float)).astype(int)
+    for i in range(0, 3000, 50):
+        s = q @ q[i]
+        order = sorted((j for j in range(3000) if j != i), key=lambda j: (-s[j], j))[:5]
+        assert [got[i, n + 1] for n in range(5)] == [(j, int(s[j])) for j in order]
+    assert sum(seen) < 0.3 * 3000 * 60
+
+
 @needs_tables
 def test_lm_base_and_gain(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
