@@ -109,9 +109,10 @@ class _Files:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes the archives; returns the captures: key, pid, file, offset, length."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", url_key(F.col("url")).alias("key"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    first = rows.groupBy("sha").agg(F.max("page_id").alias("response"))
-    typed = rows.join(first, "sha").select("page_id", "url", "key", "payload", "sha", "response", (F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))).alias("revisit"))
+    rows = pages.select("page_id", "url", url_key(F.col("url")).alias("key"), payload.alias("payload"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size"))
+    # one short row per payload, written, so that AQE may split the pages of a very common payload over tasks
+    first = cut(rows.groupBy("sha", "size").agg(F.max("page_id").alias("response")))
+    typed = rows.join(first, ["sha", "size"]).select("page_id", "url", "key", "payload", "sha", "response", (F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         files, out, name, at = _Files(folder), None, None, 0
