@@ -12,7 +12,8 @@ next-byte distribution diverges from that of the context one byte shorter: occur
 times Kullback-Leibler divergence of at least GAIN nats; its suffixes stay with it.
 Distributions are smoothed towards the shorter context in proportion to the number
 of different next bytes seen (Witten and Bell).  The MAX_STATES contexts of the largest
-gain travel with the scorers; the others stay in a table.
+gain travel with the scorers; the others stay in a table.  While these and their suffixes
+have more than MAX_ROWS next bytes, half as many travel: that bounds what the driver collects.
 
 Scoring beyond what travels.  A travelling context knows whether the table holds longer
 ones.  Tokens with such a byte leave the scorer with their byte codes; distinct codes
@@ -29,8 +30,7 @@ travel with the model, all others are joined by word hash (64 bits).  LEXICON de
 where a count is looked up and not what it is: no result depends on it.
 
 Defined results: null texts are empty (one token, the end); a null doc_id counts as
-training; rows with equal doc_id and text are one document in the result, but each
-counts in training; without training texts all counts are 0; further columns are
+training; repeated rows give a row each, and each counts in training; without training texts all counts are 0; further columns are
 ignored.
 """
 
@@ -49,6 +49,7 @@ DEPTH = 5
 LEAST = 8
 GAIN = 12.0
 MAX_STATES = 200_000
+MAX_ROWS = 12_000_000
 LEXICON = 100_000
 MIX = 0.5
 SLAB = 1 << 19
@@ -186,17 +187,23 @@ def split(grams: DataFrame, least: int, gain: float, max_states: int) -> tuple[l
     terms = F.zip_with("s", "n", lambda s, n: n * F.log((n / F.col("total")) / (F.element_at("next1", s) / F.col("total1"))))
     diverged = met.select("d", "ctx", F.aggregate(terms, F.lit(0.0), lambda x, y: x + y).alias("gain"))
     kept = cut(diverged.where(F.col("gain") >= gain))
-    hot, cold = _closed(kept.orderBy(F.desc("gain"), "d", "ctx").limit(max_states)), None
-    if kept.count() > max_states:
-        hot = cut(hot)
+    n_kept = kept.count()
+    max_states = min(max_states, n_kept)
+    while True:
+        hot = cut(_closed(kept.orderBy(F.desc("gain"), "d", "ctx").limit(max_states)))
+        states = cut(ctx.join(hot, ["d", "ctx"]))
+        if max_states == 0 or (states.agg(F.sum(F.size("s"))).first()[0] or 0) <= MAX_ROWS:
+            break
+        max_states //= 2
+    cold = None
+    if n_kept > max_states:
         others = cut(_closed(kept).join(hot, ["d", "ctx"], "left_anti"))
         cold = cut(ctx.join(others, ["d", "ctx"]))
         shorter = others.select((F.col("d") - 1).alias("d"), F.when(F.col("d") > 1, F.col("ctx").bitwiseAND(_mask("d - 2"))).otherwise(0).alias("ctx"), F.lit(True).alias("open"))
-        hot = hot.join(shorter.distinct(), ["d", "ctx"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        states = states.join(shorter.distinct(), ["d", "ctx"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     else:
-        hot = hot.withColumn("open", F.lit(False))
-    states = ctx.join(hot, ["d", "ctx"])
-    # the bound on states bounds what is collected: their next bytes, some 300,000 rows
+        states = states.withColumn("open", F.lit(False))
+    # MAX_ROWS rows at most, and no more heads than rows
     code = F.shiftleft("ctx", 8).bitwiseOR(F.col("x.s").cast("long"))
     rows = states.select("d", "ctx", F.explode(F.arrays_zip("s", "n")).alias("x")).select(F.col("d").cast("byte").alias("d"), code.alias("code"), F.col("x.n").cast("double").alias("n"))
     heads = states.select(F.col("d").cast("byte").alias("d"), "ctx", F.col("total").cast("double").alias("total"), F.size("s").cast("double").alias("kinds"), "open")
@@ -378,14 +385,16 @@ def score(documents: DataFrame, training: Column) -> DataFrame:
     # below the smallest double only the tree's own share counts
     own = F.when(mixed > 0, F.log10(mixed)).otherwise(F.lit(float(np.log10(1 - MIX))) + F.col("score"))
     sums = met.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"),
         F.count_if(is_doc).alias("copies"), F.sum(F.when(is_doc, F.col("n")).otherwise(0)).alias("n"),
         F.sum(F.when(is_doc, F.col("known")).otherwise(F.when(~is_known & (c > 0), F.col("n")).otherwise(0))).alias("known"),
         F.sum(F.when(is_doc, F.col("logs")).when(is_known, 0.0).otherwise(F.col("n") * F.log10(c + 1.0))).alias("logs"), F.sum(F.when(is_doc, F.col("score")).otherwise(F.col("n") * own)).alias("score"),
     )
     whole = lambda c: (F.col(c) / F.col("copies")).cast("long")
     base = F.col("logs") / F.col("copies") - whole("n") * F.log10(F.lit(float(total + kinds + 1)))
-    return sums.select("doc_id", whole("n").alias("n_tokens"), whole("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
+    scores = sums.select("key", whole("n").alias("n_tokens"), whole("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
+    # written, so that AQE may split the rows of a document that is repeated very often
+    keyed = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("key"))
+    return keyed.join(cut(scores), "key").drop("key")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
