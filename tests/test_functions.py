@@ -94,3 +94,11 @@ def test_convex_iou_and_inward_offset():
     assert decode.convex_iou(a, a[:2]) == 0.0
     assert abs(decode.polygon_area(decode.inward_offset(a, 1.0))) == pytest.approx(4.0)
     assert decode.inward_offset(a, 2.5) is None
+
+
+def test_cosine_lr_far_beyond_the_first_epochs(spark):
+    # steps at which the rounded rate depends on the last bit of the angle; rates as DuckDB computes them
+    want = {427589: 803722725, 726089: 197277275, 1024589: 803722724, 2119089: 197277276}
+    rate = scores.cosine_lr(F.col("step"), 100_000, 500, 1e-3, 1e-6)
+    got = spark.createDataFrame([(s,) for s in want], "step long").select("step", F.floor(rate * 1e12 + 0.5).alias("lr")).collect()
+    assert {r.step: r.lr for r in got} == want
