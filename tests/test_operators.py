@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -342,3 +343,42 @@ def test_ema_stream(spark, tmp_path):
         for kk, _, x in rows:
             v = 0.9 * v + (1 - 0.9) * x if kk == k else v
         assert spark.sql(f"select ema from ema_out where key = {k}").first()[0] == pytest.approx(v)
+
+
+@pytest.mark.parametrize(("tile", "chunk"), [(1 << 19, 1 << 21), (1 << 19, 700), (640, 700)])
+def test_sums_of_maps_are_those_of_their_pixels(spark, monkeypatch, tile, chunk):
+    from inkspan.operators import paint, raster
+
+    monkeypatch.setattr(paint, "TILE", tile)
+    monkeypatch.setattr(paint, "CHUNK", chunk)
+    r = random.Random(5)
+    # image 3 has more boxes than are drawn at once, and most of them overlap
+    rows = [(i, k + 1, r.uniform(-9, 60), r.uniform(-9, 60), r.uniform(0, 30), r.uniform(0, 20), r.choice([None, 0.0, 0.4, 0.9]), r.random() < 0.2) for i, n in ((1, 1), (2, 3), (3, 60), (4, 9)) for k in range(n)]
+    df = spark.createDataFrame(rows, "image_id long, box_idx int, x0 double, y0 double, w double, h double, score double, ignore boolean")
+    of = {}
+    for row in rows:
+        of.setdefault(row[0], []).append((*row[2:6], row[7]))
+    want = {i: plain_targets(b, 0.4, 0.3, 0.7, 4.0, 64, 64) for i, b in of.items()}
+    sums = lambda made: {x.image_id: x for x in made.collect()}
+    four = sums(raster.targets(df, 0.4, 0.3, 0.7, 4.0, 64, 64, sums=True))
+    for i, (prob, mask, thresh, on_ring) in want.items():
+        assert (four[i].pixels, four[i].prob, four[i].cleared, four[i].ring) == (len(prob.keys() | mask.keys() | on_ring.keys()), len(prob), len(mask), len(on_ring))
+        assert four[i].total == pytest.approx(sum(thresh.values()))
+    pixels = {(x.image_id, x.y, x.x) for x in raster.targets(df, 0.4, 0.3, 0.7, 4.0, 64, 64).collect()}
+    assert len(pixels) == sum(x.pixels for x in four.values())
+    assert {i: x.pixels for i, x in sums(raster.ring_mask(df, 0.4, 4.0, 64, 64, sums=True)).items()} == {i: len(w[3]) for i, w in want.items() if w[3]}
+    assert {i: x.pixels for i, x in sums(raster.core_mask(df, 0.4, 4.0, 64, 64, sums=True)).items()} == {i: len(w[0]) for i, w in want.items() if w[0]}
+    assert {i: x.pixels for i, x in sums(raster.masked_out(df, 0.4, 4.0, 64, 64, sums=True)).items()} == {i: len(w[1]) for i, w in want.items() if w[1]}
+    got = {}
+    for x in raster.score_map(df, 0.4, 64, 64).collect():
+        got.setdefault(x.image_id, []).append(x.value)
+    assert {i: (x.pixels, x.total) for i, x in sums(raster.score_map(df, 0.4, 64, 64, sums=True)).items()} == {i: (len(v), pytest.approx(sum(v))) for i, v in got.items()}
+
+
+@pytest.mark.parametrize("name", ["rasterize", "score_map", "edge_distance", "threshold_map", "ring_mask", "prob_mask", "targets"])
+def test_no_row_per_pixel_leaves_a_task(spark, name):
+    from inkspan.plans import registry
+
+    df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\by#\d", plan)
