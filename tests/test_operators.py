@@ -375,6 +375,12 @@ def test_sums_of_maps_are_those_of_their_pixels(spark, monkeypatch, tile, chunk)
     assert {i: (x.pixels, x.total) for i, x in sums(raster.score_map(df, 0.4, 64, 64, sums=True)).items()} == {i: (len(v), pytest.approx(sum(v))) for i, v in got.items()}
 
 
+def test_images_that_only_clear_the_mask_have_sums(spark):
+    df = spark.createDataFrame([(1, 1, 2.0, 2.0, 9.0, 3.0), (2, 1, 2.0, 2.0, 12.0, 8.0), (3, 1, 4.0, 4.0, 2.0, 9.0)], "image_id long, box_idx int, x0 double, y0 double, w double, h double").coalesce(1)
+    got = {r.image_id: (r.cleared, r.ring > 0) for r in raster.targets(df, 0.4, 0.3, 0.7, 4.0, 32, 32, sums=True).collect()}
+    assert got == {1: (40, False), 2: (0, True), 3: (30, False)}
+
+
 @pytest.mark.parametrize("name", ["rasterize", "score_map", "edge_distance", "threshold_map", "ring_mask", "prob_mask", "targets"])
 def test_no_row_per_pixel_leaves_a_task(spark, name):
     from inkspan.plans import registry
