@@ -160,7 +160,7 @@ def _common(texts: DataFrame, size: int, lane: int, rows: int) -> np.ndarray:
     seen = sample.select("text").mapInArrow(run, "token long, sid long")
     # among copies a shingle says nothing: sets count once
     often = seen.distinct().groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(COMMON)
-    return np.sort(np.array([r[0] for r in often.select("token").collect()], np.int64).astype(np.uint64))
+    return np.sort(often.select("token").toArrow().column(0).to_numpy().astype(np.uint64))
 
 
 def _per_set(texts: DataFrame, size: int, lane: int, whole: bool) -> DataFrame:
@@ -379,6 +379,8 @@ def _jobs(members: DataFrame, percent: int, weight: int, across: bool | None = N
 
 def _open(members: DataFrame) -> DataFrame:
     """Members of groups in which different components meet, with the group's weight m."""
+    # members are counted and read again: they are made once
+    members = cut(members)
     groups = members.groupBy("center").agg(F.sum(F.col("n") + PER_MEMBER).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("center", "m")
     # cut from the join, so that it may split a hot center's rows over tasks
     return cut(members.drop("m").join(cut(groups), "center"))
