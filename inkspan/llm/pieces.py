@@ -11,9 +11,9 @@ therefore yields the N best paths one after the other without visiting others.
 
 No piece of such a vocabulary has a space sign after another character, so the
 lattice of a text is a chain of the lattices of its chunks (spaces and what follows
-up to the next space).  The forward pass runs once per distinct chunk, for all
-chunks of some megabytes at once, and also gives the score gap to each chunk's
-second-best path.  The N best paths of a text can leave the best one only in the
+up to the next space).  The forward pass runs for all new chunks of a slab of texts at
+once, and also gives the score gap to each chunk's second-best path; a worker keeps the
+results of up to CHUNKS chunks from slab to slab and from task to task.  The N best paths of a text can leave the best one only in the
 N - 1 chunks of the smallest gaps; A* runs on these and their lists are merged.  The
 choices that a sum is made of are kept, and give each segmentation's ids.
 
@@ -29,6 +29,9 @@ those named like the results, which are replaced.
 from __future__ import annotations
 
 import heapq
+import itertools
+import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +39,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import exact_codes, parts, table, utf8
+from .shared import Words, parts, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Chunks of more characters are passed one by one.
 LONG = 48
 #: Characters handled at once.
-SLAB = 1 << 18
+SLAB = 1 << 19
+#: Chunks that an encoder keeps at most between slabs, and chunks whose N best paths it keeps.
+CHUNKS, PATHS = 1 << 19, 1 << 15
 #: Characters whose lattices are held at once, unless one chunk has more.
 RUN = 1 << 19
 SIGN = 0x2581
 _OWN_SIGN = 0x110000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
+_SPACED = re.compile(" +[^ ]*")
+_coders: dict = {}
 
 
 class Vocabulary:
@@ -274,8 +281,26 @@ def merged(total: float, lists: list[list[float]], n: int) -> list[tuple[float,
 
 
 class Encoder:
+    """Segmentations through a bounded table of chunks, which lasts from text to text."""
+
     def __init__(self, v: Vocabulary, n_best: int = N_BEST) -> None:
         self.v, self.n_best = v, n_best
+        self._clear()
+
+    def _clear(self) -> None:
+        # chunk i: its number by what follows its first space, ids[ends[i]:ends[i + 1]] of its best path, score and gap
+        self.known, self.ids, self.ends = Words(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.score, self.gap = np.zeros(0), np.zeros(0)
+        self.paths: dict[int, tuple[list[float], list[np.ndarray]]] = {}
+
+    def _learn(self) -> None:
+        new = self.known.new
+        if not new:
+            return
+        ids, ends, score, gap = self._best(*_laid(new))
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, ends[1:] + self.ends[-1]])
+        self.score, self.gap = np.concatenate([self.score, score]), np.concatenate([self.gap, gap])
+        new.clear()
 
     def encode(self, texts: list[str]):
         """Per text: (ids of the best segmentation, scores of the N best)."""
@@ -284,47 +309,30 @@ class Encoder:
 
     def segmentations(self, texts: list[str]):
         """Per text: (ids of each of the N best segmentations, their scores), best first."""
-        chars = [np.frombuffer((" " + t).encode("utf-32-le"), np.uint32) if t else np.zeros(0, np.uint32) for t in texts]
-        doc_size = np.array(list(map(len, chars)), np.int64)
-        if not doc_size.sum():
-            for _ in texts:
-                yield [np.zeros(0, np.int32)], [0.0]
-            return
-        c = np.concatenate(chars).astype(np.int64)
-        c[c == SIGN] = _OWN_SIGN
-        c[c == 32] = SIGN
-        is_sign = c == SIGN
-        begins = is_sign.copy()
-        begins[1:] &= ~is_sign[:-1]
-        doc_at = np.cumsum(doc_size) - doc_size
-        begins[doc_at[doc_size > 0]] = True
-        start = np.nonzero(begins)[0]
-        stop = np.append(start[1:], len(c))
-        which = exact_codes(c, start, stop)
-        rep = np.zeros(which.max() + 1, np.int64)
-        rep[which[::-1]] = np.arange(len(which))[::-1]
-        size = (stop - start)[rep]
-        base = np.concatenate([[0], np.cumsum(size)])
-        own = c[np.repeat(start[rep] - base[:-1], size) + np.arange(base[-1])]
-        ids, id_at, scores, every_gap = self._best(own, base)
-        n_ids = np.diff(id_at)[which]
+        if len(self.known) > CHUNKS:
+            self._clear()
+        elif len(self.paths) > PATHS:
+            self.paths.clear()
+        words = list(map(_chunks, texts))
+        chunks = np.cumsum([0, *map(len, words)])
+        which = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(chunks[-1]))
+        self._learn()
+        n_ids = self.ends[which + 1] - self.ends[which]
         to = np.concatenate([[0], np.cumsum(n_ids)])
-        flat = ids[np.repeat(id_at[which] - to[:-1], n_ids) + np.arange(to[-1])]
-        chunk_doc = np.searchsorted(doc_at + doc_size, start, side="right")
-        chunks = np.searchsorted(chunk_doc, np.arange(len(texts) + 1))
-        score = scores[which]
+        flat = self.ids[np.repeat(self.ends[which] - to[:-1], n_ids) + np.arange(to[-1])]
+        score, every_gap = self.score[which], self.gap[which]
         nears = []
         for d in range(len(texts)):
             lo, hi = chunks[d], chunks[d + 1]
-            gaps = every_gap[which[lo:hi]]
+            gaps = every_gap[lo:hi]
             k = min(self.n_best - 1, len(gaps))
             near = np.argpartition(gaps, k - 1)[:k] if 0 < k < len(gaps) else np.arange(len(gaps))
             nears.append(np.sort(near[np.isfinite(gaps[near])]) + lo)
-        wanted = np.unique(which[np.concatenate(nears)]) if len(nears) else which[:0]
-        known = self._alternatives(own, base, wanted, ids, id_at)
+        at = np.concatenate(nears) if nears else np.zeros(0, np.int64)
+        self._alternatives([(n, d, c) for n, d, c in zip(which[at].tolist(), np.searchsorted(chunks, at, "right").tolist(), at.tolist(), strict=True) if n not in self.paths], words, chunks)
         for d, near in enumerate(nears):
             lo, hi = chunks[d], chunks[d + 1]
-            lists = [known[w] for w in which[near].tolist()]
+            lists = [self.paths[w] for w in which[near].tolist()]
             best = merged(float(score[lo:hi].sum()), [s for s, _ in lists], self.n_best)
             made = []
             for _, choice in best:
@@ -348,21 +356,28 @@ class Encoder:
             gap.append(lattices.gap)
         return tuple(map(np.concatenate, (ids, at, score, gap)))
 
-    def _alternatives(self, chars: np.ndarray, base: np.ndarray, wanted: np.ndarray, ids: np.ndarray, id_at: np.ndarray) -> dict:
-        """Scores and ids of the N best paths of the wanted chunks, by number; their lattices are made again, a few at a time."""
-        known: dict[int, tuple[list[float], list[np.ndarray]]] = {}
-        size = base[wanted + 1] - base[wanted]
-        at = np.concatenate([[0], np.cumsum(size)])
-        for lo, hi in _cuts(at) if len(wanted) else ():
-            part = at[lo : hi + 1] - at[lo]
-            lattices = Lattices(self.v, chars[np.repeat(base[wanted[lo:hi]] - part[:-1], size[lo:hi]) + np.arange(part[-1])], part)
-            for k, w in enumerate(wanted[lo:hi].tolist()):
+    def _alternatives(self, wanted: list[tuple[int, int, int]], words: list[list[str]], chunks: np.ndarray) -> None:
+        """Keeps scores and ids of the N best paths of the wanted chunks (number, text from 1, place); their lattices are made again, a few at a time."""
+        wanted = list({n: (n, words[d - 1][c - int(chunks[d - 1])]) for n, d, c in wanted}.values())
+        if not wanted:
+            return
+        chars, at = _laid([w for _, w in wanted])
+        for lo, hi in _cuts(at):
+            lattices = Lattices(self.v, chars[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            for k, (n, _) in enumerate(wanted[lo:hi]):
                 found = lattices.n_best(k, self.n_best)
-                own = ids[id_at[w] : id_at[w + 1]]
+                own = self.ids[self.ends[n] : self.ends[n + 1]].copy()
                 # among equal scores the best path is the forward pass's one
                 others = [np.array(x, np.int32) for _, x in found if x != own.tolist()]
-                known[w] = [s for s, _ in found], [own, *others][: len(found)]
-        return known
+                self.paths[n] = [s for s, _ in found], [own, *others][: len(found)]
+
+    def restored(self, many: list[np.ndarray]) -> list[bytes]:
+        """What each of several segmentations stands for, decoded in one go."""
+        size = self.v.size[np.concatenate(many)] if many else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.cumsum([0, *map(len, many)])].tolist()
+        # the first byte is the space that decode() leaves out
+        out = b" " + self.decode(np.concatenate(many)) if many else b""
+        return [out[a + 1 : b] for a, b in itertools.pairwise(ends)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         v = self.v
@@ -374,6 +389,29 @@ class Encoder:
         return out[1:] if len(ids) else out
 
 
+def _chunks(text: str) -> list[str]:
+    """Spaces and what follows up to the next space, each without its first space; a text begins with one."""
+    if "  " in text or text[:1] == " ":
+        return [x[1:] for x in _SPACED.findall(" " + text)]
+    return text.split(" ") if text else []
+
+
+def _laid(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of chunks end to end, a space first in each, and where each one's begin."""
+    c = np.frombuffer(" ".join(["", *chunks]).encode("utf-32-le"), np.uint32).astype(np.int64)
+    c[c == SIGN] = _OWN_SIGN
+    c[c == 32] = SIGN
+    return c, np.cumsum([0, *(len(x) + 1 for x in chunks)])
+
+
+def _coder(name: str, v: Vocabulary, n_best: int) -> Encoder:
+    """One per worker process and query, which keeps its chunks from task to task."""
+    if name not in _coders:
+        _coders.clear()
+        _coders[name] = Encoder(v, n_best)
+    return _coders[name]
+
+
 def _cuts(base: np.ndarray):
     """Runs of chunks of about RUN characters together."""
     lo = 0
@@ -408,14 +446,17 @@ def encode(documents: DataFrame, model: str = MODEL, n_best: int = N_BEST) -> Da
     schema = T.StructType([*documents.schema.fields, *made.fields])
     text_at = documents.columns.index("text")
 
+    name = uuid.uuid4().hex
+
     def run(batches):
-        coder = Encoder(v, n_best)
+        coder = _coder(name, v, n_best)
         for b in parts(batches):
             raw = utf8(b.column(text_at))
             texts = [x.decode() for x in raw]
             for at, to in _slabs(texts):
                 ids, scores = zip(*coder.segmentations(texts[at:to]), strict=True)
-                same = [all(coder.decode(x) == t for x in xs) for xs, t in zip(ids, raw[at:to], strict=True)]
+                back = iter(coder.restored([x for xs in ids for x in xs]))
+                same = [all([next(back) == t for _ in xs]) for xs, t in zip(ids, raw[at:to], strict=True)]
                 best, every = _lists([xs[0] for xs in ids]), _lists([x for xs in ids for x in xs])
                 scores = pa.array(scores, pa.list_(pa.float64()))
                 listed = pa.ListArray.from_arrays(scores.offsets, pa.StructArray.from_arrays([scores.values, every], names=["score", "ids"]))

@@ -57,6 +57,18 @@ def saved(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Words(dict):
+    """Numbers words in order of appearance and remembers which are new."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads all 64 bits (splitmix64)."""
     h = h ^ (h >> np.uint64(30))

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import parts, shared_dir, table
+from .shared import Words, parts, shared_dir, table
 
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 END = 2
@@ -56,18 +56,6 @@ _NEAR = [x + " " for x in " \t\n\v\f\r\x1c\x1d\x1e\x1f"] + [" " + x for x in "\t
 _WIDE = [*map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 
 
-class _Words(dict):
-    """Numbers words in order of appearance and remembers which are new."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-
 class Encoder:
     """Ids of texts by a tokenizer file, through a bounded table of words."""
 
@@ -84,7 +72,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.flat, self.ends = _Words(), np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.known, self.flat, self.ends = Words(), np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
         self.learnt = 0
 
     def _learn(self) -> None:

@@ -28,3 +28,24 @@ def test_every_segmentation_has_its_own_ids(spark):
             is_byte = pieces.np.isin(ids, v.byte_ids)
             n_chars = sum(b & 0xC0 != 0x80 for b in pieces.np.searchsorted(pieces.np.sort(v.byte_ids), ids[is_byte]).tolist())
             assert x.score == pytest.approx(float(v.scores[ids[~is_byte]].sum()) + n_chars * v.fallback)
+
+
+@needs_vocabulary
+def test_chunks_are_passed_once(monkeypatch):
+    v, made = pieces.load(), []
+
+    class Counted(pieces.Lattices):
+        def __init__(self, *args):
+            made.append(1)
+            super().__init__(*args)
+
+    monkeypatch.setattr(pieces, "Lattices", Counted)
+    texts = ["the inner of the inner", "", " ", "  two  spaces ", "ü執 the ▁ the", "a\nb the", "inner"]
+    coder = pieces.Encoder(v)
+    told = lambda found: [([x.tolist() for x in ids], scores) for ids, scores in found]
+    first, n = told(coder.segmentations(texts)), len(made)
+    assert told(coder.segmentations(texts[::-1])) == first[::-1] and len(made) == n
+    assert [coder.restored([v.byte_ids[:0], *(pieces.np.array(x, int) for x in ids)])[1:] for ids, _ in first] == [[t.encode()] * len(ids) for t, (ids, _) in zip(texts, first, strict=True)]
+    # a full table is emptied, and results stay
+    monkeypatch.setattr(pieces, "CHUNKS", 0)
+    assert told(coder.segmentations(texts)) == first and len(made) > n
