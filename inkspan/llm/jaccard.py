@@ -39,6 +39,8 @@ are no component_id unless the component has no other; further columns are ignor
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -207,11 +209,13 @@ class Node:
 def tree(members: list[tuple], percent: int = PERCENT) -> Node:
     """members: (id, n, comp, low, bits, set or None); near copies come to lie side by side."""
     scale = np.log(100 / percent)
-    members, level = sorted(members, key=lambda m: (int(np.log(m[1]) / scale), m[3], m[1], m[0])), []
-    for i in range(0, len(members), LOWEST):
-        part = members[i : i + LOWEST]
-        w = min(len(m[4]) for m in part)
-        level.append(Node((), *(np.array([m[k] for m in part], np.int64) for k in (0, 1, 2)), np.stack([fold(m[4], w) for m in part]), [m[5] for m in part]))
+    members, level = sorted(members, key=lambda m: (len(m[4]), int(np.log(m[1]) / scale), m[3], m[1], m[0])), []
+    # a lowest node holds bitmaps of one width: folded to the width of a small set, those of large ones would be full and rule out nothing
+    for _, same in itertools.groupby(members, key=lambda m: len(m[4])):
+        same = list(same)
+        for i in range(0, len(same), LOWEST):
+            part = same[i : i + LOWEST]
+            level.append(Node((), *(np.array([m[k] for m in part], np.int64) for k in (0, 1, 2)), np.stack([m[4] for m in part]), [m[5] for m in part]))
     while len(level) > 1:
         level = [Node(level[i : i + FANOUT]) if len(level[i : i + FANOUT]) > 1 else level[i] for i in range(0, len(level), FANOUT)]
     return level[0]
@@ -476,9 +480,8 @@ def _stars(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return best.select(F.explode("c.a").alias("a"), F.col("sid").alias("b"))
 
 
-def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(sid, n, low, comp): the component of each set by the links so far."""
-    known = components(links.toDF("u", "v"))
+def _named(classes: DataFrame, known: DataFrame) -> DataFrame:
+    """(sid, n, low, comp): the component of each set by the components (id, component) so far."""
     return classes.join(known.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", "low", F.coalesce("component", "sid").alias("comp"))
 
 
@@ -493,7 +496,7 @@ def _found(documents: DataFrame, size: int, percent: int, lane: int = 0) -> tupl
     if facts["mixed"]:  # two sets of one key: other hashes
         return _found(documents, size, percent, lane + 2)
     met = _routes(texts, size, percent, lane, facts["n"])
-    star = cut(_verified(texts, _stars(met, classes, percent), classes, size, percent))
+    star = components(_verified(texts, _stars(met, classes, percent), classes, size, percent).toDF("u", "v"))
 
     # trees over the groups in which different components meet
     members = _open(met.select("center", "sid").join(_named(classes, star), "sid"))
@@ -515,13 +518,13 @@ def _found(documents: DataFrame, size: int, percent: int, lane: int = 0) -> tupl
     more = solved(left, False)
     big = left.where(F.col("m") > WHOLE)
     if not big.isEmpty():
-        known = components(star.unionByName(more).toDF("u", "v"))
+        known = components(star.union(more).toDF("u", "v"))
         again = big.drop("comp", "m").join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
         more = more.unionByName(solved(_open(again), True)).distinct()
     sure = cut(_verified(texts, more, classes, size, percent))
     if sure.count() != more.count():  # equal hashes of different words: other hashes
         return _found(documents, size, percent, lane + 2)
-    comps = components(star.unionByName(sure).toDF("u", "v"))
+    comps = components(star.union(sure).toDF("u", "v"))
     return base, classes.select("sid", "rep").join(comps.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
 
 

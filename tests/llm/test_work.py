@@ -1,9 +1,10 @@
 """Work that must be done once only."""
 
+import numpy as np
 import pytest
 
 pytest.importorskip("inkspan.llm")
-from inkspan.llm import jaccard  # noqa: E402
+from inkspan.llm import components, jaccard  # noqa: E402
 
 
 def test_members_of_open_groups_are_made_once(spark):
@@ -17,3 +18,22 @@ def test_members_of_open_groups_are_made_once(spark):
     rows = spark.createDataFrame([(c, s, 5, 0, s) for c in range(3) for s in range(10 * c, 10 * c + 4)], "center long, sid long, n int, low long, comp long")
     left = jaccard._open(rows.mapInArrow(run, rows.schema))
     assert left.count() == 12 and made.value == 12
+
+
+def test_a_small_set_beside_large_ones_does_not_blind_their_bitmaps():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (10, 2000, 2100)]
+    t = jaccard.tree([(i, len(s), i, int(s[0]), np.frombuffer(jaccard.bitmap(s, len(s)), np.uint8), s) for i, s in enumerate(sets)])
+    assert jaccard.members_that_may_link(t, t, 85) == set()
+    near = [np.sort(np.concatenate([s[:-9], rng.integers(0, 2**63, 9, dtype=np.uint64)])) for s in sets[1:]]
+    t = jaccard.tree([(i, len(s), i, int(s[0]), np.frombuffer(jaccard.bitmap(s, len(s)), np.uint8), s) for i, s in enumerate(sets + near)])
+    assert jaccard.members_that_may_link(t, t, 85) == {1, 2, 3, 4} and {tuple(sorted(x)) for x in jaccard.joining_links(t, t, 85)} == {(1, 3), (2, 4)}
+
+
+def test_stars_are_settled_without_a_round(spark, monkeypatch):
+    made, own = [], components._least
+    monkeypatch.setattr(components, "_least", lambda *x: made.append(1) or own(*x))
+    star = spark.createDataFrame([(1, 5), (6, 1), (9, 8)], "u long, v long")
+    assert {tuple(r) for r in components.components(star).collect()} == {(1, 1), (5, 1), (6, 1), (8, 8), (9, 8)} and not made
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    assert {tuple(r) for r in components.components(chain).collect()} == {(i, 0) for i in range(41)} and made
