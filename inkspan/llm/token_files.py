@@ -12,8 +12,8 @@ hold them), `between` for a range of token positions (the manifest names the fil
 
 Encoding works on words: a text may be cut before a space that has no white space on
 either side, since no token of the pre-tokenizer spans such a place.  So a worker keeps
-the ids of up to WORDS different words and only encodes new ones, and a text of any length is
-encoded in runs of about RUN characters.
+the ids of up to WORDS different words and only encodes new ones (when they are too many, those
+that came more than once stay), and a text of any length is encoded in runs of about RUN characters.
 
 Defined results: a null text is empty, so it has the end id only; rows are in order of
 doc_id, nulls first, rows of one doc_id by the hash of their text; repeated rows give a row each;
@@ -28,6 +28,7 @@ import os
 import re
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,21 +37,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Words, parts, shared_dir, table
+from .shared import parts, shared_dir, table
 
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 END = 2
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
 #: Words that a worker keeps at most, and characters that are encoded at once.
-WORDS = 1 << 20
+WORDS = 3 << 18
 RUN = 1 << 20
 #: Files whose manifest is broadcast at most (some 60 bytes each); beyond, it is joined by a shuffle.
 FILES = 100_000
 _CUT = re.compile(r"(?<!\s) (?!\s)")
 _UNEVEN = re.compile(r"\s | \s")
-#: White space beside a space, as far as ASCII goes.
-_NEAR = [x + " " for x in " \t\n\v\f\r\x1c\x1d\x1e\x1f"] + [" " + x for x in "\t\n\v\f\r\x1c\x1d\x1e\x1f"]
+#: Other white space than the space, as far as ASCII goes.
+_OTHER = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
 
 #: Other white space, by code point.
 _WIDE = [*map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
@@ -69,15 +70,28 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         # byte-level vocabularies write a space as U+0120
         self.spaced[[i for x, i in vocabulary.items() if x[0] == "\u0120"]] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known, self.flat, self.ends = Words(), np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.known: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.flat, self.ends, self.often = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(0, np.int64)
         self.learnt = 0
 
+    def _forget(self) -> None:
+        """Keeps the words that came more than once, half as many as there may be at most; a count halves each time."""
+        kept = np.flatnonzero(self.often > 1)
+        if len(kept) > WORDS // 2:
+            kept = np.sort(kept[np.argsort(-self.often[kept], kind="stable")[: WORDS // 2]])
+        words = list(self.known)
+        self.known.clear()  # before the next one is built
+        self.known = defaultdict(itertools.count(len(kept)).__next__, zip(map(words.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        size = self.ends[kept + 1] - self.ends[kept]
+        end = np.concatenate([[0], np.cumsum(size)])
+        self.flat = self.flat[np.repeat(self.ends[kept] - end[:-1], size) + np.arange(int(end[-1]))]
+        self.ends, self.often, self.learnt = end, self.often[kept] // 2, len(kept)
+
     def _learn(self) -> None:
         """Appends the ids of new words to `flat`, where word i ends at ends[i + 1]."""
-        new, at, used = self.known.new, self.learnt, int(self.ends[self.learnt])
+        # a dict is in order of insertion, so new words come last
+        new = list(itertools.islice(reversed(self.known), len(self.known) - self.learnt))[::-1]
+        at, used = self.learnt, int(self.ends[self.learnt])
         while at < len(new) + self.learnt:
             i = at - self.learnt
             to = i
@@ -99,7 +113,6 @@ class Encoder:
             self.ends[at + 1 : at + 1 + len(sizes)] = used + np.cumsum(sizes)
             at, used = at + len(sizes), end
         self.learnt = at
-        new.clear()
 
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words without spaces and how many each has, encoded as one text: a token with a space in front begins a word."""
@@ -110,7 +123,8 @@ class Encoder:
         return ids, np.diff(at, append=len(ids))
 
     def _words(self, text: str) -> list[str]:
-        uneven = any(x in text for x in _NEAR) or any(x in text for x in _WIDE) and _UNEVEN.search(text)
+        # looking for one character is far quicker than for two
+        uneven = "  " in text or any(x in text and (x + " " in text or " " + x in text) for x in _OTHER) or any(x in text for x in _WIDE) and _UNEVEN.search(text)
         words = _CUT.split(text) if uneven else text.split(" ")
         words[0] = " " + words[0]
         return words
@@ -122,12 +136,15 @@ class Encoder:
         codes = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts[-1]))
         del words
         self._learn()
+        often = np.bincount(codes, minlength=self.learnt)
+        often[: len(self.often)] += self.often
+        self.often = often
         size = self.ends[codes + 1] - self.ends[codes]
         end = np.cumsum(size)
         at = np.concatenate([[0], end])[counts]
         ids = self.flat[np.repeat(self.ends[codes] - (end - size), size) + np.arange(int(at[-1]))]
         if len(self.known) > WORDS:
-            self._clear()
+            self._forget()
         return [ids[a:b] for a, b in itertools.pairwise(at.tolist())]
 
     def encode_long(self, text: str) -> np.ndarray:
