@@ -11,6 +11,7 @@ encode         pieces of each text, its N best segmentations (scores and pieces)
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +19,48 @@ from pyspark.sql import functions as F
 from inkspan.llm import decontaminate, jaccard, pieces, quality, suffix_dedup
 from inkspan.llm.shared import shared_dir, table
 
+#: Rows that go to a Python worker in one Arrow batch.  Spark's 10,000 are tens of MB of texts, which both sides hold several times.
+BATCH = 1024
 
+
+def sparing(stage):
+    """The stage with batches of at most BATCH rows between the JVM and its Python workers.
+
+    Spark reads this setting of the session when it runs a plan, so it holds for later queries, too; a smaller one stays.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= BATCH:
+            spark.conf.set(key, BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@sparing
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@sparing
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_one(docs, size=5, percent=80)
 
 
+@sparing
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+@sparing
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+@sparing
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     made = pieces.encode(docs.select("doc_id", "text"))
     return made.select("doc_id", "text", "ids", "n_best_scores", "n_best", "round_trip")

@@ -13,7 +13,8 @@ No piece of such a vocabulary has a space sign after another character, so the
 lattice of a text is a chain of the lattices of its chunks (spaces and what follows
 up to the next space).  The forward pass runs for all new chunks of a slab of texts at
 once, and also gives the score gap to each chunk's second-best path; a worker keeps the
-results of up to CHUNKS chunks from slab to slab and from task to task.  The N best paths of a text can leave the best one only in the
+results of up to CHUNKS chunks from slab to slab and from task to task, and drops them when no task has used them
+for REST seconds, so that later queries have the room.  The N best paths of a text can leave the best one only in the
 N - 1 chunks of the smallest gaps; A* runs on these and their lists are merged.  The
 choices that a sum is made of are kept, and give each segmentation's ids.
 
@@ -31,6 +32,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import threading
 import uuid
 
 import numpy as np
@@ -46,16 +48,19 @@ N_BEST = 4
 #: Chunks of more characters are passed one by one.
 LONG = 48
 #: Characters handled at once.
-SLAB = 1 << 19
+SLAB = 1 << 18
 #: Chunks that an encoder keeps at most between slabs, and chunks whose N best paths it keeps.
-CHUNKS, PATHS = 1 << 19, 1 << 15
+CHUNKS, PATHS = 1 << 18, 1 << 15
+#: Seconds without a task after which a worker drops its encoder.
+REST = 3.0
 #: Characters whose lattices are held at once, unless one chunk has more.
-RUN = 1 << 19
+RUN = 1 << 17
 SIGN = 0x2581
 _OWN_SIGN = 0x110000
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _SPACED = re.compile(" +[^ ]*")
 _coders: dict = {}
+_timers: list[threading.Timer] = []
 
 
 class Vocabulary:
@@ -406,10 +411,20 @@ def _laid(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _coder(name: str, v: Vocabulary, n_best: int) -> Encoder:
     """One per worker process and query, which keeps its chunks from task to task."""
-    if name not in _coders:
-        _coders.clear()
-        _coders[name] = Encoder(v, n_best)
-    return _coders[name]
+    while _timers:
+        _timers.pop().cancel()
+    coder = _coders.get(name) or Encoder(v, n_best)
+    _coders.clear()
+    _coders[name] = coder
+    return coder
+
+
+def _rest() -> None:
+    """Drops the worker's encoder after REST seconds, unless a task takes it up before."""
+    timer = threading.Timer(REST, _coders.clear)
+    timer.daemon = True
+    _timers.append(timer)
+    timer.start()
 
 
 def _cuts(base: np.ndarray):
@@ -450,17 +465,20 @@ def encode(documents: DataFrame, model: str = MODEL, n_best: int = N_BEST) -> Da
 
     def run(batches):
         coder = _coder(name, v, n_best)
-        for b in parts(batches):
-            raw = utf8(b.column(text_at))
-            texts = [x.decode() for x in raw]
-            for at, to in _slabs(texts):
-                ids, scores = zip(*coder.segmentations(texts[at:to]), strict=True)
-                back = iter(coder.restored([x for xs in ids for x in xs]))
-                same = [all([next(back) == t for _ in xs]) for xs, t in zip(ids, raw[at:to], strict=True)]
-                best, every = _lists([xs[0] for xs in ids]), _lists([x for xs in ids for x in xs])
-                scores = pa.array(scores, pa.list_(pa.float64()))
-                listed = pa.ListArray.from_arrays(scores.offsets, pa.StructArray.from_arrays([scores.values, every], names=["score", "ids"]))
-                yield pa.RecordBatch.from_arrays([*b.slice(at, to - at).columns, best, scores, listed, pa.array(same)], names=schema.names)
+        try:
+            for b in parts(batches):
+                raw = utf8(b.column(text_at))
+                texts = [x.decode() for x in raw]
+                for at, to in _slabs(texts):
+                    ids, scores = zip(*coder.segmentations(texts[at:to]), strict=True)
+                    back = iter(coder.restored([x for xs in ids for x in xs]))
+                    same = [all([next(back) == t for _ in xs]) for xs, t in zip(ids, raw[at:to], strict=True)]
+                    best, every = _lists([xs[0] for xs in ids]), _lists([x for xs in ids for x in xs])
+                    scores = pa.array(scores, pa.list_(pa.float64()))
+                    listed = pa.ListArray.from_arrays(scores.offsets, pa.StructArray.from_arrays([scores.values, every], names=["score", "ids"]))
+                    yield pa.RecordBatch.from_arrays([*b.slice(at, to - at).columns, best, scores, listed, pa.array(same)], names=schema.names)
+        finally:
+            _rest()
 
     return documents.mapInArrow(run, schema)
 

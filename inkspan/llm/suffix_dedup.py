@@ -357,27 +357,27 @@ def report(documents: DataFrame) -> DataFrame:
     return spans.select("doc_id", "text", "__from", "__to").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _kept_text(text: str | None, lo: list[int], hi: list[int]) -> str | None:
+    if text is None or not lo:
+        return text
+    b = text.encode()
+    inside = lambda i: i < len(b) and b[i] & 0xC0 == 0x80
+    for ends in (lo, hi):
+        for i in range(len(ends)):
+            while inside(ends[i]):
+                ends[i] += 1
+    return kept_bytes(b, lo, hi).decode()
+
+
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """The documents without their repeated strings; a character goes only if all its bytes do."""
     spans = removed_spans(documents)
 
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        out = []
-        for t, x, y in zip(text, lo, hi, strict=True):
-            if t is None or not len(x):
-                out.append(t)
-                continue
-            b = t.encode()
-            inside = lambda i: i < len(b) and b[i] & 0xC0 == 0x80
-            x, y = list(x), list(y)
-            for i in range(len(x)):
-                while inside(x[i]):
-                    x[i] += 1
-                while inside(y[i]):
-                    y[i] -= 1
-            out.append(kept_bytes(b, x, y).decode())
-        return pd.Series(out)
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
+        # a few rows at a time, so that a worker holds few texts as Python objects at once
+        made = [pa.array(map(_kept_text, *(x.slice(at, 500).to_pylist() for x in (text, lo, hi))), pa.string()) for at in range(0, len(text), 500)]
+        return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     text = F.when(F.size("__from") > 0, kept("text", "__from", "__to")).otherwise(F.col("text"))
     return spans.withColumn("text", text).select(*documents.columns)

@@ -81,3 +81,21 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in made:
         assert r.round_trip and [x.score for x in r.n_best] == r.n_best_scores and r.n_best[0].ids == r.ids
         assert {coder.decode(pieces.np.array(x.ids, int)).decode() for x in r.n_best} == {r.text or ""}
+
+
+def test_stages_send_texts_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, docs = spark.conf.get(key), spark.sql("SELECT id AS doc_id, 'short' AS text FROM range(0, 9000, 1, 1)")
+
+    def sizes(batches):
+        for b in batches:
+            yield pieces.pa.RecordBatch.from_arrays([pieces.pa.array([b.num_rows])], names=["n"])
+
+    try:
+        assert corpus_pipeline.repeats_stage(spark, docs, "").count() == 9000
+        assert [r.n for r in docs.mapInArrow(sizes, "n long").collect()] == [1024] * 8 + [808]
+        spark.conf.set(key, 100)
+        corpus_pipeline.repeats_stage(spark, docs, "")
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, was)

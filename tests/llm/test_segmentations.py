@@ -2,8 +2,10 @@
 
 import os
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("inkspan.llm")
 from inkspan.llm import pieces  # noqa: E402
@@ -49,3 +51,17 @@ def test_chunks_are_passed_once(monkeypatch):
     # a full table is emptied, and results stay
     monkeypatch.setattr(pieces, "CHUNKS", 0)
     assert told(coder.segmentations(texts)) == first and len(made) > n
+
+
+@needs_vocabulary
+def test_workers_drop_their_chunks_after_a_query(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("the inner "), F.hex("id")).alias("text"))
+    pieces.encode(docs.repartition(4)).write.format("noop").mode("overwrite").save()
+    time.sleep(pieces.REST + 2)
+
+    def held(batches):
+        for b in batches:
+            yield pieces.pa.RecordBatch.from_arrays([pieces.pa.array([len(c.known) for c in pieces._coders.values()], pieces.pa.int64())], names=["n"])
+
+    # the same workers, which Spark keeps for later queries
+    assert spark.range(0, 400, 1, 4).mapInArrow(held, "n long").collect() == []
